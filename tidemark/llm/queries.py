@@ -6,11 +6,43 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .ann import nearest
 from .bpe import bpe_round_trip
+from .html_text import main_text
+from .linkgraph import judge_urls
+from .mixing import mix_sources
 from .simhash import hex_of, simhash_components
+from .token_files import token_counts
+from .topk import top_products
+from .toxicity import fit_toxicity, score_toxicity
+from .warc import warc_round_trip
 
 RANKS = "byte_bpe_50k.tiktoken"
+#: An id that the vocabulary leaves free.
+END_OF_DOCUMENT = 50256
+#: Scores from which on a document counts as toxic.
+TOXIC = 0.7
+RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents, scanned from flat token files."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return token_counts(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, END_OF_DOCUMENT)
+
+
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest rows found for every vec_id divisible by 50, by cosine."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return nearest(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
+
+
+def op3_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 largest inner products of floor(64 * x) for every vec_id divisible by 20."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return top_products(vectors, vectors.filter(F.col("vec_id") % 20 == 0), k=20, scale=64)
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +51,28 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from two thirds of the labels by a checksum of doc_id."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1
+    model = fit_toxicity(docs, labels.filter(~held_out))
+    scored = score_toxicity(docs.withColumn("held_out", held_out), model)
+    return scored.select("doc_id", "held_out", F.col("toxicity").alias("score"), (F.col("toxicity") >= TOXIC).cast("int").alias("predicted"))
+
+
+def op6_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to .warc.zst archives and read back."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return warc_round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to source weights 3, 1, 2 repeating, at 150% of all words."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of all documents: 3-word shingles, links at 3 differing bits of 64, exact."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
@@ -26,7 +80,39 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex_of(found["fp"]).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_byte_bpe, op8_simhash_dedup)
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return main_text(pages)
+
+
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of all pages."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return judge_urls(pages, RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+_ALL = (
+    op1_token_counts, op2_nearest_neighbours, op3_top_products, op4_byte_bpe, op5_toxicity,
+    op6_warc_zstd, op7_mix_sources, op8_simhash_dedup, op9_main_text, op10_url_filters,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_top_products": """
+        WITH v AS (SELECT vec_id::BIGINT AS vec_id, list_transform(embedding::DOUBLE[], x -> floor(64 * x)) AS v FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, b.vec_id, list_dot_product(q.v, b.v)::BIGINT AS score
+              FROM v q JOIN v b ON q.vec_id % 20 = 0 AND q.vec_id <> b.vec_id)
+        SELECT query_id, rank, vec_id, score FROM (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s) WHERE rank <= 20
+    """,
+    "op6_warc_zstd": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        q AS (SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, sha256(html) AS payload_digest, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+        FROM q
+    """,
 }
-ORACLE_SQL: dict[str, str] = {}
