@@ -100,8 +100,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 
 ORACLE_SQL: dict[str, str] = {
     "op3_top_products": """
-        WITH v AS (SELECT vec_id::BIGINT AS vec_id, list_transform(embedding::DOUBLE[], x -> floor(64 * x)) AS v FROM embeddings
-                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+        WITH v AS (SELECT vec_id::BIGINT AS vec_id, [floor(64 * x) for x in embedding::DOUBLE[]] AS v FROM embeddings
+                   WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0 AND len(embedding) > 0),
         s AS (SELECT q.vec_id AS query_id, b.vec_id, list_dot_product(q.v, b.v)::BIGINT AS score
               FROM v q JOIN v b ON q.vec_id % 20 = 0 AND q.vec_id <> b.vec_id)
         SELECT query_id, rank, vec_id, score FROM (
