@@ -16,6 +16,8 @@ from .shared import materialize
 DAMPING = 0.85
 #: Least distrust of a blocked host; a host of which all pages are blocked by rules starts with 1.
 DISTRUST = 0.1
+#: Share of a host's pages that rules must exceed to make it a seed: rules for a few paths say little about the host.
+SEED_SHARE = 0.5
 
 
 def with_host_and_path(pages: DataFrame, url: str = "url") -> DataFrame:
@@ -83,12 +85,12 @@ def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, roun
     return state
 
 
-def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", html: str = "html", distrust: float = DISTRUST) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", html: str = "html", distrust: float = DISTRUST, seed_share: float = SEED_SHARE) -> DataFrame:
     """Adds host, path, rule and verdict (allow or block) to pages, and the host's trust and distrust.
 
     The longest fitting rule decides; pages without one follow their host: blocked if its distrust
-    reaches the threshold and exceeds its trust, else allowed. A host's seeds are the shares of its
-    pages that rules allow and block. A null url, or one without `://`, has an empty host, no rule
+    reaches the threshold and exceeds its trust, else allowed. A host is a trusted (blocked) seed, by the
+    share of its pages that rules allow (block), if that share exceeds seed_share. A null url, or one without `://`, has an empty host, no rule
     and is allowed; null html has no links; repeated rows are judged alike; columns of pages with
     the added names are replaced, all others pass.
     """
@@ -96,10 +98,10 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url",
     plain = pages.select(*[F.col(f"`{c}`") for c in pages.columns if c not in added])
     located = with_host_and_path(plain, url)
     judged = located.withColumn("__fit", rule_struct(rules))
-    seeds = judged.filter("host != ''").groupBy("host").agg(
-        F.avg(F.when(F.col("__fit.verdict") == "allow", 1.0).otherwise(0.0)).alias("trust"),
-        F.avg(F.when(F.col("__fit.verdict") == "block", 1.0).otherwise(0.0)).alias("distrust"),
-    )
+    share = lambda verdict: F.avg(F.when(F.col("__fit.verdict") == verdict, 1.0).otherwise(0.0))
+    shares = judged.filter("host != ''").groupBy("host").agg(share("allow").alias("allowed"), share("block").alias("blocked"))
+    seed = lambda c: F.when(F.col(c) > seed_share, F.col(c)).otherwise(0.0)
+    seeds = shares.select("host", seed("allowed").alias("trust"), seed("blocked").alias("distrust"))
     ranks = propagate(seeds, materialize(host_links(located, html), "host-links"))
     ranks = materialize(ranks.select(F.col("host").alias("__host"), "trust", "distrust"), "host-ranks")
     rows = judged.join(ranks, F.col("host") == F.col("__host"), "left").drop("__host")
