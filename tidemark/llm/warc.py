@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import file_system, materialize, shared_dir
+from .shared import bounded_sample, file_system, materialize, shared_dir
 
 #: Bytes of compressed records after which a writer starts the next file.
 ROLL = 64 << 20
@@ -35,10 +35,13 @@ class WarcError(ValueError):
 
 
 def train_dictionary(pages: DataFrame, payload: str = "html", rows: int = SAMPLE_ROWS, size: int = DICTIONARY_BYTES) -> bytes:
-    """A Zstandard dictionary from a bounded sample of payloads (those with the smallest hashes); empty if there are too few."""
-    digest = F.xxhash64(payload)
-    sample = pages.filter(F.length(payload) > 0).select(F.substring(payload, 1, SAMPLE_BYTES // 4).alias("head"), digest.alias("h"))
-    heads = [r["head"].encode("utf-8", "replace") for r in sample.orderBy("h", "head").limit(rows).collect()]
+    """A Zstandard dictionary from a bounded sample of different payloads (chosen by hash, equal ones once); empty if there are too few."""
+    heads = pages.filter(F.length(payload) > 0).select(F.substring(payload, 1, SAMPLE_BYTES // 4).alias("head"), F.xxhash64(payload).alias("h"))
+    chosen = [r["h"] for r in bounded_sample(heads.select("h").distinct(), "h", rows).collect()]
+    if not chosen:
+        return b""
+    found = heads.filter(F.col("h").isin(chosen)).groupBy("h").agg(F.min("head").alias("head")).orderBy("h").collect()
+    heads = [r["head"].encode("utf-8", "replace") for r in found]
     try:
         return zstandard.train_dictionary(size, heads).as_bytes() if len(heads) >= 16 else b""
     except zstandard.ZstdError:
