@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import bounded_sample, materialize
 from .vectors import lists, matrix, usable
 
 #: Rows that the cells' tree is fitted on at most (those with the smallest hashes of vec_id).
@@ -169,7 +169,7 @@ def nearest(
     spark = vectors.sparkSession
     length = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     base = usable(vectors, vec_id, embedding).filter(length > 0)
-    sample = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow()
+    sample = bounded_sample(base, "vec_id", SAMPLE).select("v").toArrow()
     schema = "query_id long, rank int, vec_id long, score double"
     if not sample.num_rows:
         return spark.createDataFrame([], schema)
