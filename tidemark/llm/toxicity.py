@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import bounded_sample, materialize
 
 #: Labelled rows that the classifier is fitted on at most: those with the smallest hashes of doc_id.
 MAX_TRAINING_ROWS = 20_000
@@ -70,13 +70,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAININ
     Null ids and null labels take no part; an id labelled both ways counts as toxic; of repeated
     ids the smallest text is used. Without both classes the model is a constant.
     """
-    sample = (
-        labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
-        .groupBy(F.col("doc_id").alias("of"))
-        .agg(F.max("toxic").cast("int").alias("toxic"))
-        .orderBy(F.xxhash64("of"), "of")
-        .limit(max_rows)
-    )
+    marked = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").alias("of"))
+    sample = bounded_sample(marked.agg(F.max("toxic").cast("int").alias("toxic")), "of", max_rows)
     sample = materialize(sample, "toxicity-labels")
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = texts.join(F.broadcast(sample), F.col("doc_id") == F.col("of"))  # max_rows short rows at most
