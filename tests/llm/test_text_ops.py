@@ -158,6 +158,8 @@ def test_simhash_crowded_bucket_and_nothing(spark, monkeypatch):
             root[a] = root[b] = min(root[a], root[b])
     label = components(values, 3)
     assert [values.index(root[v]) for v in values] == label
+    many = simhash.near_links(frame, 1, 3, simhash.combined_bands(64, 3, 6), pivots=4).collect()
+    assert len(simhash.combined_bands(64, 3, 6)) == 20 and {(r.a, r.b) for r in many}
     none = spark.createDataFrame([], "doc_id long, text string")
     assert simhash_components(none, shingle=3, lanes=1, distance=3).count() == 0
 
@@ -194,6 +196,15 @@ def test_mixing(spark):
     assert mix_sources(frame.limit(0)).count() == 0
 
 
+def test_bounded_sample(spark):
+    from tidemark.llm.shared import bounded_sample
+
+    frame = spark.range(20_000)
+    few = [r.id for r in bounded_sample(frame, "id", 100).collect()]
+    assert few == [r.id for r in frame.selectExpr("id", "xxhash64(id) h").orderBy("h").limit(100).collect()]
+    assert bounded_sample(frame, "id", 50_000).count() == 20_000
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(2)
     bad, good = ["scumbag", "moronic", "idiotic"], [f"{a}{b}ing" for a in ("gard", "sail", "walk", "read") for b in ("en", "er", "ab", "ul")]

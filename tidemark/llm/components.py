@@ -23,9 +23,10 @@ def component_roots(links: DataFrame, most_rounds: int = 60) -> DataFrame:
             break
         both = edges.union(edges.select("b", "a"))  # large star: larger neighbours go to the smallest one
         least = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("m"))
+        least = materialize(least, "smallest")  # a table of its own: a node of very many links can then be split in the join
         large = both.filter("b > a").join(least, F.col("a") == F.col("node")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = materialize(large.filter("a != b").distinct(), "large-star")
-        least = large.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))  # small star: so do the smaller ones
+        least = materialize(large.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")), "smallest")  # small star: so do the smaller ones
         small = large.join(least, F.col("a") == F.col("node")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = materialize(small.union(least.select("node", "m")).filter("a != b").distinct(), "small-star")
         now = _state(edges)
