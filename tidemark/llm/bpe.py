@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of documents that are encoded together.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 2_000_000
 #: Places of one pair from which on they are merged as arrays.
 BULK = 24
 #: Words whose ids a worker remembers between blocks.
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 
 # Letters, numbers and white space up to U+024F, where most texts stay.
 LETTERS = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
