@@ -12,7 +12,7 @@ import base64
 import hashlib
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 BLOCK_CHARS = 2_000_000
 #: Places of one pair from which on they are merged as arrays.
 BULK = 24
-#: Words whose ids a worker remembers between blocks.
-REMEMBERED = 600_000
+#: Words whose ids a worker remembers between blocks, give or take those of a block.
+REMEMBERED = 300_000
 
 # Letters, numbers and white space up to U+024F, where most texts stay.
 LETTERS = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
@@ -205,7 +205,9 @@ class Encoder:
         import public_tokenizers
 
         self.latin = pattern == public_tokenizers.PATTERN
-        self.known: dict[str, bytes] = {}
+        #: Ids of words that occurred of late, and of those before them; the latter go when the former fill up.
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def words(self, text: str) -> list[str]:
         """The pieces that are encoded separately."""
@@ -214,15 +216,18 @@ class Encoder:
         return [m.group() for m in self.pattern.finditer(text)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.young) > REMEMBERED // 2:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
         split = [self.words(t) for t in texts]
-        known = self.known
-        new = {w for ws in split for w in ws if w not in known} if known else {w for ws in split for w in ws}
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = {w for ws in split for w in ws}
-        fresh = list(new)
-        known.update(zip(fresh, self.replay.encode([w.encode("utf-8", "replace") for w in fresh])))
-        return [b"".join(map(known.__getitem__, ws)) for ws in split]
+        fresh = []
+        for word in {w for ws in split for w in ws if w not in young}:
+            if (ids := old.get(word)) is None:
+                fresh.append(word)
+            else:
+                young[word] = ids
+        young.update(zip(fresh, self.replay.encode([w.encode("utf-8", "replace") for w in fresh])))
+        return [b"".join(map(young.__getitem__, ws)) for ws in split]
 
 
 @lru_cache(maxsize=2)
@@ -231,7 +236,7 @@ def encoder(ranks_path: str, pattern: str) -> Encoder:
     return Encoder(ranks_path, pattern)
 
 
-def blocks(texts: list[str | None], limit: int = BLOCK_CHARS) -> Iterator[tuple[int, list[str]]]:
+def blocks(texts: Iterable[str | None], limit: int = BLOCK_CHARS) -> Iterator[tuple[int, list[str]]]:
     """Start and texts of runs of documents of about limit characters; null counts as empty."""
     start, held, size = 0, [], 0
     for k, text in enumerate(texts):
@@ -261,7 +266,7 @@ def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, text: str = "
         enc = encoder(ranks_path, pattern)
         for batch in batches:
             counts, shas, decoded, ids = [], [], [], []
-            for _, texts in blocks(batch.column(0).to_pylist()):
+            for _, texts in blocks(t.as_py() for t in batch.column(0)):
                 for raw in enc.encode(texts):
                     array = np.frombuffer(raw, dtype="<u4")
                     counts.append(len(array))
