@@ -24,6 +24,8 @@ from .shared import materialize
 
 #: Rows of a band's bucket that are compared with each other in one piece; larger buckets are dealt out as pairs of pieces.
 PIECE = 256
+#: Pairs that a task holds before it settles and passes on their links.
+HELD_LINKS = 150_000
 SEED = 42
 
 
@@ -189,7 +191,7 @@ def near_links(fps: DataFrame, lanes: int, distance: int, bands: list[list[int]]
             last = np.searchsorted(bucket, bucket[-1])  # the last bucket may go on in the next batch
             settle(bucket[:last], words[:last])
             held = [(bucket[last:], words[last:])]
-            if sum(len(a) for a, _ in edges) > 500_000:
+            if sum(len(a) for a, _ in edges) > HELD_LINKS:
                 yield from links()
         if held:
             settle(*held[0])
