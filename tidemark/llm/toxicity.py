@@ -156,12 +156,15 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text") ->
     Null and empty texts are scored as texts without words; other columns pass unchanged.
     """
     others = [c for c in docs.columns if c != "toxicity"]
-    frame = docs.select(F.col(f"`{text}`").cast("string").alias("__text"), *[F.col(f"`{c}`") for c in others])
+    frame = docs.select(*[F.col(f"`{c}`") for c in others])
+    if dict(docs.dtypes)[text] != "string" or text not in others:  # else the text isn't sent to Python twice
+        frame = docs.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text}`").cast("string").alias("__text"))
+    place = others.index(text) if len(frame.columns) == len(others) else len(others)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "toxicity"] + ["toxicity double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = model.scores(t.as_py() for t in batch.column(0))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores, pa.float64())], names=[*others, "toxicity"])
+            scores = model.scores(t.as_py() for t in batch.column(place))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], pa.array(scores, pa.float64())], names=[*others, "toxicity"])
 
     return frame.mapInArrow(run, schema)
