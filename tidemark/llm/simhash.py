@@ -16,16 +16,21 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import component_roots
-from .shared import materialize
+from .shared import file_system, materialize, shared_dir
 
 #: Rows of a band's bucket that are compared with each other in one piece; larger buckets are dealt out as pairs of pieces.
 PIECE = 256
 #: Pairs that a task holds before it settles and passes on their links.
 HELD_LINKS = 150_000
+#: Shingles of sets that a task keeps in memory at least before it forgets those read, and pairs whose verdict it remembers.
+HELD_SHINGLES, HELD_VERDICTS = 4_000_000, 500_000
+#: Bits of a set's address that count shingles in its file; the others name the file.
+OFFSET_BITS = 40
 SEED = 42
 
 
@@ -101,12 +106,91 @@ def sampled_bands(bits: int, width: int, count: int, seed: int = SEED) -> list[l
     return [sorted(map(int, rng.choice(bits, width, replace=False))) for _ in range(count)]
 
 
-def near_links(fps: DataFrame, lanes: int, distance: int, bands: list[list[int]], pivots: int = 16) -> DataFrame:
+def shingle_sets(docs: DataFrame, shingle: int, lanes: int, folder: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, fp, address and digest of the set of different shingles of every whole text; the set is written to a flat file of the folder.
+
+    fp counts each shingle once, so that it estimates the similarity of sets. digest is equal for
+    equal sets. The file holds at the address the set's size, then its sorted hashes.
+    """
+    frame = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, at = TaskContext.get().taskAttemptId(), 0  # differs between attempts
+        assert number < 2 ** (63 - OFFSET_BITS)
+        fs, base = file_system(folder)
+        fs.create_dir(base, recursive=True)
+        with fs.open_output_stream(f"{base}/{number}.sets") as out:
+            for batch in batches:
+                fps, addresses, digests = [], [], []
+                for t in batch.column(1):
+                    hashes = np.unique(shingle_hashes(t.as_py(), shingle))
+                    fps.append(fingerprint(hashes, lanes).astype(">u8").tobytes())
+                    raw = hashes.astype("<u8").tobytes()
+                    addresses.append((number << OFFSET_BITS) + at)
+                    digests.append(xxhash.xxh3_128_digest(raw))
+                    out.write(np.array([len(hashes)], dtype="<u8").tobytes() + raw)
+                    at += len(hashes) + 1
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(fps, pa.binary()), pa.array(addresses, pa.int64()), pa.array(digests, pa.binary())],
+                    names=["doc_id", "fp", "address", "digest"],
+                )
+
+    return frame.mapInArrow(run, f"doc_id {frame.schema['doc_id'].dataType.simpleString()}, fp binary, address long, digest binary")
+
+
+class SetReader:
+    """Sets of shingle_sets by address, and whether two of them reach a similarity; remembers what it has read lately."""
+
+    def __init__(self, folder: str, similarity: float):
+        self.fs, self.base = file_system(folder)
+        self.similarity, self.files, self.sets, self.held = similarity, {}, {}, 0
+        self.verdicts: dict[tuple[int, int], bool] = {}
+
+    def read(self, address: int) -> np.ndarray:
+        if address not in self.sets:
+            number, at = address >> OFFSET_BITS, 8 * (address & (1 << OFFSET_BITS) - 1)
+            if number not in self.files:
+                self.files[number] = self.fs.open_input_file(f"{self.base}/{number}.sets")
+            raw = self.files[number].read_at(8192, at)
+            n = int(np.frombuffer(raw, dtype="<u8", count=1)[0])
+            if len(raw) < 8 * n + 8:
+                raw = self.files[number].read_at(8 * n + 8, at)
+            if self.held > HELD_SHINGLES:
+                self.sets.clear()
+                self.held = 0
+            self.sets[address] = np.frombuffer(raw, dtype="<u8", count=n, offset=8)
+            self.held += n
+        return self.sets[address]
+
+    def similar(self, a: int, b: int) -> tuple[bool, bool]:
+        """Whether shared shingles are at least that part of all different ones of both, and whether this was looked up anew."""
+        pair = (a, b) if a < b else (b, a)
+        known = self.verdicts.get(pair)
+        if known is not None:
+            return known, False
+        x, y = self.read(a), self.read(b)
+        if min(len(x), len(y)) < self.similarity * max(len(x), len(y)) - 1e-9:
+            found = False
+        else:
+            shared = len(np.intersect1d(x, y, assume_unique=True))
+            found = shared >= self.similarity * (len(x) + len(y) - shared) - 1e-9
+        if len(self.verdicts) > HELD_VERDICTS:
+            self.verdicts.clear()
+        self.verdicts[pair] = found
+        return found, True
+
+
+def near_links(
+    fps: DataFrame, lanes: int, distance: int, bands: list[list[int]], pivots: int = 16, folder: str | None = None, similarity: float = 0.0
+) -> DataFrame:
     """Links a > b (binary) between distinct fingerprints fp that differ in at most `distance` bits, found through the bands.
 
     The links returned span the same components as all links: within a task a fingerprint is
     linked to the smallest one that it reaches there, so no group is written out as all its pairs.
+    With the folder of shingle_sets, fp ends in the eight bytes of its set's address; then links are
+    only pairs whose sets reach the similarity, and pairs connected already by such links are passed over.
     """
+    width = lanes + (folder is not None)
     bits = np.array([[b // 64, b % 64] for band in bands for b in band], dtype=np.int64)
     cuts = np.cumsum([0] + [len(b) for b in bands]).tolist()
     refs = np.random.default_rng(SEED).integers(0, 2**64, (pivots, lanes), dtype=np.uint64)
@@ -116,7 +200,7 @@ def near_links(fps: DataFrame, lanes: int, distance: int, bands: list[list[int]]
             n = batch.num_rows
             if not n:
                 continue
-            words = np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=">u8").reshape(n, lanes).astype(np.uint64)
+            words = np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=">u8").reshape(n, width).astype(np.uint64)
             for band, (start, end) in enumerate(zip(cuts, cuts[1:])):
                 key = np.zeros(n, dtype=np.uint64)
                 for lane, bit in bits[start:end]:
@@ -128,6 +212,7 @@ def near_links(fps: DataFrame, lanes: int, distance: int, bands: list[list[int]]
     rows = fps.select("fp").mapInArrow(keyed, "band int, key long, fp binary")
     crowded = rows.groupBy("band", "key").count().filter(F.col("count") > PIECE)
     crowded = crowded.select("band", "key", F.ceil(F.col("count") / PIECE).cast("int").alias("pieces"))
+    crowded = materialize(crowded, "crowded-buckets")  # few as a rule: with their size known, the rows needn't be shuffled to meet them
     piece = F.pmod(F.xxhash64("fp"), F.col("pieces").cast("long")).cast("int")
     dealt = (
         rows.join(crowded, ["band", "key"], "left")
@@ -143,8 +228,24 @@ def near_links(fps: DataFrame, lanes: int, distance: int, bands: list[list[int]]
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         edges: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def settle(bucket: np.ndarray, words: np.ndarray) -> None:
+        sets = SetReader(folder, similarity) if folder is not None else None
+
+        def verify(near: np.ndarray, step: int, address: list[int], at: np.ndarray, label: np.ndarray, words: np.ndarray) -> None:
+            for k in near[label[at[near]] != label[at[near + step]]].tolist():
+                i, j = label[at[k]], label[at[k + step]]
+                if i == j:
+                    continue
+                similar, anew = sets.similar(address[at[k]], address[at[k + step]])
+                if similar:
+                    label[label == max(i, j)] = min(i, j)
+                    if anew:
+                        edges.append((words[[k]], words[[k + step]]))
+
+        def settle(bucket: np.ndarray, every: np.ndarray) -> None:
+            words = every[:, :lanes]
+            if sets:
+                address, at = np.unique(every[:, lanes], return_inverse=True)
+                label, address = np.arange(len(address)), address.tolist()
             table = np.stack([np.bitwise_count(words ^ r).sum(axis=1, dtype=np.int16) for r in refs], axis=1) if len(refs) else None
             live, step = np.arange(len(bucket)), 0
             while len(live):
@@ -155,14 +256,16 @@ def near_links(fps: DataFrame, lanes: int, distance: int, bands: list[list[int]]
                 for p in range(len(refs)):
                     near = near[np.abs(table[near, p] - table[near + step, p]) <= distance]
                 near = near[np.bitwise_count(words[near] ^ words[near + step]).sum(axis=1, dtype=np.int64) <= distance]
-                if len(near):
+                if len(near) and sets:
+                    verify(near, step, address, at, label, every)
+                elif len(near):
                     edges.append((words[near], words[near + step]))
 
         def links() -> Iterator[pa.RecordBatch]:
             if not edges:
                 return
             both = np.concatenate([np.concatenate([a for a, _ in edges]), np.concatenate([b for _, b in edges])]).astype(">u8")
-            names, at = np.unique(both.view(np.dtype((np.void, 8 * lanes))).ravel(), return_inverse=True)
+            names, at = np.unique(both.view(np.dtype((np.void, 8 * width))).ravel(), return_inverse=True)
             half = len(at) // 2
             a, b, label = at[:half], at[half:], np.arange(len(names))
             while True:  # labels fall to the smallest reached, with halving of paths
@@ -185,7 +288,7 @@ def near_links(fps: DataFrame, lanes: int, distance: int, bands: list[list[int]]
             if not batch.num_rows:
                 continue
             bucket = batch.column(0).to_numpy()
-            words = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=">u8").reshape(-1, lanes).astype(np.uint64)
+            words = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=">u8").reshape(-1, width).astype(np.uint64)
             if held:
                 bucket, words = np.concatenate([held[0][0], bucket]), np.concatenate([held[0][1], words])
             last = np.searchsorted(bucket, bucket[-1])  # the last bucket may go on in the next batch
@@ -229,6 +332,36 @@ def simhash_components(
     return fp.join(of_fp, F.col("fp") == F.col("of")).select("doc_id", "fp", "component_id")
 
 
+def similar_components(
+    docs: DataFrame,
+    similarity: float,
+    bands: list[list[int]],
+    shingle: int = 5,
+    lanes: int = 4,
+    distance: int = 72,
+    pivots: int = 4,
+    text: str = "text",
+    doc_id: str = "doc_id",
+) -> DataFrame:
+    """Groups documents whose sets of shingles reach a similarity (shared by all different ones), directly or through others.
+
+    Returns doc_id and component_id as simhash_components does; texts without words form a group. Fingerprints
+    only propose pairs, those that agree on a band and differ in at most `distance` bits; every link is
+    verified on the sets, so nothing below the similarity is linked, and what the bands don't propose is missed.
+    """
+    folder = shared_dir(docs.sparkSession, "shingle-sets")
+    rows = materialize(shingle_sets(docs, shingle, lanes, folder, text, doc_id), "fingerprints")
+    least = rows.groupBy("digest").agg(F.min("doc_id").alias("least"), F.min(F.struct("address", "fp")).alias("first"))
+    address = F.unhex(F.lpad(F.hex("first.address"), 16, "0"))
+    least = materialize(least.select("digest", "least", F.concat("first.fp", address).alias("fp")), "distinct-sets")
+    links = materialize(near_links(least, lanes, distance, bands, pivots, folder, similarity), "links")
+    roots = component_roots(links)
+    named = least.join(roots, least["fp"] == roots["node"], "left").select("digest", "least", F.coalesce("root", "fp").alias("root"))
+    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    of_set = materialize(named.join(smallest, "root").select(F.col("digest").alias("of"), "component_id"), "components")
+    return rows.join(of_set, F.col("digest") == F.col("of")).select("doc_id", "component_id")
+
+
 def hex_of(fp: Column) -> Column:
     """Lower-case hexadecimal digits of a fingerprint."""
     return F.lower(F.hex(fp))
