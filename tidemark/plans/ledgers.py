@@ -82,7 +82,17 @@ def stalled_runs(spark, sf_dir):
 @query("""SELECT doc_id, k::INTEGER AS position, word FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM (
     SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM documents WHERE n_chars < 200)) WHERE word <> ''""")
 def words_with_position(spark, sf_dir):
-    rows = tables.table(spark, sf_dir, "documents", "doc_id", "text", "n_chars").filter("n_chars < 200")
+    return words_of(tables.table(spark, sf_dir, "documents", "doc_id", "text", "n_chars").filter("n_chars < 200"))
+
+
+@query("""SELECT doc_id, k::INTEGER AS position, word FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM (
+    SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM documents)) WHERE word <> ''""")
+def all_words_with_position(spark, sf_dir):
+    return words_of(tables.table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def words_of(rows):
+    """doc_id, position from 1 and word of every word of all texts."""
     words = F.split(F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " ")), " ")
     return rows.select("doc_id", F.posexplode(words).alias("k", "word")).select("doc_id", (F.col("k") + 1).alias("position"), "word").filter("word <> ''")
 
