@@ -57,6 +57,17 @@ def test_nearest(spark, vectors):
     assert [f[1] for f in by[10][:2]] == [11, 12]
 
 
+def test_nearest_finds_all_of_parallel_rows(spark):
+    rng = np.random.default_rng(12)
+    rows = [((6 * g + k), (v * s).tolist()) for g, v in enumerate(rng.standard_normal((200, 16))) for k, s in enumerate(rng.uniform(0.1, 9, 6))]
+    frame = frame_of(spark, rows)
+    out = nearest(frame, frame, k=5, cell=256).collect()
+    by: dict = {}
+    for r in out:
+        by.setdefault(r.query_id, set()).add(r.vec_id)
+    assert by == {q: {6 * (q // 6) + k for k in range(6)} - {q} for q, _ in rows} and len(out) == 5 * len(rows)
+
+
 def test_vector_searches_of_little(spark):
     none = frame_of(spark, [])
     one = frame_of(spark, [(0, [1.0, 2.0]), (0, [1.0, 3.0]), (None, None)])

@@ -26,6 +26,8 @@ SAMPLE = 10_000
 CELL, LEAF = 2_048, 64
 #: Directions of the projection, and the probability that a true neighbour isn't missed by the stopping test.
 DIRECTIONS, CONFIDENCE = 8, 0.98
+#: What rounding may add to a squared distance, between vectors or projected.
+SLACK = 1e-9
 
 
 def chi_square_quantile(p: float, degrees: int) -> float:
@@ -129,7 +131,7 @@ def search_block(table: pa.Table, queries: pa.Table, k: int, factor: float) -> p
         going = every
         for step in range(len(leaves)):
             bound = np.minimum(reach[going], best[going, -1])
-            going = going[gaps[going, turn[going, step]] <= factor * bound]
+            going = going[gaps[going, turn[going, step]] <= factor * bound + SLACK]
             if not len(going):
                 break
             here = turn[going, step]
@@ -138,7 +140,7 @@ def search_block(table: pa.Table, queries: pa.Table, k: int, factor: float) -> p
                 rows, who = leaves[here[part[0]]], going[part]
                 distance = np.maximum(0, 2 - 2 * (wanted[who] @ unit[rows].T))
                 distance[ids[rows][None] == asked[who][:, None]] = np.inf
-                limit = np.minimum(reach[who], best[who, -1])[:, None] + 1e-9
+                limit = np.minimum(reach[who], best[who, -1])[:, None] + SLACK
                 for i, j in enumerate(who):
                     near = np.flatnonzero(distance[i] <= limit[i])
                     if len(near):
@@ -147,7 +149,7 @@ def search_block(table: pa.Table, queries: pa.Table, k: int, factor: float) -> p
         for j in every:
             if found[j]:
                 rows, distance = (np.concatenate(x) for x in zip(*found[j]))
-                keep = (distance <= best[j, -1] + 1e-9) & np.isfinite(distance)
+                keep = (distance <= best[j, -1] + SLACK) & np.isfinite(distance)
                 rows = rows[keep]
                 scores = cosines(of[j], raw[rows])
                 for m in np.lexsort((ids[rows], -scores))[:k]:
@@ -203,6 +205,7 @@ def nearest(
 
     at_home = asked.join(counts, "cell").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks").cast("long")).cast("int")).drop("blocks")
     first = blocks.groupBy("cell", "block").cogroup(at_home.groupBy("cell", "block")).applyInArrow(home, found)
+    first = materialize(first, "hits-at-home")
     kth = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("worst"))
     reach = F.when(F.col("n") >= k, F.greatest(F.lit(0.0), 2 - 2 * F.col("worst"))).otherwise(float("inf"))
     bound = materialize(kth.select(F.col("query_id").alias("of"), reach.alias("reach")), "reach")
@@ -210,19 +213,21 @@ def nearest(
     def routes(batches):
         for batch in batches:
             gaps = away(matrix(batch.column(2)), low, high) if batch.num_rows else np.empty((0, len(low)))
-            row, cell = np.nonzero(gaps <= test * np.asarray(batch.column(3))[:, None])
+            row, cell = np.nonzero(gaps <= test * np.asarray(batch.column(3))[:, None] + SLACK)
             for start in range(0, len(row), 20_000):
                 part = row[start : start + 20_000]
-                taken = [batch.column(c).take(pa.array(part)) for c in range(4)]
-                yield pa.RecordBatch.from_arrays([*taken, pa.array(cell[start : start + 20_000])], names=["query_id", "v", "p", "reach", "cell"])
+                taken = [batch.column(c).take(pa.array(part)) for c in range(5)]
+                yield pa.RecordBatch.from_arrays([*taken, pa.array(cell[start : start + 20_000])], names=["query_id", "v", "p", "reach", "home", "cell"])
 
-    bounded = asked.join(bound, F.col("query_id") == F.col("of"), "left").select("query_id", "v", "p", F.coalesce("reach", F.lit(float("inf"))).alias("reach"))
-    routed = bounded.mapInArrow(routes, "query_id long, v array<double>, p array<double>, reach double, cell long")
-    every_block = routed.join(counts, "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    bounded = asked.join(bound, F.col("query_id") == F.col("of"), "left").select("query_id", "v", "p", F.coalesce("reach", F.lit(float("inf"))).alias("reach"), F.col("cell").alias("home"))
+    routed = bounded.mapInArrow(routes, "query_id long, v array<double>, p array<double>, reach double, home long, cell long")
+    every_block = routed.join(counts, "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    searched = (F.col("cell") == F.col("home")) & (F.col("block") == F.pmod(F.xxhash64("query_id"), F.col("blocks").cast("long")))
+    every_block = every_block.filter(~searched).drop("blocks", "home")  # the first pass has found at least as much there
 
     def there(mine: pa.Table, asked: pa.Table) -> pa.Table:
         return search_block(mine, asked, k, test)
 
-    hits = blocks.groupBy("cell", "block").cogroup(every_block.groupBy("cell", "block")).applyInArrow(there, found)
+    hits = blocks.groupBy("cell", "block").cogroup(every_block.groupBy("cell", "block")).applyInArrow(there, found).union(first)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
