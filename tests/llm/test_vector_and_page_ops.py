@@ -210,3 +210,20 @@ def test_linked_hosts_follow_blocked_ones(spark):
     rows = [(1, "http://bad.net/es/1", ""), (2, "http://farm.org/", link), (3, "http://clean.org/", '<a href="http://other.org/">y</a>')]
     out = {r.page_id: r.verdict for r in judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), RULES).collect()}
     assert out == {1: "block", 2: "block", 3: "allow"}
+
+
+def test_distrust_does_not_thin_out_with_in_links(spark, monkeypatch):
+    from tidemark.llm import linkgraph
+
+    rows = [(0, "http://bad.net/es/1", "")] + [(k, f"http://farm{k}.org/", "<a href='http://bad.net/'>x</a>") for k in range(1, 31)]
+    rows += [(40, "http://second.org/", "<a href='http://farm1.org/'>x</a>")]
+    rows += [(41, "http://large.org/", "<a href='http://bad.net/'>x</a>" + "".join(f"<a href='http://o{k}.org/'>x</a>" for k in range(20)))]
+    out = {r.page_id: r.verdict for r in judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), RULES).collect()}
+    assert out == {k: "block" for k in [*range(31), 40]} | {41: "allow"}
+    loop = spark.createDataFrame([("a", "b"), ("b", "a")], "src string, dst string")
+    seed = spark.createDataFrame([("a", 1.0, 0.0)], "host string, trust double, distrust double")
+    got = {r.host: r.trust for r in propagate(seed, loop, tolerance=1e-3).collect()}
+    assert abs(got["a"] - 1 / (1 - 0.85**2)) < 0.01
+    monkeypatch.setattr(linkgraph, "MOST_ROUNDS", 2)
+    with pytest.raises(RuntimeError):
+        propagate(seed, loop)
