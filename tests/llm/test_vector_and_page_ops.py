@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import time
 
 import numpy as np
 import pytest
@@ -139,7 +140,7 @@ def test_damaged_archives(tmp_path):
 
 
 def text(page):
-    return "\n".join(t for t, _ in blocks_of(page))
+    return "\n".join(blocks_of(page)[0])
 
 
 def test_main_blocks():
@@ -166,6 +167,47 @@ def test_main_text_deletes_site_templates(spark):
     assert main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_templates_against_brute_force(spark):
+    rng = np.random.default_rng(11)
+    parts = [f"<div class='m{k}'><p>menu {k}</p></div>" for k in range(12)]
+    rows = []
+    for k in range(400):
+        host = "hot.example" if k < 300 else f"h{k % 9}.example"
+        chosen = [parts[j] for j in rng.choice(12, 3, replace=False, p=np.r_[[0.03] * 6, [0.82 / 6] * 6])]
+        rows.append((k, f"http://{host}/{k}", f"<body>{chosen[0]}{chosen[1]}<p>own {k % 390}</p>{chosen[2]}</body>"))
+    out = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), many_pages=20).collect()}
+    bodies: dict = {}
+    where: dict = {}
+    for _, url, page in rows:
+        host, blocks = url.split("/")[2], blocks_of(page)[0]
+        bodies.setdefault(host, set()).add(tuple(blocks))
+        for b in blocks:
+            where.setdefault((host, b), set()).add(tuple(blocks))
+    template = {hb for hb, pages in where.items() if len(pages) >= 4 and (len(pages) >= 0.2 * len(bodies[hb[0]]) or len(pages) >= 20)}
+    assert any(h == "hot.example" and len(where[h, b]) < 0.2 * len(bodies[h]) for h, b in template)
+    for k, url, page in rows:
+        assert out[k] == "\n".join(b for b in blocks_of(page)[0] if (url.split("/")[2], b) not in template)
+
+
+def test_templates_inside_articles(spark):
+    notice = "<p>Follow us for more</p>"
+    rows = [(k, f"http://a.example/{k}", f"<article><h1>T{k}</h1><p>Own {k}</p>{notice if k % 4 else ''}<p>Quoted.</p></article>" if k < 30 else f"<article><p>Other {k}</p></article>") for k in range(70)]
+    rows += [(100 + k, "http://b.example/", f"<div class='x{k}'>a</div><article><p>Mirrored article</p></article>") for k in range(9)]
+    out = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out[1] == "T1\nOwn 1\nFollow us for more\nQuoted."  # on under half of the host's pages
+    assert {out[100 + k] for k in range(9)} == {"Mirrored article"}
+    most = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows[:30], "page_id long, url string, html string")).collect()}
+    assert most[1] == "T1\nOwn 1" and most[4] == "T4\nOwn 4"
+
+
+def test_hostile_pages_take_linear_time():
+    began = time.monotonic()
+    for page in ("<!" * 500_000, "<div>" * 100_000 + "x", "<a " * 300_000, '<a "' * 200_000, "<p>x" * 100_000, "<ul><li>x" * 50_000, "</" * 500_000):
+        blocks_of(page)
+    assert time.monotonic() - began < 60
+    assert text("<p>" * 3 + "a</p></p>b<!x") == "a\nb" and text("<p>x</p><p title='y>z</p><p>w</p>") == "x\nz\nw"
+
+
 def test_url_rules(spark):
     cases = [
         ("HTTP://WWW.Example.com/en/1?x", "www.example.com", "/en/1", "www.example.com/en/", "allow"),

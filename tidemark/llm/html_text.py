@@ -1,15 +1,18 @@
-"""Main text of web pages: structure first, then site templates found by counting subtrees in Spark.
+"""Main text of web pages: site templates found by counting subtrees in Spark, then the page's own structure.
 
-Each page is parsed once. Element subtrees that may be furniture are hashed; Spark counts on how
-many different pages of a host each hash occurs, and subtrees that recur on many are deleted. Paragraphs
-and headings of an <article> or <main> are not deleted that way: mirrored articles stay whole.
+Each page is parsed once, in time linear in its length. Every block element's subtree is hashed from its tag,
+attributes, texts and the hashes of its children, before any rule by tag or class is applied. Spark counts on how many
+different pages of a host each hash occurs, and the blocks of subtrees that recur on many are deleted. Structure
+decides the rest: what stands outside the article, and elements that are furniture by tag, role or class.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 import xxhash
@@ -19,8 +22,10 @@ from pyspark.sql import functions as F
 from .linkgraph import with_host_and_path
 from .shared import materialize, shared_dir
 
-#: A subtree is a template if it stands on this many different pages of its host at least, and on this share of them.
-MIN_PAGES, MIN_SHARE = 4, 0.2
+#: A subtree is a template if it stands on this many different pages of its host at least, and on this share of them or on MANY_PAGES.
+MIN_PAGES, MIN_SHARE, MANY_PAGES = 4, 0.2, 50
+#: Share that paragraphs, headings and the like inside an article need instead, whatever their number: short ones and quotations recur by themselves.
+MIN_SHARE_INSIDE = 0.5
 
 # HTML element names by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -31,7 +36,7 @@ BLOCK = frozenset(
 )
 CLOSES_P = BLOCK - frozenset("head html body li dd dt tr tbody thead tfoot option summary caption legend figcaption".split())
 CLOSES_SELF = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr",), "option": ("option",), "p": ("p",)}
-SCOPE = frozenset("ul ol dl menu table select article section div body html td th".split())
+SCOPE = "ul ol dl menu table select article section div body html td th".split()
 TEXT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th tr tbody figcaption".split())
 FURNITURE = frozenset(
     "nav footer aside form script style noscript template iframe svg canvas button select dialog menu head title textarea object audio video fieldset".split()
@@ -47,8 +52,11 @@ NAMES = frozenset(
 #: Such words that count only outside the article.
 OUTER_NAMES = frozenset(["header", "head", "branding"])
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>|</?[a-zA-Z][^<>]*\Z""", re.S)
+MARK = re.compile(r"<(?=[a-zA-Z!?/])")
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+REST = re.compile(r"""((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+TELLING = re.compile(r"class|id|role|style|hidden", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -56,7 +64,7 @@ def furniture(tag: str, attributes: str, inside: bool) -> bool:
     """Whether an element is furniture by itself; inside: it stands in an article."""
     if tag in FURNITURE or tag == "header" and not inside:
         return True
-    if not attributes or "=" not in attributes and "hidden" not in attributes:
+    if not attributes or not TELLING.search(attributes):
         return False
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), entities.unescape(value.strip("\"'")).lower()
@@ -74,190 +82,226 @@ def furniture(tag: str, attributes: str, inside: bool) -> bool:
     return False
 
 
-def blocks_of(page: str | None) -> list[tuple[str, list[int]]]:
-    """The text blocks of a page's main part in page order, each with the hashes of the deletable subtrees it stands in."""
-    page = page or ""
-    tags, parents, starts, ends, bad, core = ["#root"], [-1], [0], [len(page)], [False], [False]
-    runs: list[tuple[int, str, int]] = []  # node, text, block number
-    stack, number, at = [0], 0, 0
-    position, size = 0, len(page)
+@dataclass
+class Tree:
+    """A parsed page: elements in page order with parent, hash and whether they are furniture or stand in an article, and runs of text."""
 
-    def close(upto: int, where: int) -> None:
+    tags: list[str] = field(default_factory=lambda: ["#root"])
+    parents: list[int] = field(default_factory=lambda: [-1])
+    hashes: list[int] = field(default_factory=lambda: [0])
+    own: list[bool] = field(default_factory=lambda: [False])
+    core: list[bool] = field(default_factory=lambda: [False])
+    runs: list[tuple[int, str, int]] = field(default_factory=list)  # element, text, number of its block
+
+
+def parse(page: str) -> Tree:
+    """The elements and texts of a page, in one pass without walks over open elements.
+
+    A tag that isn't closed before the page ends hides the rest of it; after the first tag whose quotes don't close, tags end at their first `>`.
+    """
+    tree = Tree()
+    tags, parents, runs = tree.tags, tree.parents, tree.runs
+    stack, hashers = [0], [xxhash.xxh64()]
+    open_at: defaultdict[str, list[int]] = defaultdict(list)  # places in the stack, by tag
+    number, position, size, loose = 0, 0, len(page), False
+
+    def close(upto: int) -> None:
         nonlocal number
         while len(stack) > upto:
-            node = stack.pop()
-            ends[node] = where
+            node, hasher = stack.pop(), hashers.pop()
+            open_at[tags[node]].pop()
+            tree.hashes[node] = hasher.intdigest() - 2**63
+            hashers[-1].update(hasher.digest())
             number += tags[node] in BLOCK
 
-    def nearest(names: tuple[str, ...] | frozenset[str]) -> int:
-        for k in range(len(stack) - 1, 0, -1):
-            if tags[stack[k]] in names:
-                return k
-            if tags[stack[k]] in SCOPE:
-                return 0
-        return 0
+    def text_of(where: int, text: str) -> None:
+        runs.append((where, text, number))
+        hashers[-1].update(" ".join(text.split()).encode("utf-8", "replace"))
 
     while position <= size:
-        found = TOKEN.search(page, position)
-        text = page[position : found.start() if found else size]
-        if text:
-            runs.append((stack[-1], text, number))
+        found = MARK.search(page, position)
+        start = found.start() if found else size
+        if start > position:
+            text_of(stack[-1], page[position:start])
         if not found:
             break
-        position, tag = found.end(), found.group(2)
-        if tag is None:
+        named = NAME.match(page, start)
+        if not named:
+            mark = "-->" if page.startswith("<!--", start) else ">"
+            end = page.find(mark, start + len(mark) + 1 if mark == "-->" else start)
+            position = end + len(mark) if end >= 0 else size
             continue
-        tag, start = tag.lower(), found.start()
-        if found.group(1):
-            if tag == "p" and not any(tags[k] == "p" for k in stack) or tag == "br":
+        rest = None if loose else REST.match(page, named.end())
+        if rest:
+            attributes, position = rest.group(1), rest.end()
+        else:
+            loose = True
+            end = page.find(">", named.end())
+            if end < 0:
+                break
+            attributes, position = page[named.end() : end], end + 1
+        tag = named.group(2).lower()
+        if named.group(1):
+            if open_at[tag]:
+                close(open_at[tag][-1])
+            else:
                 number += tag == "p"
-                continue
-            for k in range(len(stack) - 1, 0, -1):
-                if tags[stack[k]] == tag:
-                    close(k, position)
-                    break
             continue
-        if tag in CLOSES_P and (k := next((k for k in range(len(stack) - 1, 0, -1) if tags[stack[k]] == "p"), 0)):
-            close(k, start)
-        if tag in CLOSES_SELF and (k := nearest(CLOSES_SELF[tag])):
-            close(k, start)
+        if tag in CLOSES_P and open_at["p"]:
+            close(open_at["p"][-1])
+        if tag in CLOSES_SELF:
+            last = max((open_at[t][-1] for t in CLOSES_SELF[tag] if open_at[t]), default=0)
+            if last > max((open_at[t][-1] for t in SCOPE if open_at[t]), default=0):
+                close(last)
         if tag in VOID:
             number += tag == "hr"
+            hashers[-1].update(tag.encode("utf-8", "replace"))
             if tag == "br":
-                runs.append((stack[-1], " ", number))
+                text_of(stack[-1], " ")
             continue
         if tag in ("td", "th"):
-            runs.append((stack[-1], " ", number))
-        node = len(tags)
-        attributes = found.group(3)
-        inside = core[stack[-1]]
-        wrong = bad[stack[-1]] or furniture(tag, attributes, inside)
+            text_of(stack[-1], " ")
+        node, inside = len(tags), tree.core[stack[-1]]
         tags.append(tag)
         parents.append(stack[-1])
-        starts.append(start)
-        ends.append(size)
-        bad.append(wrong)
-        core.append(inside or tag in ("article", "main"))
+        tree.hashes.append(0)
+        tree.own.append(furniture(tag, attributes, inside))
+        tree.core.append(inside or tag in ("article", "main"))
+        hasher = xxhash.xxh64(f"<{tag} {' '.join(attributes.split())}>".encode("utf-8", "replace"))
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, position)
+            hasher.update(page[position : end.start() if end else size].encode("utf-8", "replace"))
             position = end.end() if end else size
-            ends[node] = position
-            continue
-        if attributes.endswith("/") and tag in ("svg", "path"):
+        if tag in RAW or attributes.endswith("/") and tag in ("svg", "path"):
+            tree.hashes[node] = hasher.intdigest() - 2**63
+            hashers[-1].update(hasher.digest())
             continue
         number += tag in BLOCK
+        open_at[tag].append(len(stack))
         stack.append(node)
+        hashers.append(hasher)
+    close(1)
+    return tree
+
+
+def upwards(tree: Tree, marks: list[bool]) -> list[bool]:
+    """Marks passed on to all elements around those marked."""
+    for node in range(len(marks) - 1, 0, -1):
+        if marks[node]:
+            marks[tree.parents[node]] = True
+    return marks
+
+
+def blocks_of(page: str | None) -> tuple[list[str], list[tuple[int, int, int, bool]]]:
+    """The blocks of a page's main part by its structure, in page order, and the subtrees that may be templates.
+
+    A subtree is its hash, its first block, the one after its last, and whether it is a text element inside the article. Block elements
+    with text are listed, furniture too, but for html, body, article, main and what an article stands in.
+    """
+    tree = parse(page or "")
+    tags, parents, n = tree.tags, tree.parents, len(tree.tags)
+    holds = upwards(tree, [tags[k] in ("article", "main") and not tree.own[k] for k in range(n)])  # itself, or an article stands in it
+    removed = [False] * n
+    for k in range(1, n):
+        around = holds[k] and tags[k] not in ("article", "main")
+        removed[k] = removed[parents[k]] or tree.own[k] and not around and tags[k] not in ("html", "body")
+    worded, kept = [False] * n, [False] * n
+    for node, text, _ in tree.runs:
+        if not text.isspace():
+            worded[node] = True
+            kept[node] = kept[node] or not removed[node]
+    worded, kept = upwards(tree, worded), upwards(tree, kept)
+    wanted = next((t for t in ("article", "main") if any(tags[k] == t and kept[k] and not removed[k] for k in range(1, n))), None)
+    region = [wanted is None] * n
+    for k in range(1, n):
+        region[k] = region[k] or region[parents[k]] or tags[k] == wanted
 
-    holds = [False] * len(tags)  # an article stands in it: then it is no furniture itself
-    for node in range(len(tags) - 1, 0, -1):
-        if tags[node] in ("article", "main") and not own_furniture(page, node, tags, starts, bad, parents, core) or holds[node]:
-            holds[parents[node]] = True
-    removed = [False] * len(tags)
-    for node in range(1, len(tags)):
-        own = bad[node] and not holds[node] and tags[node] not in ("html", "body")
-        if own and bad[parents[node]] and not removed[parents[node]]:  # inherited from one that is kept after all
-            own = own_furniture(page, node, tags, starts, bad, parents, core)
-        removed[node] = removed[parents[node]] or own
-    region = [False] * len(tags)
-    wanted = next((t for t in ("article", "main") if any(not removed[n] and tags[n] == t and has_text(n, parents, runs, removed) for n in range(1, len(tags)))), None)
-    for node in range(1, len(tags)):
-        region[node] = region[parents[node]] or tags[node] == wanted
-    if wanted is None:
-        region = [True] * len(tags)
-
-    hashes: dict[int, int] = {}
-
-    def subtrees(node: int) -> list[int]:
-        out = []
-        while node > 0 and tags[node] not in ("html", "body", "article", "main"):
-            if not holds[node] and tags[node] in BLOCK and not (wanted and tags[node] in TEXT):
-                if node not in hashes:
-                    hashes[node] = xxhash.xxh64_intdigest(" ".join(page[starts[node] : ends[node]].split()).encode("utf-8", "replace")) - 2**63
-                out.append(hashes[node])
-            node = parents[node]
-        return out
-
-    out: list[tuple[str, list[int]]] = []
+    blocks: list[str] = []
+    first, last, end = [n] * n, [0] * n, None
     held: list[str] = []
-    first = last = None
-    for node, text, block in [*runs, (-1, "", -1)]:
-        if held and block != last:
+    for node, text, number in [*tree.runs, (-1, "", -1)]:
+        if held and number != end:
             words = entities.unescape("".join(held)).split()
             if words:
-                out.append((" ".join(words), subtrees(first)))
+                first[head], last[head] = min(first[head], len(blocks)), len(blocks) + 1
+                blocks.append(" ".join(words))
             held = []
         if node >= 0 and not removed[node] and region[node]:
             if not held:
-                first, last = node, block
+                head, end = node, number
             held.append(text)
-    return out
+    for k in range(n - 1, 0, -1):
+        up = parents[k]
+        first[up], last[up] = min(first[up], first[k]), max(last[up], last[k])
+    subtrees = [
+        (tree.hashes[k], first[k] if last[k] else 0, last[k], wanted is not None and region[k] and tags[k] in TEXT)
+        for k in range(1, n)
+        if worded[k] and not holds[k] and tags[k] in BLOCK and tags[k] not in ("html", "body", "head", "article", "main")
+    ]
+    return blocks, subtrees
 
 
-def own_furniture(page, node, tags, starts, bad, parents, core) -> bool:
-    """Whether the element itself, not one around it, is furniture."""
-    if not bad[node]:
-        return False
-    if not bad[parents[node]]:
-        return True
-    found = TOKEN.match(page, starts[node])
-    return furniture(tags[node], found.group(3) or "", core[parents[node]])
-
-
-def has_text(node: int, parents: list[int], runs: list[tuple[int, str, int]], removed: list[bool]) -> bool:
-    """Whether kept text stands in the element."""
-    for at, text, _ in runs:
-        if removed[at] or text.isspace():
-            continue
-        while at > node:
-            at = parents[at]
-        if at == node:
-            return True
-    return False
-
-
-def main_text(pages: DataFrame, html: str = "html", url: str = "url", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def main_text(
+    pages: DataFrame, html: str = "html", url: str = "url",
+    min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, many_pages: int = MANY_PAGES, min_share_inside: float = MIN_SHARE_INSIDE,
+) -> DataFrame:
     """Adds text and n_chars (code points) to pages, in place of columns of these names and of html.
 
     text joins the main blocks of the page by newlines, white space inside a block being one space;
-    it is empty for null or empty html and for pages without main text. Pages without a host
-    lose no templates. Repeated rows are pages of their own but count once as contents.
-    """
+    it is empty for null or empty html and for pages without main text. A subtree is a template of its host if it recurs on
+    min_pages different pages (by main text, so that mirrored articles count once) and on min_share of the host's or on many_pages; text elements
+    inside an article need min_share_inside. Pages without a host lose no templates. Repeated rows are pages of their own but count once as contents.
+    """
     others = [f for f in pages.schema.fields if f.name not in ("text", "n_chars", html)]
     read = [F.col(f"`{url}`").cast("string").alias("__url"), F.col(f"`{html}`").cast("string").alias("__html")]
     host = with_host_and_path(pages.select(*read, *[F.col(f"`{f.name}`").alias(f"o_{f.name}") for f in others]), "__url")
     host = host.select("__html", "host", *[f"`o_{f.name}`" for f in others])
     schema = ", ".join(
-        ["host string", "blocks array<struct<text:string,inside:array<bigint>>>", "subtrees array<bigint>", "body bigint"]
+        ["host string", "blocks array<string>", "subtrees array<struct<hash:bigint,first:int,last:int,inside:boolean>>", "body bigint"]
         + [f"`o_{f.name}` {f.dataType.simpleString()}" for f in others]
     )
-    kind = pa.list_(pa.struct([("text", pa.string()), ("inside", pa.list_(pa.int64()))]))
+    kind = pa.struct([("hash", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("inside", pa.bool_())])
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parsed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            blocks, subtrees, bodies = [], [], []
+            blocks, cuts, flat, bodies = [], [0], [], []
             for page in batch.column(0):
-                found = blocks_of(page.as_py())
-                blocks.append([{"text": t, "inside": h} for t, h in found])
-                subtrees.append(sorted({h for _, hs in found for h in hs}))
-                bodies.append(xxhash.xxh64_intdigest("\n".join(t for t, _ in found).encode("utf-8", "replace")) - 2**63)
+                texts, subtrees = blocks_of(page.as_py())
+                blocks.append(texts)
+                flat += subtrees
+                cuts.append(len(flat))
+                bodies.append(xxhash.xxh64_intdigest("\n".join(texts).encode("utf-8", "replace")) - 2**63)
+            columns = list(zip(*flat)) or [[], [], [], []]
+            structs = pa.StructArray.from_arrays([pa.array(c, kind[k].type) for k, c in enumerate(columns)], fields=list(kind))
+            lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), structs)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1), pa.array(blocks, kind), pa.array(subtrees, pa.list_(pa.int64())), pa.array(bodies, pa.int64()), *batch.columns[2:]],
+                [batch.column(1), pa.array(blocks, pa.list_(pa.string())), lists, pa.array(bodies, pa.int64()), *batch.columns[2:]],
                 names=["host", "blocks", "subtrees", "body", *[f"o_{f.name}" for f in others]],
             )
 
     spark = pages.sparkSession
     path = shared_dir(spark, "parsed-pages")
-    host.mapInArrow(parse, schema).withColumn("row", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(path)
+    host.mapInArrow(parsed_batches, schema).withColumn("row", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(path)
     parsed = spark.read.parquet(path)
     sited = parsed.filter("host != ''")
-    occurring = sited.filter(F.size("subtrees") > 0).select("host", "body", F.explode("subtrees").alias("subtree"))
-    often = occurring.groupBy("host", "subtree", "body").count().groupBy("host", "subtree").agg(F.count("*").alias("pages")).filter(F.col("pages") >= min_pages)
-    bodies = sited.groupBy("host", "body").count().groupBy("host").agg(F.count("*").alias("bodies"))
-    templates = materialize(often.join(bodies, "host").filter(F.col("pages") >= F.col("bodies") * min_share).select("host", "subtree"), "templates")
-    rows = sited.filter(F.size("subtrees") > 0).select("row", "host", F.explode("subtrees").alias("subtree"))
-    deleted = rows.join(templates, ["host", "subtree"]).groupBy(F.col("row").alias("of")).agg(F.collect_list("subtree").alias("deleted"))
+    templates = materialize(templates_of(sited, min_pages, min_share, many_pages, min_share_inside), "templates")
+    rows = sited.select("row", "host", F.explode(F.filter("subtrees", lambda s: s["last"] > 0)).alias("s"))
+    rows = rows.select("row", "host", F.col("s.hash").alias("subtree"), F.col("s.inside").alias("inside"), F.struct("s.first", "s.last").alias("blocks"))
+    deleted = rows.join(templates, ["host", "subtree", "inside"]).groupBy(F.col("row").alias("of")).agg(F.collect_list("blocks").alias("deleted"))
     deleted = materialize(deleted, "deleted-subtrees")
     joined = parsed.join(deleted, F.col("row") == F.col("of"), "left")
-    kept = F.when(F.col("deleted").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b: ~F.arrays_overlap(b["inside"], F.col("deleted"))))
-    text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
+    whole = lambda k: ~F.exists("deleted", lambda d: (d["first"] <= k) & (k < d["last"]))
+    kept = F.when(F.col("deleted").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b, k: whole(k)))
+    text = F.array_join(kept, "\n")
     return joined.withColumn("text", text).select(*[F.col(f"`o_{f.name}`").alias(f.name) for f in others], "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def templates_of(parsed: DataFrame, min_pages: int, min_share: float, many_pages: int, min_share_inside: float) -> DataFrame:
+    """host, subtree and inside of the templates among parsed(host, subtrees, body); bodies that differ are different pages."""
+    occurring = parsed.select("host", "body", F.explode("subtrees").alias("s")).select("host", "body", F.col("s.hash").alias("subtree"), F.col("s.inside").alias("inside"))
+    once = occurring.groupBy("host", "subtree", "inside", "body").agg(F.lit(1).alias("one"))
+    often = once.groupBy("host", "subtree", "inside").agg(F.count("*").alias("pages")).filter(F.col("pages") >= min_pages)
+    bodies = parsed.groupBy("host", "body").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("bodies"))
+    share = F.col("pages") / F.col("bodies")
+    recurs = F.when(F.col("inside"), share >= min_share_inside).otherwise((share >= min_share) | (F.col("pages") >= many_pages))
+    return often.join(bodies, "host").filter(recurs).select("host", "subtree", "inside")
