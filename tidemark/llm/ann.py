@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import bounded_sample, materialize
-from .vectors import lists, matrix, usable
+from .vectors import common_length, lists, matrix, usable
 
 #: Rows that the cells' tree is fitted on at most (those with the smallest hashes of vec_id).
 SAMPLE = 10_000
@@ -165,20 +165,21 @@ def nearest(
     """query_id, rank, vec_id and score: for each query its k rows of largest cosine found, all others if fewer.
 
     queries is a subset of the rows of vectors. Ties go to the smaller vec_id. Vectors that are null, zero, or
-    hold null or non-finite components take no part, nor do those of another length than most; a
+    hold null or non-finite components take no part, nor do those of another length than most of vectors; a
     query isn't its own neighbour, nor is a repeated row with its id. Repeated ids count as rows of their own.
     """
     spark = vectors.sparkSession
     length = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     base = usable(vectors, vec_id, embedding).filter(length > 0)
-    sample = bounded_sample(base, "vec_id", SAMPLE).select("v").toArrow()
+    width, n = common_length(base)
+    base = base.filter(F.size("v") == width)
+    sample = bounded_sample(base, "vec_id", SAMPLE, n).select("v").toArrow()
     schema = "query_id long, rank int, vec_id long, score double"
     if not sample.num_rows:
         return spark.createDataFrame([], schema)
     rows = matrix(sample["v"])
     axes = np.random.default_rng(seed).standard_normal((rows.shape[1], directions))
     project = lambda m: (m / np.sqrt((m * m).sum(axis=1))[:, None]) @ axes
-    n = base.count()
     depth = max(0, min(int(math.log2(SAMPLE)) - 4, math.ceil(math.log2(max(1, n / cell)))))
     splits = cells_of(project(rows), depth)
     low, high = boxes_of(splits, depth, directions) if depth else (np.full((1, directions), -np.inf), np.full((1, directions), np.inf))
@@ -196,7 +197,7 @@ def nearest(
     counts = placed.groupBy("cell").agg(F.ceil(F.count("*") / cell).cast("int").alias("blocks"))
     counts = materialize(counts, "cells")
     blocks = placed.join(counts, "cell").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks").cast("long")).cast("int")).drop("blocks")
-    asked = usable(queries, vec_id, embedding).filter(length > 0).select(F.col("vec_id"), "v").mapInArrow(located, placed.schema)
+    asked = usable(queries, vec_id, embedding).filter((length > 0) & (F.size("v") == width)).select(F.col("vec_id"), "v").mapInArrow(located, placed.schema)
     asked = materialize(asked.withColumnRenamed("vec_id", "query_id"), "placed-queries")
     found = "query_id long, vec_id long, score double"
 

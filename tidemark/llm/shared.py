@@ -1,24 +1,12 @@
-"""The folder that driver and executors share, and tables written there to cut lineage."""
+"""Tables written to the folder that driver and executors share, to cut lineage, and bounded samples."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir; a local master without that setting gets a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
+from tidemark.sources.scratch import shared_dir
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -28,12 +16,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bounded_sample(frame: DataFrame, key: str, limit: int) -> DataFrame:
+def bounded_sample(frame: DataFrame, key: str, limit: int, n: int | None = None) -> DataFrame:
     """The rows with the `limit` smallest hashes of a key, all if fewer; keys that repeat much may leave fewer.
 
-    Of large tables only about twice the limit's rows get to the sort, so what it gathers doesn't grow with the table.
+    Of large tables only about twice the limit's rows get to the sort, so what it gathers doesn't grow with the table. n: their rows, if known.
     """
-    n, h = frame.count(), F.xxhash64(key)
+    n, h = frame.count() if n is None else n, F.xxhash64(key)
     if n > 2 * limit:
         frame = frame.filter(h <= -(2**63) + int(2**64 * 2 * limit / n))
     return frame.orderBy(h, key).limit(limit)

@@ -1,11 +1,11 @@
 """SimHash near-duplicate detection with pivot distance tables.
 
 Every text gets a fingerprint of its word shingles. Distances of all fingerprints to a fixed set
-of reference fingerprints (pivots) form a table; by the triangle inequality two fingerprints
-within a distance d differ by at most d in every coordinate, so pairs whose coordinates differ by
-more are discarded and the survivors verified on the fingerprints themselves. Pairs are looked for
-among fingerprints that agree on a band of bits. Bands of disjoint bits covering the fingerprint,
-one more than the distance, lose no pair (pigeonhole); sampled bands suit larger distances.
+of reference fingerprints (pivots) form a table, computed once for each different fingerprint and carried along;
+by the triangle inequality two fingerprints within a distance d differ by at most d in every coordinate, so pairs whose
+coordinates differ by more are discarded and the survivors verified on the fingerprints themselves. Bands of bits only
+deal fingerprints to tasks: those that agree on a band meet there, sorted by their first coordinate. Bands that cover the
+fingerprint in more blocks than the distance lose no pair (pigeonhole); sampled bands suit larger distances.
 """
 
 from __future__ import annotations
@@ -87,12 +87,12 @@ def fingerprints(docs: DataFrame, shingle: int, lanes: int = 1, text: str = "tex
 
 
 def disjoint_bands(bits: int, distance: int) -> list[list[int]]:
-    """distance + 1 bands that cover all bits: fingerprints within the distance agree on one of them."""
+    """distance + 1 bands that cover all bits: fingerprints within the distance agree on one of them. Few bands, but large buckets."""
     return [list(map(int, x)) for x in np.array_split(np.arange(bits), distance + 1)]
 
 
 def combined_bands(bits: int, distance: int, blocks: int) -> list[list[int]]:
-    """Bands of all bits of blocks - distance blocks together, exact too: longer keys and smaller buckets for very many fingerprints.
+    """Bands of all bits of blocks - distance blocks together, exact too, whose buckets stay small for billions of fingerprints.
 
     64 bits, distance 3 and 6 blocks make 20 bands of 31 to 33 bits.
     """
@@ -191,6 +191,8 @@ def near_links(
     only pairs whose sets reach the similarity, and pairs connected already by such links are passed over.
     """
     width = lanes + (folder is not None)
+    near_enough = np.uint8 if 64 * lanes < 256 else np.dtype("<u2")
+    pivots = max(1, pivots)
     bits = np.array([[b // 64, b % 64] for band in bands for b in band], dtype=np.int64)
     cuts = np.cumsum([0] + [len(b) for b in bands]).tolist()
     refs = np.random.default_rng(SEED).integers(0, 2**64, (pivots, lanes), dtype=np.uint64)
@@ -201,15 +203,18 @@ def near_links(
             if not n:
                 continue
             words = np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=">u8").reshape(n, width).astype(np.uint64)
+            table = np.stack([np.bitwise_count(words[:, :lanes] ^ r).sum(axis=1, dtype=np.int16) for r in refs], axis=1)
+            first, table = pa.array(table[:, 0]), pa.array([r.tobytes() for r in table.astype(near_enough)], pa.binary())
             for band, (start, end) in enumerate(zip(cuts, cuts[1:])):
                 key = np.zeros(n, dtype=np.uint64)
                 for lane, bit in bits[start:end]:
                     key = (key << np.uint64(1)) | ((words[:, lane] >> np.uint64(bit)) & np.uint64(1))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, band, dtype=np.int32)), pa.array(key.astype(np.int64)), batch.column(0)], names=["band", "key", "fp"]
+                    [pa.array(np.full(n, band, dtype=np.int32)), pa.array(key.astype(np.int64)), batch.column(0), first, table],
+                    names=["band", "key", "fp", "first", "pivots"],
                 )
 
-    rows = fps.select("fp").mapInArrow(keyed, "band int, key long, fp binary")
+    rows = fps.select("fp").mapInArrow(keyed, "band int, key long, fp binary, first short, pivots binary")
     crowded = rows.groupBy("band", "key").count().filter(F.col("count") > PIECE)
     crowded = crowded.select("band", "key", F.ceil(F.col("count") / PIECE).cast("int").alias("pieces"))
     crowded = materialize(crowded, "crowded-buckets")  # few as a rule: with their size known, the rows needn't be shuffled to meet them
@@ -221,12 +226,12 @@ def near_links(
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
         .select(
             F.xxhash64("band", "key", F.least("piece", "other"), F.greatest("piece", "other")).alias("bucket"),
-            "fp",
-        )
+            "fp", "first", "pivots",
+        )
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         edges: list[tuple[np.ndarray, np.ndarray]] = []
         sets = SetReader(folder, similarity) if folder is not None else None
 
@@ -241,19 +246,19 @@ def near_links(
                     if anew:
                         edges.append((words[[k]], words[[k + step]]))
 
-        def settle(bucket: np.ndarray, every: np.ndarray) -> None:
+        def settle(bucket: np.ndarray, every: np.ndarray, table: np.ndarray) -> None:
             words = every[:, :lanes]
             if sets:
                 address, at = np.unique(every[:, lanes], return_inverse=True)
                 label, address = np.arange(len(address)), address.tolist()
-            table = np.stack([np.bitwise_count(words ^ r).sum(axis=1, dtype=np.int16) for r in refs], axis=1) if len(refs) else None
             live, step = np.arange(len(bucket)), 0
             while len(live):
                 step += 1
                 live = live[live + step < len(bucket)]
                 live = live[bucket[live] == bucket[live + step]]
+                live = live[table[live + step, 0] - table[live, 0] <= distance]  # rows are sorted by it: later ones are farther off
                 near = live
-                for p in range(len(refs)):
+                for p in range(1, pivots):
                     near = near[np.abs(table[near, p] - table[near + step, p]) <= distance]
                 near = near[np.bitwise_count(words[near] ^ words[near + step]).sum(axis=1, dtype=np.int64) <= distance]
                 if len(near) and sets:
@@ -289,11 +294,12 @@ def near_links(
                 continue
             bucket = batch.column(0).to_numpy()
             words = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=">u8").reshape(-1, width).astype(np.uint64)
+            table = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=near_enough).reshape(-1, pivots).astype(np.int16)
             if held:
-                bucket, words = np.concatenate([held[0][0], bucket]), np.concatenate([held[0][1], words])
+                bucket, words, table = (np.concatenate([a, b]) for a, b in zip(held[0], (bucket, words, table)))
             last = np.searchsorted(bucket, bucket[-1])  # the last bucket may go on in the next batch
-            settle(bucket[:last], words[:last])
-            held = [(bucket[last:], words[last:])]
+            settle(bucket[:last], words[:last], table[:last])
+            held = [(bucket[last:], words[last:], table[last:])]
             if sum(len(a) for a, _ in edges) > HELD_LINKS:
                 yield from links()
         if held:
@@ -301,14 +307,26 @@ def near_links(
         yield from links()
 
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(compare, "a binary, b binary")
+    return dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "first").select("bucket", "fp", "pivots").mapInArrow(compare, "a binary, b binary")
+
+
+def components_of(distinct: DataFrame, key: str, links: DataFrame) -> DataFrame:
+    """key and component_id (the smallest `least` of the component) for distinct(key, fp, least) and links between fps.
+
+    Names and smallest members are tables of their own, so that a join can split a component of very many members.
+    """
+    roots = component_roots(links)
+    named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(F.col(key).alias("of"), "least", F.coalesce("root", "fp").alias("root"))
+    named = materialize(named, "members")
+    smallest = materialize(named.groupBy("root").agg(F.min("least").alias("component_id")), "smallest-members")
+    return materialize(named.join(smallest, "root").select("of", "component_id"), "components")
 
 
 def simhash_components(
     docs: DataFrame,
-    shingle: int = 5,
-    lanes: int = 4,
-    distance: int = 51,
+    shingle: int = 3,
+    lanes: int = 1,
+    distance: int = 3,
     bands: list[list[int]] | None = None,
     pivots: int = 16,
     text: str = "text",
@@ -319,16 +337,14 @@ def simhash_components(
     Returns doc_id, fp (binary) and component_id, the smallest doc_id of the group, for every row
     of docs; repeated rows stay repeated, a null doc_id counts as the largest, null and empty texts
     share the zero fingerprint. Fingerprints link at `distance` or fewer differing bits out of
-    64 * lanes. bands=None covers all bits with distance + 1 disjoint bands, which is exact,
-    as are combined_bands, whose longer keys suit billions of documents.
+    64 * lanes. bands=None combines three of distance + 3 blocks of bits, which is exact; their number grows with the
+    cube of the distance, so distances of dozens ask for bands of their own (sampled_bands, which isn't exact).
     """
     fp = materialize(fingerprints(docs, shingle, lanes, text, doc_id), "fingerprints")
     least = materialize(fp.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    links = materialize(near_links(least, lanes, distance, bands or disjoint_bands(64 * lanes, distance), pivots), "links")
-    roots = component_roots(links)
-    named = least.join(roots, least["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = materialize(named.join(smallest, "root").select(F.col("fp").alias("of"), "component_id"), "components")
+    bands = bands or combined_bands(64 * lanes, distance, distance + 3)
+    links = materialize(near_links(least, lanes, distance, bands, pivots), "links")
+    of_fp = components_of(least, "fp", links)
     return fp.join(of_fp, F.col("fp") == F.col("of")).select("doc_id", "fp", "component_id")
 
 
@@ -355,10 +371,7 @@ def similar_components(
     address = F.unhex(F.lpad(F.hex("first.address"), 16, "0"))
     least = materialize(least.select("digest", "least", F.concat("first.fp", address).alias("fp")), "distinct-sets")
     links = materialize(near_links(least, lanes, distance, bands, pivots, folder, similarity), "links")
-    roots = component_roots(links)
-    named = least.join(roots, least["fp"] == roots["node"], "left").select("digest", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_set = materialize(named.join(smallest, "root").select(F.col("digest").alias("of"), "component_id"), "components")
+    of_set = components_of(least, "digest", links)
     return rows.join(of_set, F.col("digest") == F.col("of")).select("doc_id", "component_id")
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import materialize
-from .vectors import lists, matrix, usable
+from .vectors import common_length, matrix, usable
 
 #: Bands of length at most, and rows that are searched together, about.
 BANDS, BLOCK = 256, 4_096
@@ -97,14 +97,15 @@ def top_products(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int
     """query_id, rank, vec_id and score (long): for each query its k rows of largest inner product of floor(scale * x), all others if fewer.
 
     queries is a subset of the rows of vectors. Exact, ties to the smaller vec_id. Vectors that are null or
-    hold null or non-finite components take no part, nor do those of another length than most; zero
+    hold null or non-finite components take no part, nor do those of another length than most of vectors; zero
     vectors do. A query isn't its own result, nor is a repeated row with its id.
     """
     spark = vectors.sparkSession
-    base = integers(usable(vectors, vec_id, embedding), scale)
+    base = usable(vectors, vec_id, embedding)
+    width, n = common_length(base)
+    base = integers(base.filter(F.size("v") == width), scale)
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     base = materialize(base.withColumn("norm", norm), "integer-vectors")
-    n = base.count()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     axes, lead = rotation(base)
@@ -121,7 +122,7 @@ def top_products(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int
     counts = materialize(rows.groupBy("band").agg(F.max("norm").alias("longest"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "bands")
     blocks = rows.join(counts.select("band", "blocks"), "band").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks").cast("long")).cast("int"))
     blocks = blocks.select("band", "block", "vec_id", "v")
-    asked = integers(usable(queries, vec_id, embedding), scale).select(F.col("vec_id").alias("query_id"), "v", norm.alias("norm"))
+    asked = integers(usable(queries, vec_id, embedding).filter(F.size("v") == width), scale).select(F.col("vec_id").alias("query_id"), "v", norm.alias("norm"))
     asked = materialize(asked, "integer-queries")
     found = "query_id long, vec_id long, score long"
 

@@ -9,16 +9,17 @@ from pyspark.sql import functions as F
 
 
 def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
-    """vec_id (long) and v (array of double) of vectors without null or non-finite components, with an id, of the commonest length.
-
-    Other vectors take no part; of lengths equally common the larger counts.
-    """
+    """vec_id (long) and v (array of double) of vectors without null or non-finite components, with an id and of one component at least."""
     v = F.col(f"`{embedding}`").cast("array<double>")
     frame = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), v.alias("v"))
     whole = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    frame = frame.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & whole)
-    common = frame.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    return frame.filter(F.size("v") == (common["n"] if common else 0))
+    return frame.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & whole)
+
+
+def common_length(vectors: DataFrame) -> tuple[int, int]:
+    """The commonest length of the vectors v (of equally common ones the larger) and how many have it; zeros for none."""
+    row = vectors.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
+    return (row["n"], row["count"]) if row else (0, 0)
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
