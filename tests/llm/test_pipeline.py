@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import base64
+import hashlib
+
 import numpy as np
+import public_tokenizers as P
+import tiktoken
 
 import corpus_pipeline
+from tidemark.llm.shared import materialize
 
 
 def shingles(text: str | None) -> set:
@@ -44,3 +50,73 @@ def test_near_duplicates_reach_the_similarity(spark):
     assert got >= want  # no document is removed without a partner
     assert len(got - want) <= 2 and len(want) < len(rows) - 100  # the bands may miss a pair at the threshold
     assert corpus_pipeline.near_duplicates(spark, spark.createDataFrame([], "doc_id long, text string"), "").count() == 0
+
+
+CLASH = "doc_id long, text string, source string, toxicity string, copies int, n_tokens string"
+
+
+def test_near_duplicates_keep_one_row_of_each_group(spark):
+    a, b = " ".join(f"w{k}" for k in range(40)), " ".join(f"v{k}" for k in range(40))
+    rows = [(1, a), (1, a), (2, a), (None, a), (None, b), (None, b), (3, None), (4, ""), (5, "  "), (None, None), (7, "some other words that stay here"), (7, "words of the same id but of another text")]
+    rows += [(9, "x " * 200_000), (8, "x  " * 200_000)]
+    frame = spark.createDataFrame([(*r, "s", "clash", k // 2 if r[0] else None, None) for k, r in enumerate(rows)], CLASH)
+    for _ in range(2):
+        got = corpus_pipeline.near_duplicates(spark, materialize(frame, "docs"), "")
+        assert got.columns == frame.columns
+        kept = sorted(((r.doc_id or 0, (r.text or "").split()[:2]) for r in got.collect()))
+        assert kept == [(0, ["v0", "v1"]), (1, ["w0", "w1"]), (3, []), (7, ["some", "other"]), (7, ["words", "of"]), (8, ["x", "x"])]
+
+
+def test_mixing_stage(spark):
+    rng = np.random.default_rng(2)
+    rows = [(k, " ".join(["w"] * int(n)), f"s{k % 3}") for k, n in enumerate(rng.integers(1, 60, 300))] + [(None, "a b c", "s1")] * 40 + [(5, "again five", "s2"), (5, "again five", None)]
+    rows += [(1000, None, "s0"), (1001, "", "s0")]
+    frame = spark.createDataFrame([(*r, "clash", 3, None) for r in rows], CLASH)
+    out = corpus_pipeline.mixing(spark, frame, "")
+    assert out.columns == frame.columns
+    got = [tuple(r)[:3] for r in out.collect()]
+    sizes: dict = {}
+    for _, text, source in rows:
+        sizes[source] = sizes.get(source, 0) + len((text or "").split())
+    taken: dict = {}
+    for _, text, source in got:
+        taken[source] = taken.get(source, 0) + len(text.split())
+    names = ["s0", "s1", "s2", None]  # weights 3, 1, 2, 3: the null source and s0 stop at twice their sizes
+    total, left = 1.5 * sum(sizes.values()), dict(zip(names, (3, 1, 2, 3)))
+    target: dict = {}
+    while left:
+        level = (total - sum(target.values())) / sum(left.values())
+        full = [s for s in left if level * left[s] >= 2 * sizes[s]]
+        target |= {s: 2.0 * sizes[s] for s in full} if full else {s: level * w for s, w in left.items()}
+        left = {s: w for s, w in left.items() if s not in full} if full else {}
+    assert all(abs(taken.get(s, 0) - target[s]) <= 60 for s in names)
+    for row in set(got):
+        assert got.count(row) <= 2 * rows.count(row)
+
+
+def test_stages_of_nothing(spark, tmp_path):
+    none = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars int")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    none.write.parquet(f"file://{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
+    assert corpus_pipeline.mixing(spark, none, "").columns == none.columns
+
+
+def test_whole_pipeline(spark):
+    """Every stage of a run over sf0.001 against brute force on what it was given."""
+    sf_dir = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    given, stages = [docs], dict(corpus_pipeline.STAGES)
+    for name in ("toxicity", "near_duplicates", "mixing"):
+        given.append(materialize(stages[name](spark, given[-1], sf_dir), name))
+        assert given[-1].columns == docs.columns
+    tables = [[tuple(r) for r in frame.collect()] for frame in given]
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    gone = {r[0] for r in tables[0]} - {r[0] for r in tables[1]}
+    assert set(tables[1]) <= set(tables[0]) and sum(labels.get(k, 0) for k in gone) >= 0.8 * sum(labels.get(k, 0) for k in gone if k in labels)
+    assert {r[0] for r in tables[2]} == first_of_groups(tables[1]) and set(tables[2]) <= set(tables[1])
+    assert set(tables[3]) <= set(tables[2]) and all(tables[3].count(r) in (0, 1, 2) for r in tables[2])
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    coder = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = sorted((r[0], hashlib.sha256(np.array(coder.encode_ordinary(r[1] or ""), dtype="<u4").tobytes()).hexdigest()) for r in tables[3])
+    assert sorted((r.doc_id, r.ids_sha256) for r in corpus_pipeline.run(spark, sf_dir).collect()) == want

@@ -228,3 +228,70 @@ def test_toxicity(spark):
     nothing = fit_toxicity(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert score_toxicity(docs.limit(0), nothing).count() == 0
     assert {round(r.toxicity, 6) for r in score_toxicity(docs, nothing).collect()} == {0.5}
+
+
+def test_toxicity_features_against_brute_force(spark):
+    from tidemark.llm import toxicity as T
+
+    rng = np.random.default_rng(4)
+    words = ["straße", "ñandú", "walk", "日本", "rude", "kind"]
+    rows, labels = [], []
+    for k in range(240):
+        toxic = int(k % 3 == 0)
+        rows.append((k, " ".join(rng.choice(words[:4], 12).tolist() + (["RÜDE  oaf"] if toxic and k % 6 else []))))
+        labels.append((k, toxic))
+    rows += [(k, None) for k in range(240, 244)]
+    labels += [(k, k % 2) for k in range(240, 244)]
+    model = fit_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    grams = lambda t: {g[j : j + n] for g in [" " + " ".join((t or "").lower().split()) + " "] for n in (3, 4, 5) for j in range(len(g) - n + 1)}
+    buckets: dict = {}
+    by_label: tuple = ({}, {})
+    for (k, t), (_, y) in zip(rows, labels):
+        for b in {_bucket_of(g, T) for g in grams(t)}:
+            by_label[y][b] = by_label[y].get(b, 0) + 1
+    n1, n0 = sum(y for _, y in labels), sum(1 - y for _, y in labels)
+    for b in set(by_label[0]) | set(by_label[1]):
+        a, c = by_label[1].get(b, 0), by_label[0].get(b, 0)
+        e = (a + c) * n1 / (n1 + n0)
+        chi = (a - e) ** 2 * (1 / e + 1 / (a + c - e)) + ((a - e) ** 2 * (1 / (n1 - e) + 1 / (n0 - (a + c - e))) if a + c < n1 + n0 else 0)
+        if chi > 29.7:
+            buckets[b] = np.log((a + 1) / (n1 + 2)) - np.log((c + 1) / (n0 + 2))
+    assert buckets and dict(zip(model.buckets.tolist(), np.round(model.ratios, 9).tolist())) == {b: round(r, 9) for b, r in buckets.items()}
+
+
+def _bucket_of(gram: str, T) -> int:
+    """The bucket of one n-gram, hashed by hand."""
+    h = 0
+    for c in gram:
+        h = (h * 0x100000001B3 + ord(c)) % 2**64
+    return (h * 0x9E3779B97F4A7C15 % 2**64) >> (64 - T.BITS)
+
+
+def test_logistic_reaches_the_optimum():
+    from tidemark.llm.toxicity import logistic
+
+    rng = np.random.default_rng(6)
+    scale = rng.normal(size=40)
+    found = [np.flatnonzero(rng.random(40) < 0.2) for _ in range(300)] + [np.empty(0, dtype=np.int64)]
+    x = np.zeros((301, 40))
+    for k, f in enumerate(found):
+        x[k, f] = scale[f]
+    y = (x @ rng.normal(size=40) + rng.normal(size=301) > 0.3).astype(float)
+    w, b = logistic(found, scale, y, 0.0)
+    p = 1 / (1 + np.exp(-(x @ w + b)))
+    assert np.abs(x.T @ (p - y) + w).max() < 0.05 and abs((p - y).sum()) < 0.05
+
+
+def test_thin_query_of_toxicity(spark, tmp_path):
+    from tidemark.llm.queries import QUERIES
+
+    import zlib
+
+    rows = [(k, f"some words {k % 7} here" + (" you moronic scumbag" if k % 5 == 0 else "")) for k in range(200)] + [(None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, int(k % 5 == 0)) for k in range(180)], "doc_id long, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    out = QUERIES["op5_toxicity"](spark, f"file://{tmp_path}")
+    assert dict(out.dtypes) == {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"}
+    for r in out.collect():
+        assert r.held_out == (zlib.crc32(str(r.doc_id if r.doc_id is not None else "").encode()) % 3 == 1)
+        assert r.predicted == int(r.score >= 0.7) == int(r.doc_id is not None and r.doc_id % 5 == 0)

@@ -69,6 +69,30 @@ def test_nearest_finds_all_of_parallel_rows(spark):
     assert by == {q: {6 * (q // 6) + k for k in range(6)} - {q} for q, _ in rows} and len(out) == 5 * len(rows)
 
 
+def test_queries_of_another_common_length(spark):
+    rng = np.random.default_rng(1)
+    rows = [(k, rng.standard_normal(3).tolist()) for k in range(1, 30)] + [(100, [1.0] * 5), (200, [2.0] * 5), (300, rng.standard_normal(3).tolist())]
+    frame = frame_of(spark, rows)
+    for search in (nearest, top_products):
+        out = search(frame, frame.filter("vec_id % 100 = 0"), k=5).collect()
+        assert {r.query_id for r in out} == {300} and len(out) == 5
+
+
+def test_nearest_recall_on_many_rows(spark):
+    rng = np.random.default_rng(30)
+    centres = rng.standard_normal((300, 64))
+    rows = centres[rng.integers(0, 300, 30_000)] + 0.4 * rng.standard_normal((30_000, 64))
+    frame = spark.createDataFrame([(k, v) for k, v in enumerate(rows.tolist())], "vec_id long, embedding array<double>")
+    out = nearest(frame, frame.filter("vec_id % 100 = 0"), k=5).collect()
+    unit = rows / np.linalg.norm(rows, axis=1)[:, None]
+    asked = np.arange(0, 30_000, 100)
+    scores = unit[asked] @ unit.T
+    scores[np.arange(300), asked] = -9
+    best = np.argsort(-scores, axis=1)[:, :5]
+    found = {(r.query_id, r.vec_id) for r in out}
+    assert len(out) == 1500 and sum((q, v) in found for q, five in zip(asked.tolist(), best.tolist()) for v in five) >= 0.9 * 1500
+
+
 def test_vector_searches_of_little(spark):
     none = frame_of(spark, [])
     one = frame_of(spark, [(0, [1.0, 2.0]), (0, [1.0, 3.0]), (None, None)])

@@ -1,14 +1,15 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-Trained on labelled rows only. Hashed n-grams of 3 to 5 bytes of the lower-cased text are counted
-by class over the training sample; the most telling ones are kept, each scaled by the log ratio of
-its smoothed rates in the two classes, and a logistic regression is fitted on their presence.
+Trained on labelled rows only. Hashed n-grams of 3 to 5 characters (code points) of the lower-cased text are counted
+by class over the training sample. Those whose counts differ significantly between the classes are the features, each
+scaled by the log ratio of its smoothed rates, and a logistic regression is fitted on their presence.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -20,68 +21,81 @@ from .shared import bounded_sample, materialize
 
 #: Labelled rows that the classifier is fitted on at most: those with the smallest hashes of doc_id.
 MAX_TRAINING_ROWS = 20_000
-#: N-grams kept for the regression.
-MAX_FEATURES = 400
 ORDERS = (3, 4, 5)
 BITS = 20
 CHUNK = 1 << 14
+#: Chance that any bucket at all counts as a feature without cause (a chi-square test for each, by Bonferroni).
+SIGNIFICANCE = 0.05
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """buckets: hashed n-grams; weights: their weights times log-count ratios."""
+    """buckets: hashed n-grams; ratios: their log-count ratios; weights: learned weights times ratios."""
 
     buckets: np.ndarray
+    ratios: np.ndarray
     weights: np.ndarray
     bias: float
 
-    def scores(self, texts: Iterator[str | None]) -> np.ndarray:
+    def places(self) -> np.ndarray:
+        """The feature of each bucket, -1 for none."""
+        return places(self.buckets)
+
+    def scores(self, texts: Iterator[str | None], place: np.ndarray) -> np.ndarray:
         """Probability of label 1 for each whole text."""
-        place = np.full(1 << BITS, -1, dtype=np.int32)
-        place[self.buckets] = np.arange(len(self.buckets), dtype=np.int32)
         sums = [self.weights[present(t, place)].sum() for t in texts]
         return 1 / (1 + np.exp(-np.clip(np.array(sums, dtype=np.float64) + self.bias, -500, 500)))
 
 
+def places(buckets: np.ndarray) -> np.ndarray:
+    place = np.full(1 << BITS, -1, dtype=np.int32)
+    place[buckets] = np.arange(len(buckets), dtype=np.int32)
+    return place
+
+
 def hashed(text: str | None) -> np.ndarray:
-    """Buckets of all byte n-grams of the lower-cased text, white space as single spaces."""
-    raw = b" " + b" ".join((text or "").lower().encode("utf-8", "replace").split()) + b" "
-    codes = np.frombuffer(raw, dtype=np.uint8).astype(np.uint64)
+    """Buckets of all n-grams of code points of the lower-cased text, white space as single spaces."""
+    raw = f" {' '.join((text or '').lower().split())} ".encode("utf-32-le", "replace")
+    codes = np.frombuffer(raw, dtype="<u4").astype(np.uint64)
     out, gram = [], codes
     with np.errstate(over="ignore"):
         for order in range(2, max(ORDERS) + 1):
             if len(codes) < order:
                 break
-            gram = gram[:-1] * np.uint64(257) + codes[order - 1 :]
+            gram = gram[:-1] * np.uint64(0x100000001B3) + codes[order - 1 :]
             if order in ORDERS:
                 out.append((gram * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS))
     return np.concatenate(out).astype(np.int64) if out else np.empty(0, dtype=np.int64)
 
 
 def present(text: str | None, place: np.ndarray) -> np.ndarray:
-    """The kept features that occur in the text."""
+    """The features that occur in the text."""
     found = place[hashed(text)]
     return np.unique(found[found >= 0])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS, max_features: int = MAX_FEATURES) -> ToxicityModel:
+def fit_toxicity(
+    docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS, significance: float = SIGNIFICANCE,
+    text: str = "text", doc_id: str = "doc_id", label: str = "toxic",
+) -> ToxicityModel:
     """Fits the classifier on docs(doc_id, text) that labels(doc_id, toxic 0/1) marks.
 
     Null ids and null labels take no part; an id labelled both ways counts as toxic; of repeated
-    ids the smallest text is used. Without both classes the model is a constant.
-    """
-    marked = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").alias("of"))
+    ids the smallest text is used. Without both classes, or without a significant n-gram, the model is a constant.
+    """
+    marked = labels.select(F.col(f"`{doc_id}`").alias("of"), F.col(f"`{label}`").alias("toxic"))
+    marked = marked.filter(F.col("of").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("of")
     sample = bounded_sample(marked.agg(F.max("toxic").cast("int").alias("toxic")), "of", max_rows)
     sample = materialize(sample, "toxicity-labels")
-    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    texts = texts.join(F.broadcast(sample), F.col("doc_id") == F.col("of"))  # max_rows short rows at most
+    texts = docs.select(F.col(f"`{doc_id}`").alias("id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    texts = texts.join(F.broadcast(sample), F.col("id") == F.col("of"))  # max_rows short rows at most
     texts = materialize(texts.groupBy("of", "toxic").agg(F.min("text").alias("text")), "toxicity-texts")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, some = np.zeros((2, 1 << BITS), dtype=np.int32), False
         for batch in batches:
-            for label, text in zip(batch.column(0), batch.column(1)):
-                counts[label.as_py(), np.unique(hashed(text.as_py()))] += 1
+            for mark, t in zip(batch.column(0), batch.column(1)):
+                counts[mark.as_py(), np.unique(hashed(t.as_py()))] += 1
                 some = True
         if some:
             cut = counts.reshape(2, -1, CHUNK)
@@ -91,9 +105,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAININ
     sizes = {row["toxic"]: row["count"] for row in texts.groupBy("toxic").count().collect()}
     n_toxic, n_other = sizes.get(1, 0), sizes.get(0, 0)
     prior = float(np.log((n_toxic + 1) / (n_other + 1)))
-    constant = ToxicityModel(np.empty(0, dtype=np.int64), np.empty(0), prior)
+    constant = ToxicityModel(np.empty(0, dtype=np.int64), np.empty(0), np.empty(0), prior)
     if not n_toxic or not n_other:
         return constant
+    least = NormalDist().inv_cdf(1 - significance / (1 << BITS) / 2) ** 2
 
     def telling(frame: pd.DataFrame) -> pd.DataFrame:
         with_it = np.stack([sum(np.frombuffer(x, dtype=np.int32).astype(np.float64) for x in frame[c]) for c in ("toxic", "other")])
@@ -102,50 +117,65 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAININ
         rest = all_of.sum() - with_it.sum(0)
         with np.errstate(divide="ignore", invalid="ignore"):
             chi = ((with_it - expected) ** 2 / expected + (with_it - expected) ** 2 / (rest * all_of / all_of.sum())).sum(0)
-        chi = np.nan_to_num(chi, nan=0.0, posinf=0.0)
-        best = np.argsort(-chi, kind="stable")[:max_features]
+        significant = np.flatnonzero(np.nan_to_num(chi, nan=0.0, posinf=0.0) > least)
         ratio = np.log((with_it[0] + 1) / (n_toxic + 2)) - np.log((with_it[1] + 1) / (n_other + 2))
-        return pd.DataFrame({"bucket": frame["chunk"].iloc[0] * CHUNK + best, "chi": chi[best], "ratio": ratio[best]})
+        return pd.DataFrame({"bucket": frame["chunk"].iloc[0] * CHUNK + significant, "ratio": ratio[significant]})
 
     counted = texts.select("toxic", "text").mapInArrow(count, "chunk long, toxic binary, other binary")
-    kept = counted.groupBy("chunk").applyInPandas(telling, "bucket long, chi double, ratio double")
-    kept = kept.filter("chi > 0").orderBy(F.desc("chi"), "bucket").limit(max_features).collect()
-    if not kept:
+    kept = counted.groupBy("chunk").applyInPandas(telling, "bucket long, ratio double").orderBy("bucket").toPandas()  # 2 ** BITS rows at most
+    if not len(kept):
         return constant
-    buckets, ratios = np.array([r["bucket"] for r in kept]), np.array([r["ratio"] for r in kept])
-    place = np.full(1 << BITS, -1, dtype=np.int32)
-    place[buckets] = np.arange(len(buckets), dtype=np.int32)
+    buckets, ratios = kept["bucket"].to_numpy(), kept["ratio"].to_numpy()
+    place = places(buckets)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [present(t.as_py(), place).astype(np.int16).tobytes() for t in batch.column(2)]
+            found = [present(t.as_py(), place).astype(np.int32).tobytes() for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["of", "toxic", "found"])
 
     schema = f"of {texts.schema['of'].dataType.simpleString()}, toxic int, found binary"
-    data = texts.select("of", "toxic", "text").mapInArrow(rows, schema).orderBy(F.xxhash64("of"), "of").toPandas()
-    x = np.zeros((len(data), len(buckets)), dtype=np.float32)
-    for k, found in enumerate(data["found"]):
-        x[k, np.frombuffer(found, dtype=np.int16)] = 1
-    x *= ratios.astype(np.float32)
-    weights, bias = logistic(x, data["toxic"].to_numpy(dtype=np.float64), prior)
-    return ToxicityModel(buckets, weights * ratios, bias)
-
-
-def logistic(x: np.ndarray, y: np.ndarray, bias: float, penalty: float = 1.0, steps: int = 25) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression by Newton steps; the bias goes without penalty."""
-    x = np.hstack([x, np.ones((len(x), 1), dtype=x.dtype)])
-    w = np.zeros(x.shape[1])
-    w[-1] = bias
-    ridge = np.full(len(w), penalty)
-    ridge[-1] = 1e-6
+    data = texts.select("of", "toxic", "text").mapInArrow(rows, schema).orderBy(F.xxhash64("of"), "of").toPandas()  # max_rows short rows at most
+    found = [np.frombuffer(x, dtype=np.int32) for x in data["found"]]
+    weights, bias = logistic(found, ratios, data["toxic"].to_numpy(dtype=np.float64), prior)
+    return ToxicityModel(buckets, ratios, weights * ratios, bias)
+
+
+def logistic(found: list[np.ndarray], scale: np.ndarray, y: np.ndarray, bias: float, penalty: float = 1.0, steps: int = 40) -> tuple[np.ndarray, float]:
+    """Ridge logistic regression on features that are scale[k] where k is in found and 0 elsewhere; the bias goes without penalty.
+
+    Newton's steps are solved by conjugate gradients, so neither a dense matrix nor one of all pairs of features is built.
+    """
+    columns, n = np.concatenate(found), len(found)
+    at = np.repeat(np.arange(n), [len(x) for x in found])
+    values = scale[columns]
+    times = lambda w: np.bincount(at, values * w[:-1][columns], minlength=n) + w[-1]
+    back = lambda r: np.append(np.bincount(columns, values * r[at], minlength=len(scale)), r.sum())
+    ridge = np.append(np.full(len(scale), penalty), 1e-6)
+    squares = lambda r: np.append(np.bincount(columns, values**2 * r[at], minlength=len(scale)), r.sum())
+    w = np.append(np.zeros(len(scale)), bias)
+    loss = lambda w: np.logaddexp(0, -(2 * y - 1) * times(w)).sum() + (ridge * w * w).sum() / 2
+    held = loss(w)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (p - y) + ridge * w
-        curvature = np.maximum(p * (1 - p), 1e-6).astype(x.dtype)
-        step = np.linalg.solve((x.T @ (x * curvature[:, None])).astype(np.float64) + np.diag(ridge), gradient)
-        step *= min(1.0, 20 / max(np.abs(step).max(), 1e-12))
-        w = w - step
-        if np.abs(step).max() < 1e-6:
+        p = 1 / (1 + np.exp(-np.clip(times(w), -30, 30)))
+        gradient, curvature = back(p - y) + ridge * w, np.maximum(p * (1 - p), 1e-9)
+        diagonal = squares(curvature) + ridge
+        step, residual = np.zeros(len(w)), -gradient
+        z = residual / diagonal
+        direction, rz = z, residual @ z
+        for _ in range(200):
+            if np.abs(residual).max() <= 1e-3 * np.abs(gradient).max():
+                break
+            moved = back(curvature * times(direction)) + ridge * direction
+            length = rz / (direction @ moved)
+            step, residual = step + length * direction, residual - length * moved
+            z = residual / diagonal
+            rz, was = residual @ z, rz
+            direction = z + rz / was * direction
+        size = 1.0
+        while size > 1e-6 and loss(w + size * step) > held:
+            size /= 2
+        w, before, held = w + size * step, held, loss(w + size * step)
+        if before - held <= 1e-7 * max(1.0, abs(held)):
             break
     return w[:-1], float(w[-1])
 
@@ -159,12 +189,13 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text") ->
     frame = docs.select(*[F.col(f"`{c}`") for c in others])
     if dict(docs.dtypes)[text] != "string" or text not in others:  # else the text isn't sent to Python twice
         frame = docs.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text}`").cast("string").alias("__text"))
-    place = others.index(text) if len(frame.columns) == len(others) else len(others)
+    at = others.index(text) if len(frame.columns) == len(others) else len(others)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "toxicity"] + ["toxicity double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = model.places()
         for batch in batches:
-            scores = model.scores(t.as_py() for t in batch.column(place))
+            scores = model.scores((t.as_py() for t in batch.column(at)), place)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], pa.array(scores, pa.float64())], names=[*others, "toxicity"])
 
     return frame.mapInArrow(run, schema)
