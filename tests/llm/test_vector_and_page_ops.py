@@ -146,6 +146,13 @@ def test_warc_round_trip(spark):
     assert warc_round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_of_any_page_id(spark):
+    ids = ["None", "a>b", "line\r\nend", "é %41", "", None]
+    pages = spark.createDataFrame([(i, "u", f"payload {i}") for i in ids], "page_id string, url string, html string")
+    out = {r.payload_digest: r.page_id for r in warc_round_trip(pages).collect()}
+    assert out == {hashlib.sha256(f"payload {i}".encode()).hexdigest(): i for i in ids}
+
+
 def test_damaged_archives(tmp_path):
     good = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\nWARC-Date: x\r\nWARC-Payload-Digest: sha256:%b\r\nContent-Length: 26\r\n\r\nH\r\nContent-Length: 2\r\n\r\nab\r\n\r\n"
     good = good % hashlib.sha256(b"ab").hexdigest().encode()

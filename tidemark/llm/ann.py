@@ -180,7 +180,7 @@ def nearest(
     rows = matrix(sample["v"])
     axes = np.random.default_rng(seed).standard_normal((rows.shape[1], directions))
     project = lambda m: (m / np.sqrt((m * m).sum(axis=1))[:, None]) @ axes
-    depth = max(0, min(int(math.log2(SAMPLE)) - 4, math.ceil(math.log2(max(1, n / cell)))))
+    depth = max(0, min(int(math.log2(SAMPLE)) - 2, math.ceil(math.log2(max(1, n / cell)))))  # a few sampled rows a cell at least
     splits = cells_of(project(rows), depth)
     low, high = boxes_of(splits, depth, directions) if depth else (np.full((1, directions), -np.inf), np.full((1, directions), np.inf))
     test = chi_square_quantile(confidence, directions)
@@ -213,12 +213,15 @@ def nearest(
 
     def routes(batches):
         for batch in batches:
-            gaps = away(matrix(batch.column(2)), low, high) if batch.num_rows else np.empty((0, len(low)))
-            row, cell = np.nonzero(gaps <= test * np.asarray(batch.column(3))[:, None] + SLACK)
-            for start in range(0, len(row), 20_000):
-                part = row[start : start + 20_000]
-                taken = [batch.column(c).take(pa.array(part)) for c in range(5)]
-                yield pa.RecordBatch.from_arrays([*taken, pa.array(cell[start : start + 20_000])], names=["query_id", "v", "p", "reach", "home", "cell"])
+            points, reaches = matrix(batch.column(2)), np.asarray(batch.column(3))
+            together = max(1, 1_000_000 // len(low))  # queries whose distances to all cells are held at once
+            for first in range(0, batch.num_rows, together):
+                part = slice(first, first + together)
+                row, cell = np.nonzero(away(points[part], low, high) <= test * reaches[part, None] + SLACK)
+                for start in range(0, len(row), 20_000):
+                    some = pa.array(row[start : start + 20_000] + first)
+                    taken = [batch.column(c).take(some) for c in range(5)]
+                    yield pa.RecordBatch.from_arrays([*taken, pa.array(cell[start : start + 20_000])], names=["query_id", "v", "p", "reach", "home", "cell"])
 
     bounded = asked.join(bound, F.col("query_id") == F.col("of"), "left").select("query_id", "v", "p", F.coalesce("reach", F.lit(float("inf"))).alias("reach"), F.col("cell").alias("home"))
     routed = bounded.mapInArrow(routes, "query_id long, v array<double>, p array<double>, reach double, home long, cell long")

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from .shared import materialize
 from .vectors import common_length, matrix, usable
 
-#: Bands of length at most, and rows that are searched together, about.
-BANDS, BLOCK = 256, 4_096
+#: Bands of length at most, and rows that are searched together, about: at least and at most. Every block gets its own copy of the queries that reach it.
+BANDS, BLOCK, LARGEST_BLOCK = 256, 4_096, 32_768
 #: Share of all squared lengths that the leading rotated coordinates hold.
 LEADING = 0.5
 #: Queries that are multiplied together.
@@ -109,7 +109,8 @@ def top_products(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     axes, lead = rotation(base)
-    n_bands = max(1, min(BANDS, -(-n // BLOCK)))
+    block_rows = max(BLOCK, min(LARGEST_BLOCK, n // BANDS))
+    n_bands = max(1, min(BANDS, -(-n // block_rows)))
     cuts = sorted(set(base.approxQuantile("norm", [i / n_bands for i in range(1, n_bands)], 0.2 / n_bands))) if n_bands > 1 else []
     edges = np.array(cuts)
 
@@ -119,7 +120,7 @@ def top_products(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(band.astype(np.int64))], names=["vec_id", "v", "norm", "band"])
 
     rows = base.mapInArrow(banded, "vec_id long, v array<double>, norm double, band long")
-    counts = materialize(rows.groupBy("band").agg(F.max("norm").alias("longest"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "bands")
+    counts = materialize(rows.groupBy("band").agg(F.max("norm").alias("longest"), F.ceil(F.count("*") / block_rows).cast("int").alias("blocks")), "bands")
     blocks = rows.join(counts.select("band", "blocks"), "band").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks").cast("long")).cast("int"))
     blocks = blocks.select("band", "block", "vec_id", "v")
     asked = integers(usable(queries, vec_id, embedding).filter(F.size("v") == width), scale).select(F.col("vec_id").alias("query_id"), "v", norm.alias("norm"))

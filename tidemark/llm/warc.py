@@ -10,7 +10,7 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import zstandard
@@ -23,7 +23,7 @@ from .shared import bounded_sample, file_system, materialize, shared_dir
 ROLL = 64 << 20
 #: Payloads that the dictionary is trained on at most, and how much of each is read for that.
 SAMPLE_ROWS, SAMPLE_BYTES = 400, 16_384
-DICTIONARY_BYTES = 32 << 10
+DICTIONARY_BYTES, LEAST_SAMPLES = 32 << 10, 16
 #: Equal payloads shorter than this are stored each.
 LEAST_REVISIT = 100
 # Magic numbers of the .warc.zst format.
@@ -35,7 +35,11 @@ class WarcError(ValueError):
 
 
 def train_dictionary(pages: DataFrame, payload: str = "html", rows: int = SAMPLE_ROWS, size: int = DICTIONARY_BYTES) -> bytes:
-    """A Zstandard dictionary from a bounded sample of different payloads (chosen by hash, equal ones once); empty if there are too few."""
+    """A Zstandard dictionary from the heads of a bounded sample of different payloads (chosen by hash, equal ones once).
+
+    Empty for fewer than LEAST_SAMPLES payloads, and where the trainer finds too little in them (short or all alike): archives then
+    begin with an empty frame and records are compressed without a dictionary, whole all the same.
+    """
     heads = pages.filter(F.length(payload) > 0).select(F.substring(payload, 1, SAMPLE_BYTES // 4).alias("head"), F.xxhash64(payload).alias("h"))
     chosen = [r["h"] for r in bounded_sample(heads.select("h").distinct(), "h", rows).collect()]
     if not chosen:
@@ -43,19 +47,29 @@ def train_dictionary(pages: DataFrame, payload: str = "html", rows: int = SAMPLE
     found = heads.filter(F.col("h").isin(chosen)).groupBy("h").agg(F.min("head").alias("head")).orderBy("h").collect()
     heads = [r["head"].encode("utf-8", "replace") for r in found]
     try:
-        return zstandard.train_dictionary(size, heads).as_bytes() if len(heads) >= 16 else b""
+        return zstandard.train_dictionary(size, heads).as_bytes() if len(heads) >= LEAST_SAMPLES else b""
     except zstandard.ZstdError:
         return b""
 
 
-def record_bytes(page_id: object, url: str | None, payload: bytes, digest: str, refers_to: object, revisit: bool) -> bytes:
+def name_of(page_id: str | None) -> str:
+    """The record id of a page; any string may be one."""
+    return f"<urn:page:{quote(page_id, safe='')}>" if page_id is not None else f"<urn:uuid:{uuid.uuid4()}>"
+
+
+def id_of(name: str | None) -> str | None:
+    """The page of a record id."""
+    return unquote(name[10:-1]) if name and name.startswith("<urn:page:") else None
+
+
+def record_bytes(page_id: str | None, url: str | None, payload: bytes, digest: str, refers_to: str | None, revisit: bool) -> bytes:
     """One WARC/1.1 record. A revisit holds the HTTP headers only, with the length of the whole payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:page:{page_id}>",
+        f"WARC-Record-ID: {name_of(page_id)}",
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Payload-Digest: sha256:{digest}",
         f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}",
@@ -65,7 +79,7 @@ def record_bytes(page_id: object, url: str | None, payload: bytes, digest: str,
     if url is not None:
         lines.insert(3, f"WARC-Target-URI: {quote(url, safe='%:/?#[]@!$&()*+,;=~' + chr(39))}")
     if revisit:
-        lines += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        lines += [f"WARC-Refers-To: {name_of(refers_to)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     return "\r\n".join(lines).encode("utf-8", "replace") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -179,10 +193,9 @@ def parse_record(raw: bytes) -> dict[str, object]:
     revisit = fields["warc-type"] == "revisit"
     if not revisit and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
         raise WarcError(f"{fields['warc-record-id']}: the payload differs from its length or digest")
-    number = lambda value: value.removeprefix("<urn:page:").removesuffix(">") if value else None
     return {
-        "page_id": number(fields["warc-record-id"]), "url": fields.get("warc-target-uri"), "record_type": fields["warc-type"],
-        "payload_bytes": size, "payload_digest": digest, "refers_to": number(fields.get("warc-refers-to")), "payload": None if revisit else payload,
+        "page_id": id_of(fields["warc-record-id"]), "url": fields.get("warc-target-uri"), "record_type": fields["warc-type"],
+        "payload_bytes": size, "payload_digest": digest, "refers_to": id_of(fields.get("warc-refers-to")), "payload": None if revisit else payload,
     }
 
 
@@ -229,5 +242,5 @@ def warc_round_trip(pages: DataFrame, payload: str = "html", page_id: str = "pag
     files = materialize(write_archives(linked, folder, train_dictionary(frame)), "warc-files")
     records = read_archives(spark, files, keep_payload)
     kind = frame.schema["page_id"].dataType
-    number = lambda c: F.when(F.col(c) != "None", F.col(c)).cast(kind).alias(c)
-    return records.select(number("page_id"), *[F.col(c) for c in records.columns if c not in ("page_id", "refers_to")], number("refers_to"))
+    typed = lambda c: F.col(c).cast(kind).alias(c)
+    return records.select(typed("page_id"), *[F.col(c) for c in records.columns if c not in ("page_id", "refers_to")], typed("refers_to"))
