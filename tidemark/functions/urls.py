@@ -73,3 +73,36 @@ def repeats_segment(url: Column, times: int = 3, least: int = 4) -> Column:
     """Whether a path segment of at least so many characters occurs so often: the path runs in circles."""
     parts = F.filter(F.split(F.lower(path(url)), "/"), lambda p: F.length(p) >= least)
     return F.exists(parts, lambda p: F.size(F.filter(parts, lambda q: p == q)) >= times)
+
+
+# Path segments that name nothing, words written in capitals.
+PLAIN_SEGMENTS = r"(?i)^(page|pages|resources?|view|programs?|awards?|scholarships?|fellowships?|grants?|index\.(html?|php|aspx?))$"
+CAPITALS = ["faq", "faqs", "pdf", "nsf", "grfp", "usa", "us", "uk", "phd", "nasa", "rd"]
+
+
+def readable(url: Column) -> Column:
+    """A title from the last telling segment of a url's path; Homepage without one."""
+    segments = F.filter(F.split(path(url), "/"), lambda p: (F.length(p) > 1) & ~p.rlike(PLAIN_SEGMENTS))
+    last = F.regexp_replace(F.coalesce(F.get(segments, F.size(segments) - 1), F.lit("")), r"(?i)\.(html?|php|aspx?|pdf)$", "")
+    words = F.filter(F.split(F.regexp_replace(F.regexp_replace(last, "([a-z])([A-Z])", "$1 $2"), "[-_]+", " "), " "), lambda w: w != "")
+    titled = F.transform(words, lambda w: F.when(F.lower(w).isin(CAPITALS), F.upper(w)).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 10_000))))
+    return F.when(last == "", "Homepage").otherwise(F.array_join(titled, " "))
+
+
+def intake(c: Column) -> Column:
+    """A submitted url made plain: https if it names no scheme, no fragment or tracking, sorted parameters, single slashes, none at the end; null if it isn't http."""
+    raw = F.trim(c)
+    whole = F.when(raw.rlike("(?i)^[a-z][a-z0-9+.-]*:"), raw).otherwise(F.concat(F.lit("https://"), raw))
+    place = F.regexp_replace(F.regexp_replace(path(whole), "/{2,}", "/"), "/+$", "")
+    name = lambda p: F.lower(F.regexp_extract(p, "^([^=]*)", 1))
+    kept = F.array_sort(F.filter(F.split(query_string(whole), "&"), lambda p: (p != "") & ~name(p).startswith("utm_") & ~name(p).isin(TRACKING)))
+    where = F.lower(F.regexp_extract(whole, "(?i)^(https?://[^/?#]+)", 1))
+    out = F.concat(where, F.when(place == "", "/").otherwise(place), F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(F.lit("")))
+    return F.when(where != "", out)
+
+
+def text_fragment(url: Column, text: Column) -> Column:
+    """A link to a passage of a page; null for pdf files and other schemes than http."""
+    plain = F.regexp_replace(url, "#.*$", "")
+    coded = F.replace(F.url_encode(F.trim(text)), F.lit("+"), F.lit("%20"))
+    return F.when(url.rlike("(?i)^https?://") & ~F.lower(path(url)).endswith(".pdf") & (F.trim(text) != ""), F.concat(plain, F.lit("#:~:text="), coded))
