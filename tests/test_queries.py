@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 
 from tests.oracle import connect, difference
-from tidemark.plans import catalog, events, gates, ledgers, registry, web  # noqa: F401
+from tidemark.plans import catalog, events, gates, ledgers, registry, values, web  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 # Names of kinds by the start of a schema, and keys that a shape leaves out.
 KINDS = {"OBJECT": "object", "ARRAY": "array", "STRING": "string", "BOOLEAN": "boolean", "VOID": "null", "BIGINT": "number", "DECIMAL": "number", "DOUBLE": "number"}
@@ -58,7 +59,7 @@ def _rewritten(texts: pd.Series, how) -> pd.Series:
     return texts.map(one)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def canonical(texts: pd.Series) -> pd.Series:
     """The JSON with sorted keys and without blanks; null if it is none."""
     return _rewritten(texts, lambda v: json.dumps(v, sort_keys=True, separators=(",", ":"), ensure_ascii=False))
@@ -70,13 +71,13 @@ def _shape(value: object) -> object:
     return "array" if isinstance(value, list) else "null" if value is None else "boolean" if isinstance(value, bool) else "string" if isinstance(value, str) else "number"
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def shape(texts: pd.Series) -> pd.Series:
     """Keys and kinds of a JSON object, nested ones too, without ids, hashes, urls and times; {} for other values."""
     return _rewritten(texts, lambda v: json.dumps(_shape(v) if isinstance(v, dict) else {}, separators=(",", ":")))
 
 
-@pandas_udf("common int, old string, new string")
+@pandas_udf(StructType([StructField("common", IntegerType()), StructField("old", StringType()), StructField("new", StringType())]))
 def excerpt(old: pd.Series, new: pd.Series) -> pd.DataFrame:
     """How many characters two texts begin with alike, and what of each is left between that and their common end."""
 

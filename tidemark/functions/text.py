@@ -113,7 +113,7 @@ def first_match(rules: list[tuple[str, str]], text: Column, otherwise: str) -> C
 
 
 # Wrongly decoded characters and what they stand for, abbreviations whose dots end no sentence, words around dates.
-MOJIBAKE = [("\u00e2\u20ac(?:\u2122|\u02dc)", "'"), ("\u00e2\u20ac(?:\u201c|\u201d)", "-"), ("\u00e2\u20ac\u0153|\u00e2\u20ac", '"'), ("\u00c2\u00a9", "(c)"), ("\u00c2\u00b7", "-"), ("\u00c2", "")]
+MOJIBAKE = [("\u00e2\u20ac(?:\u2122|\u02dc)", "'"), ("\u00e2\u20ac\u0153|\u00e2\u20ac", '"'), ("\u00c2\u00a9", "(c)"), ("\u00c2\u00b7", "-"), ("\u00c2", "")]
 ABBREVIATIONS = [("M", "D", ""), ("Ph", "D", "(?i)"), ("U", "S", ""), ("U", "K", ""), ("i", "e", "(?i)"), ("e", "g", "(?i)")]
 DATE_WORDS = ["spring", "summer", "fall", "autumn", "winter", "early", "mid", "late", "end", "beginning", "start", "through", "to", "and", "or", "of", "the", "by", "on", "at"]
 DATE_LABELS = ["deadline", "due", "opens", "open", "opening", "applications", "application", "date", "by", "on", "at"]
