@@ -42,3 +42,25 @@ def change_class() -> Column:
 def first_rule(rules: list[tuple[str, Column]], otherwise: str | None = None) -> Column:
     """The reason of the first rule (reason, condition) that holds; null conditions don't."""
     return F.coalesce(*[F.when(c, F.lit(reason)) for reason, c in rules], F.lit(otherwise))
+
+
+def summary(old: Column, new: Column) -> Column:
+    """One sentence on what changed, the first that applies: amounts, dates, added text, removed text, nothing."""
+    nothing = F.lit("No award-relevant wording changed in the stored excerpt.")
+    amounts = F.array_except(T.money_phrases(new), T.money_phrases(old))
+    dates = F.array_except(T.date_phrases(new), T.date_phrases(old))
+    listed = lambda opening, items, most: F.concat(F.lit(opening), F.array_join(F.slice(items, 1, most), ", "), F.lit("."))
+    said = lambda opening, text: F.concat(F.lit(opening + ': "'), text, F.lit('".'))
+    return (
+        F.when(old == new, nothing).when(F.size(amounts) > 0, listed("New funding amount language appeared: ", amounts, 3)).when(F.size(dates) > 0, listed("Added date context: ", dates, 4))
+        .when((F.length(new) >= 35) & ~F.contains(old, new), said("Added text includes", new)).when((F.length(old) >= 35) & ~F.contains(new, old), said("Removed text includes", old)).otherwise(nothing)
+    )
+
+
+def expands(old: Column, new: Column) -> Column:
+    """Whether a newer text is a longer capture of the same page: it begins with the older one, or holds its end well before its own."""
+    compact = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
+    tail = F.trim(F.right(old, F.lit(180)))
+    goes_on = (F.length(tail) >= 60) & F.contains(new, tail) & (F.position(tail, new) - 1 + F.length(tail) < F.length(new) - 40)
+    longer = (F.length(old) >= 500) & (F.length(new) > F.length(old) + 80)
+    return longer & (F.startswith(new, old) | F.startswith(compact(new), compact(old)) | goes_on)

@@ -54,13 +54,12 @@ def pending_per_subscriber(spark, sf_dir):
     ORDER BY ts DESC, event_id DESC LIMIT 200""")
 def keyset_page(spark, sf_dir):
     rows = events(spark, sf_dir, "event_id", "ts", "user_id")
-    at = F.expr(f"TIMESTAMP_NTZ '{CURSOR}'")
-    return tables.keyset_page(rows.filter((F.col("ts") < at) | ((F.col("ts") == at) & (F.col("event_id") < 100))), ["ts", "event_id"], None, 200, True)
+    return tables.keyset_page(rows, ["ts", "event_id"], [F.expr(f"TIMESTAMP_NTZ '{CURSOR}'"), 100], 200, descending=True)
 
 
 @query(f"SELECT user_id, count(*)::BIGINT AS n, max(ts) AS newest FROM events WHERE ts < TIMESTAMP '{START}' GROUP BY user_id")
 def bounded_scan(spark, sf_dir):
-    rows = events(spark, sf_dir, "user_id", "ts").filter(F.col("ts") < F.expr(f"TIMESTAMP_NTZ '{START}'"))
+    rows = tables.bounded_scan(events(spark, sf_dir, "user_id", "ts"), "ts", F.expr(f"TIMESTAMP_NTZ '{START}'"))
     return rows.groupBy("user_id").agg(F.count("*").alias("n"), F.max("ts").alias("newest"))
 
 

@@ -61,11 +61,11 @@ def upsert(existing: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     return existing.join(new, same, "left_anti").unionByName(rows, allowMissingColumns=True)
 
 
-def submissions(lines: DataFrame, value: str = "value") -> DataFrame:
-    """One submission a line: `url | award | notes`; blank lines and lines without a url go."""
+def submissions(lines: DataFrame, value: str = "value", keep: list[str] | None = None) -> DataFrame:
+    """One submission a line: `url | award | notes`, with the columns to keep; blank lines and lines without a url go."""
     parts = F.split(F.trim(F.col(value)), r"\s*\|\s*")
     part = lambda k: F.nullif(F.trim(F.get(parts, F.lit(k))), F.lit(""))
-    return lines.select(part(0).alias("url"), part(1).alias("award_name"), part(2).alias("notes")).filter("url IS NOT NULL")
+    return lines.select(*(keep or []), part(0).alias("url"), part(1).alias("award_name"), part(2).alias("notes")).filter("url IS NOT NULL")
 
 
 def csv_field(c: Column) -> Column:
