@@ -25,6 +25,8 @@ from .shared import file_system, materialize, shared_dir
 
 #: Rows of a band's bucket that are compared with each other in one piece; larger buckets are dealt out as pairs of pieces.
 PIECE = 256
+#: One in so many fingerprints is looked at to tell which buckets are crowded. The pieces only deal out work: no pair is lost if the guess is off.
+COUNTED = 16
 #: Pairs that a task holds before it settles and passes on their links.
 HELD_LINKS = 150_000
 #: Shingles of sets that a task keeps in memory at least before it forgets those read, and pairs whose verdict it remembers.
@@ -191,8 +193,9 @@ def near_links(
     only pairs whose sets reach the similarity, and pairs connected already by such links are passed over.
     """
     width = lanes + (folder is not None)
-    near_enough = np.uint8 if 64 * lanes < 256 else np.dtype("<u2")
+    coordinate = np.dtype("u1" if 64 * lanes < 256 else ">u2")
     pivots = max(1, pivots)
+    ahead = pivots * coordinate.itemsize  # bytes of a fingerprint's coordinates, which a packed one begins with
     bits = np.array([[b // 64, b % 64] for band in bands for b in band], dtype=np.int64)
     cuts = np.cumsum([0] + [len(b) for b in bands]).tolist()
     refs = np.random.default_rng(SEED).integers(0, 2**64, (pivots, lanes), dtype=np.uint64)
@@ -204,21 +207,23 @@ def near_links(
                 continue
             words = np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=">u8").reshape(n, width).astype(np.uint64)
             table = np.stack([np.bitwise_count(words[:, :lanes] ^ r).sum(axis=1, dtype=np.int16) for r in refs], axis=1)
-            first, table = pa.array(table[:, 0]), pa.array([r.tobytes() for r in table.astype(near_enough)], pa.binary())
+            packed = np.concatenate([table.astype(coordinate).view(np.uint8).reshape(n, ahead), words.astype(">u8").view(np.uint8).reshape(n, 8 * width)], axis=1)
+            packed = pa.array([r.tobytes() for r in packed], pa.binary())
             for band, (start, end) in enumerate(zip(cuts, cuts[1:])):
                 key = np.zeros(n, dtype=np.uint64)
                 for lane, bit in bits[start:end]:
                     key = (key << np.uint64(1)) | ((words[:, lane] >> np.uint64(bit)) & np.uint64(1))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, band, dtype=np.int32)), pa.array(key.astype(np.int64)), batch.column(0), first, table],
-                    names=["band", "key", "fp", "first", "pivots"],
+                    [pa.array(np.full(n, band, dtype=np.int32)), pa.array(key.astype(np.int64)), packed], names=["band", "key", "packed"]
                 )
 
-    rows = fps.select("fp").mapInArrow(keyed, "band int, key long, fp binary, first short, pivots binary")
-    crowded = rows.groupBy("band", "key").count().filter(F.col("count") > PIECE)
+    schema = "band int, key long, packed binary"
+    rows = fps.select("fp").mapInArrow(keyed, schema)
+    counted = fps.filter(F.pmod(F.xxhash64("fp"), F.lit(COUNTED)) == 0).select("fp").mapInArrow(keyed, schema)
+    crowded = counted.groupBy("band", "key").agg((F.count("*") * COUNTED).alias("count")).filter(F.col("count") > PIECE)
     crowded = crowded.select("band", "key", F.ceil(F.col("count") / PIECE).cast("int").alias("pieces"))
     crowded = materialize(crowded, "crowded-buckets")  # few as a rule: with their size known, the rows needn't be shuffled to meet them
-    piece = F.pmod(F.xxhash64("fp"), F.col("pieces").cast("long")).cast("int")
+    piece = F.pmod(F.xxhash64("packed"), F.col("pieces").cast("long")).cast("int")
     dealt = (
         rows.join(crowded, ["band", "key"], "left")
         .withColumn("pieces", F.coalesce("pieces", F.lit(1)))
@@ -226,8 +231,8 @@ def near_links(
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
         .select(
             F.xxhash64("band", "key", F.least("piece", "other"), F.greatest("piece", "other")).alias("bucket"),
-            "fp", "first", "pivots",
-        )
+            "packed",
+        )
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,8 +298,9 @@ def near_links(
             if not batch.num_rows:
                 continue
             bucket = batch.column(0).to_numpy()
-            words = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=">u8").reshape(-1, width).astype(np.uint64)
-            table = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=near_enough).reshape(-1, pivots).astype(np.int16)
+            packed = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(-1, ahead + 8 * width)
+            words = np.ascontiguousarray(packed[:, ahead:]).view(">u8").astype(np.uint64)
+            table = np.ascontiguousarray(packed[:, :ahead]).view(coordinate).astype(np.int16)
             if held:
                 bucket, words, table = (np.concatenate([a, b]) for a, b in zip(held[0], (bucket, words, table)))
             last = np.searchsorted(bucket, bucket[-1])  # the last bucket may go on in the next batch
@@ -307,7 +313,7 @@ def near_links(
         yield from links()
 
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "first").select("bucket", "fp", "pivots").mapInArrow(compare, "a binary, b binary")
+    return dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "packed").mapInArrow(compare, "a binary, b binary")
 
 
 def components_of(distinct: DataFrame, key: str, links: DataFrame) -> DataFrame:
