@@ -136,46 +136,59 @@ def fit_toxicity(
     schema = f"of {texts.schema['of'].dataType.simpleString()}, toxic int, found binary"
     data = texts.select("of", "toxic", "text").mapInArrow(rows, schema).orderBy(F.xxhash64("of"), "of").toPandas()  # max_rows short rows at most
     found = [np.frombuffer(x, dtype=np.int32) for x in data["found"]]
-    weights, bias = logistic(found, ratios, data["toxic"].to_numpy(dtype=np.float64), prior)
+    toxic = data["toxic"].to_numpy(dtype=np.float64)
+    del data
+    weights, bias = logistic(found, ratios, toxic, prior)
     return ToxicityModel(buckets, ratios, weights * ratios, bias)
 
 
 def logistic(found: list[np.ndarray], scale: np.ndarray, y: np.ndarray, bias: float, penalty: float = 1.0, steps: int = 40) -> tuple[np.ndarray, float]:
     """Ridge logistic regression on features that are scale[k] where k is in found and 0 elsewhere; the bias goes without penalty.
 
-    Newton's steps are solved by conjugate gradients, so neither a dense matrix nor one of all pairs of features is built.
+    Newton's steps are solved by conjugate gradients over the entries that aren't 0, kept by row and by feature.
     """
-    columns, n = np.concatenate(found), len(found)
-    at = np.repeat(np.arange(n), [len(x) for x in found])
-    values = scale[columns]
-    times = lambda w: np.bincount(at, values * w[:-1][columns], minlength=n) + w[-1]
-    back = lambda r: np.append(np.bincount(columns, values * r[at], minlength=len(scale)), r.sum())
-    ridge = np.append(np.full(len(scale), penalty), 1e-6)
-    squares = lambda r: np.append(np.bincount(columns, values**2 * r[at], minlength=len(scale)), r.sum())
+    columns, lengths = np.concatenate(found), np.array([len(x) for x in found])
+    values, rows = scale[columns], np.repeat(np.arange(len(found), dtype=np.int32), lengths)
+    order = np.argsort(columns, kind="stable")
+    of_feature, by_feature = rows[order], values[order]
+    counts = np.bincount(columns, minlength=len(scale))
+
+    def sums(x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        out, some = np.zeros(len(sizes)), sizes > 0
+        if some.any():
+            out[some] = np.add.reduceat(x, (np.cumsum(sizes) - sizes)[some])
+        return out
+
+    times = lambda w: sums(values * w[:-1][columns], lengths) + w[-1]
+    back = lambda r: np.append(sums(by_feature * r[of_feature], counts), r.sum())
+    ridge, sign = np.append(np.full(len(scale), penalty), 1e-6), 2 * y - 1
     w = np.append(np.zeros(len(scale)), bias)
-    loss = lambda w: np.logaddexp(0, -(2 * y - 1) * times(w)).sum() + (ridge * w * w).sum() / 2
-    held = loss(w)
+    margins = times(w)
+    loss = lambda m, w: np.logaddexp(0, -sign * m).sum() + (ridge * w * w).sum() / 2
+    held = loss(margins, w)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(times(w), -30, 30)))
-        gradient, curvature = back(p - y) + ridge * w, np.maximum(p * (1 - p), 1e-9)
-        diagonal = squares(curvature) + ridge
-        step, residual = np.zeros(len(w)), -gradient
-        z = residual / diagonal
-        direction, rz = z, residual @ z
-        for _ in range(200):
-            if np.abs(residual).max() <= 1e-3 * np.abs(gradient).max():
-                break
+        p = 1 / (1 + np.exp(-np.clip(margins, -30, 30)))
+        curvature = np.maximum(p * (1 - p), 1e-9)
+        diagonal = np.append(sums(by_feature**2 * curvature[of_feature], counts), curvature.sum()) + ridge
+        step, residual = np.zeros(len(w)), -(back(p - y) + ridge * w)
+        direction = z = residual / diagonal
+        rz = residual @ z
+        goal = rz / 100
+        for _ in range(50):
             moved = back(curvature * times(direction)) + ridge * direction
             length = rz / (direction @ moved)
             step, residual = step + length * direction, residual - length * moved
             z = residual / diagonal
-            rz, was = residual @ z, rz
+            was, rz = rz, residual @ z
+            if rz <= goal:
+                break
             direction = z + rz / was * direction
-        size = 1.0
-        while size > 1e-6 and loss(w + size * step) > held:
+        along, size = times(step), 1.0
+        while size > 1e-4 and loss(margins + size * along, w + size * step) > held:
             size /= 2
-        w, before, held = w + size * step, held, loss(w + size * step)
-        if before - held <= 1e-7 * max(1.0, abs(held)):
+        w, margins, before = w + size * step, margins + size * along, held
+        held = loss(margins, w)
+        if before - held <= 1e-3 * held:
             break
     return w[:-1], float(w[-1])
 
