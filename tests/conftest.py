@@ -6,6 +6,8 @@ from pathlib import Path
 import pytest
 from pyspark.sql import SparkSession
 
+from tidemark.sources.scratch import clear_scratch
+
 ROOT = str(Path(__file__).resolve().parent.parent)
 os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, [os.environ.get("PYTHONPATH")])])
 
@@ -18,4 +20,5 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clear_scratch(session)
     session.stop()

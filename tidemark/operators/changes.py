@@ -7,13 +7,18 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 
-from .keyed import with_previous
+from .keyed import with_previous_id
 
 
-def version_pairs(snapshots: DataFrame, keys: list[str], order: list[Column], body: str) -> DataFrame:
-    """Snapshots with the text of the version before and whether content has changed; first versions have no change."""
+def version_pairs(snapshots: DataFrame, keys: list[str], id: str, body: str) -> DataFrame:
+    """Snapshots with the id, hash and text of the version before (previous_id, previous_hash, previous_text) and whether content has changed.
+
+    First versions have none and no change. Versions are found on ids alone; texts are looked up by id afterwards, so no key's texts meet in one task.
+    """
+    light = with_previous_id(snapshots.select(*keys, id), keys, id, "previous_id").select(id, "previous_id")
     hashed = snapshots.withColumn("hash", F.sha2(body, 256))
-    pairs = with_previous(hashed, keys, order, {"previous_hash": "hash", "previous_text": body})
+    before = hashed.select(F.col(id).alias("previous_id"), F.col("hash").alias("previous_hash"), F.col(body).alias("previous_text"))
+    pairs = hashed.join(light, id).join(before, "previous_id", "left")
     return pairs.withColumn("changed", F.col("previous_hash").isNotNull() & (F.col("hash") != F.col("previous_hash")))
 
 

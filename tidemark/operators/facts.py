@@ -16,7 +16,8 @@ def unpivot_facts(frame: DataFrame, keys: list[str], fields: dict[str, Column])
 def reconcile(candidates: DataFrame, keys: list[str], value: str, score: str, tie: str) -> DataFrame:
     """For each key and field the value of the best score (ties: smallest tie column), and how many different values compete.
 
-    One hash aggregate over normalised values: partial counts travel, not candidates.
+    Aggregated by normalised value, then by field, with map-side combine: partial counts and best rows travel, not candidates. Both aggregates
+    are sort-based, as values are strings.
     """
     by = [*keys, "field_name"]
     rank = F.struct(F.col(score), -F.col(tie))

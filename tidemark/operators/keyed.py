@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def latest_per_key(frame: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The row of each key that is largest by order. One aggregate with map-side combine, so no key is sorted in one task."""
+    """The row of each key that is largest by order. One aggregate with map-side combine (a sort-based one, as whole rows are kept): rows of a key don't meet in one task."""
     rest = [c for c in frame.columns if c not in keys]
     best = F.max_by(F.struct(*rest), F.struct(*order)).alias("__row")
     return frame.groupBy(*keys).agg(best).select(*keys, *[F.col(f"__row.{c}").alias(c) for c in rest]).select(*frame.columns)
@@ -25,8 +25,12 @@ def top_per_key(frame: DataFrame, keys: list[str], order: list[Column], k: int,
 
 
 def beyond_newest(frame: DataFrame, keys: list[str], order: list[Column], keep: int, referenced: DataFrame | None = None, key: str = "id") -> DataFrame:
-    """Rows that retention may delete: beyond the newest `keep` of a key and not referenced by another table."""
-    rows = frame.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("__rank") > keep).drop("__rank")
+    """Rows that retention may delete: beyond the newest `keep` of a key and not referenced by another table. The column `key` is unique.
+
+    Only the newest of a key are ranked (Spark drops others on the map side); all rows then meet those few, so no key is sorted as a whole.
+    """
+    newest = top_per_key(frame, keys, order, keep, "__rank").select(key)
+    rows = frame.join(newest, key, "left_anti")
     return rows if referenced is None else rows.join(referenced, key, "left_anti")
 
 
@@ -47,6 +51,24 @@ def with_previous(frame: DataFrame, keys: list[str], order: list[Column], column
     return frame.withColumns({new: F.lag(old).over(before) for new, old in columns.items()})
 
 
+def with_previous_id(frame: DataFrame, keys: list[str], id: str, name: str = "previous", width: int = 100_000) -> DataFrame:
+    """Adds the next smaller id of the row's key, null for its smallest. Ids are whole numbers, unique in their key.
+
+    A key is cut into runs of `width` ids, which are sorted each on its own; the last id of each run goes on to the next, so a key of a third of all rows
+    is spread over its runs, and only one row a run meets in a key's window.
+    """
+    run = F.floor(F.col(id) / width)
+    rows = frame.withColumn("__run", run)
+    within = F.lag(id).over(Window.partitionBy(*keys, "__run").orderBy(id))
+    ends = rows.groupBy(*keys, "__run").agg(F.max(id).alias("__end"))
+    before = ends.withColumn("__before", F.lag("__end").over(Window.partitionBy(*keys).orderBy("__run"))).drop("__end")
+    same = F.lit(True)
+    for k in [*keys, "__run"]:
+        same = same & F.col(f"r.{k}").eqNullSafe(F.col(f"e.{k}"))
+    joined = rows.withColumn("__within", within).alias("r").join(before.alias("e"), same, "left")
+    return joined.select(*[F.col(f"r.{c}") for c in frame.columns], F.coalesce("__within", "__before").alias(name))
+
+
 def merge_fields(frame: DataFrame, keys: list[str], order: list[str], best: dict[str, str]) -> DataFrame:
     """One row a key: each field is taken from the first row by order that has it. best: field to 'first', 'max' or 'min'."""
     kinds = {"max": F.max, "min": F.min}

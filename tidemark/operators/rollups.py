@@ -28,11 +28,16 @@ def percent(part: Column, whole: Column, digits: int = 1) -> Column:
     return F.when(whole > 0, F.round(part * 100.0 / whole, digits)).otherwise(F.lit(0.0))
 
 
-def identity_digest(frame: DataFrame, keys: list[str], item: Column, order: Column, n: str = "n") -> DataFrame:
-    """Count and SHA-256 of a key's items in order, joined by newlines: equal for equal sets. Meant for keys with bounded groups."""
-    rows = F.array_sort(F.collect_list(F.struct(order.alias("o"), item.cast("string").alias("i"))))
-    joined = F.array_join(F.transform(rows, lambda r: r["i"]), "\n")
-    return frame.groupBy(*keys).agg(F.count("*").alias(n), F.sha2(joined, 256).alias("digest"))
+def identity_digest(frame: DataFrame, keys: list[str], item: str, n: str = "n", width: int = 1_000) -> DataFrame:
+    """Count and SHA-256 of each key's items (whole numbers), in order: equal for equal sets.
+
+    Items are digested in runs of `width` numbers (those of a run joined by newlines), then the runs' digests in order, so no more than a run's items
+    or a digest a run meet in one value.
+    """
+    ordered = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda r: r["v"].cast("string")), "\n")
+    run = F.floor(F.col(item) / width).alias("__run")
+    runs = frame.groupBy(*keys, run).agg(F.count("*").alias(n), F.sha2(ordered(F.struct(F.col(item).alias("v"))), 256).alias("__digest"))
+    return runs.groupBy(*keys).agg(F.sum(n).alias(n), F.sha2(ordered(F.struct("__run", F.col("__digest").alias("v"))), 256).alias("digest"))
 
 
 def remaining_budget(reservations: DataFrame, keys: list[str], cap: int, reserved: Column, spent: Column) -> DataFrame:

@@ -80,9 +80,9 @@ def stalled_runs(spark, sf_dir):
 
 
 @query("""SELECT doc_id, k::INTEGER AS position, word FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM (
-    SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM documents WHERE n_chars < 200)) WHERE word <> ''""")
+    SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM documents)) WHERE word <> ''""")
 def words_with_position(spark, sf_dir):
-    return words_of(tables.table(spark, sf_dir, "documents", "doc_id", "text", "n_chars").filter("n_chars < 200"))
+    return words_of(tables.table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 @query("""SELECT doc_id, k::INTEGER AS position, word FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM (
@@ -103,8 +103,9 @@ def words_of(rows):
 def token_similarity(spark, sf_dir):
     rows = tables.table(spark, sf_dir, "documents", "doc_id", "source", "lang", "text")
     words = F.array_distinct(F.split(F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " ")), " "))
-    own = rows.select("doc_id", "source", "lang", words.alias("a"))
-    pairs = keyed.with_previous(own, ["source", "lang"], [F.asc("doc_id")], {"other": "doc_id", "b": "a"}).filter("other IS NOT NULL")
+    pairs = keyed.with_previous_id(rows.select("doc_id", "source", "lang"), ["source", "lang"], "doc_id", "other").filter("other IS NOT NULL")
+    own = rows.select("doc_id", words.alias("a"))  # words are looked up by id once the pairs are known
+    pairs = pairs.join(own, "doc_id").join(own.select(F.col("doc_id").alias("other"), F.col("a").alias("b")), "other")
     return pairs.select("doc_id", "other", F.round(T.overlap(F.col("a"), F.col("b")), 6).alias("overlap"))
 
 

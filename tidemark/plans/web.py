@@ -88,8 +88,9 @@ def page_type_inference(spark, sf_dir):
 def previous_version_hash_change(spark, sf_dir):
     rows = tables.table(spark, sf_dir, "documents", "doc_id", "source", "lang", "text")
     hashed = rows.select("doc_id", "source", "lang", F.sha2("text", 256).alias("hash"))  # only hashes are shuffled
-    pairs = keyed.with_previous(hashed, ["source", "lang"], [F.asc("doc_id")], {"previous_hash": "hash", "previous_id": "doc_id"})
-    return pairs.select("doc_id", "previous_id", (F.col("hash") != F.col("previous_hash")).alias("changed"))
+    pairs = keyed.with_previous_id(hashed, ["source", "lang"], "doc_id", "previous_id")
+    before = hashed.select(F.col("doc_id").alias("previous_id"), F.col("hash").alias("previous_hash"))
+    return pairs.join(before, "previous_id", "left").select("doc_id", "previous_id", (F.col("hash") != F.col("previous_hash")).alias("changed"))
 
 
 @query("""SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id DESC) AS place FROM documents) d
@@ -149,7 +150,7 @@ SENTENCES = "[s for s in string_split(regexp_replace({0}, '([.!?]) +', '\\1' ||
     SELECT doc_id, len(list_distinct([x for x in a if NOT list_contains(b, x)]))::INTEGER AS n_added, len(list_distinct([x for x in b if NOT list_contains(a, x)]))::INTEGER AS n_removed FROM s""")
 def structured_diff(spark, sf_dir):
     rows = tables.table(spark, sf_dir, "documents", "doc_id", "source", "lang", "text")
-    pairs = changes.version_pairs(rows, ["source", "lang"], [F.asc("doc_id")], "text").filter("previous_text IS NOT NULL")
+    pairs = changes.version_pairs(rows, ["source", "lang"], "doc_id", "text").filter("previous_text IS NOT NULL")
     diff = changes.structured_diff(pairs, "previous_text", "text")
     return diff.select("doc_id", F.size("added").alias("n_added"), F.size("removed").alias("n_removed"))
 

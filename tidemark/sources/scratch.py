@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import suppress
 
 from pyspark.sql import SparkSession
 
 
+_MADE: list[str] = []
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path below spark.checkpoint.dir; a local master without that setting gets a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -16,4 +20,15 @@ def shared_dir(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{base.rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Deletes all folders that this process was given by shared_dir, and returns how many there were. Results that read from them must be done with."""
+    count = len(_MADE)
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        with suppress(Exception):  # a folder that was never written, or one that another job holds, is no reason to stop
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return count
