@@ -264,3 +264,43 @@ def cleanup_action(duplicate: Column, policy: Column, bucket: Column, useful: Co
     )
     reason = F.when(duplicate, "duplicate_source").otherwise(F.coalesce(policy, F.when(dead | blocked, bucket), F.lit("healthy_or_unchecked")))
     return F.struct(action.alias("action"), reason.alias("reason"))
+
+
+def hygiene_reason(url: Column, title: Column, failure: Column) -> Column:
+    """Why a source is put aside for a later look, the first rule that holds; null if it is kept. Rules for single hosts are left to the caller."""
+    host, path = F.coalesce(U.host(url), F.lit("")), F.lower(F.coalesce(U.path(url), F.lit("")))
+    words = F.lower(F.concat_ws(" ", url, title))
+    message = F.coalesce(failure, F.lit(""))
+    return first_rule([
+        ("invalid_url", host == ""), ("social_or_share_link", host.rlike(P.SOCIAL_HOSTS) | words.rlike(P.SOCIAL_TEXT) | path.rlike("/share(?:/|$)")), ("media_or_archive_file", path.rlike(P.MEDIA_PATH)),
+        ("recursive_or_cyclic_url", U.repeats_segment(url)), ("generic_source_shape", path.rlike(P.SEARCH_PATH) | path.rlike(P.LISTING_PATH)),
+        ("software_download", host.isin(P.DOWNLOAD_HOSTS)), ("boilerplate_or_policy_link", words.rlike(P.BOILERPLATE_TEXT)), ("oversized_file", message.rlike(P.TOO_LARGE)),
+        ("private_document", host.rlike(P.PRIVATE_HOSTS) & message.rlike(P.PRIVATE_FAILURE)), ("permanent_http_failure", message.rlike(P.PERMANENT_FAILURE)), ("soft_404", message.rlike(P.SOFT_404)),
+        ("blocked_third_party", host.rlike(P.BLOCKED_HOSTS) & message.rlike(P.BLOCKED_FAILURE)), ("blocked_by_source", message.rlike(P.BLOCKED_FAILURE)),
+    ])
+
+
+def review_gate(quality: Column, source_text: Column, class_: Column, text: Column) -> Column:
+    """struct(allowed, reason) of a change before it goes to review: its source, its kind, noise, and what applicants look for."""
+    shape, applicant = source_text.rlike(P.SHAPE_SOURCE), text.rlike(P.APPLICANT)
+    escapes = (quality["reason"] == "url_not_monitorable") & shape & applicant
+    noise = first_rule([(reason, text.rlike(pattern) & ~applicant) for reason, pattern in P.NOISE_SUMMARIES])
+    reason = F.coalesce(
+        F.when(~quality["allowed"] & ~escapes, F.concat(F.lit("source_quality_"), quality["reason"])), F.when((source_text.rlike(P.BAD_SOURCE) | shape) & ~escapes, "source_shape_noise"),
+        F.when(class_ == "none", "missing_added_or_removed_text_evidence"), noise, F.when(class_.isin("amount", "date"), "applicant_fact_signal"), F.when(applicant, "text_only_applicant_signal"),
+        F.lit("text_only_noise_without_applicant_signal"),
+    )
+    return verdict(reason, ["applicant_fact_signal", "text_only_applicant_signal"])
+
+
+def source_score(url: Column, page_type: Column, words: Column, shared: Column, error: Column, generic: Column) -> Column:
+    """struct(score, signals) of a source: points for https, page type, intent and shared words of the award's name, less for errors, queries and generic titles."""
+    https, protected, intent = F.lower(url).startswith("https:"), page_type.isin(P.PROTECTED_PAGE_TYPES), F.lower(words).rlike(P.INTENT)
+    fine = F.trim(F.coalesce(error, F.lit(""))) == ""
+    points = lambda c, n, other=0: F.when(c, n).otherwise(other)
+    score = (
+        points(https, 8) + points(protected, 18) + points(intent, 28) + points(shared >= 2, 45) + points(shared == 1, 20) + points(fine, 8, -10) - points(U.query_string(url) != "", 8)
+        - points(generic, 18) - points(page_type == "other", 6)
+    )
+    named = [("https", https), ("page_type", protected), ("award_intent", intent), ("award_tokens", shared >= 2), ("award_token", shared == 1), ("no_error", fine), ("has_error", ~fine)]
+    return F.struct(score.alias("score"), F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in named])).alias("signals"))
