@@ -126,16 +126,16 @@ def fit_toxicity(
     if not len(kept):
         return constant
     buckets, ratios = kept["bucket"].to_numpy(), kept["ratio"].to_numpy()
-    place = places(buckets)
+    place, short = places(buckets), np.dtype("u2" if len(buckets) <= 1 << 16 else "i4")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [present(t.as_py(), place).astype(np.int32).tobytes() for t in batch.column(2)]
+            found = [present(t.as_py(), place).astype(short).tobytes() for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["of", "toxic", "found"])
 
     schema = f"of {texts.schema['of'].dataType.simpleString()}, toxic int, found binary"
     data = texts.select("of", "toxic", "text").mapInArrow(rows, schema).orderBy(F.xxhash64("of"), "of").toPandas()  # max_rows short rows at most
-    found = [np.frombuffer(x, dtype=np.int32) for x in data["found"]]
+    found = [np.frombuffer(x, dtype=short) for x in data["found"]]
     toxic = data["toxic"].to_numpy(dtype=np.float64)
     del data
     weights, bias = logistic(found, ratios, toxic, prior)
