@@ -196,6 +196,23 @@ def test_mixing(spark):
     assert mix_sources(frame.limit(0)).count() == 0
 
 
+def test_mixing_of_equal_rows(spark, monkeypatch):
+    from tidemark.llm import mixing
+
+    monkeypatch.setattr(mixing, "WRITTEN_TOGETHER", 7)
+    rows = [(1, "a b c", "s")] * 90 + [(k, "d e", "s") for k in range(2, 40)] + [(1, "a b c", "t")] * 5 + [(None, "x", None)] * 20
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mix_sources(frame).select("doc_id", "source", "size", "copies", "taken", "target", "source_size").collect()
+    assert len(out) == len(rows) and all(r.taken == r.copies * r.size and 0 <= r.copies <= 2 for r in out)
+    of = [r.copies for r in out if r.doc_id == 1 and r.source == "s"]
+    assert len(of) == 90 and max(of) - min(of) <= 1
+    for source in ("s", "t", None):
+        mine = [r for r in out if r.source == source]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 3
+    again = mix_sources(frame.repartition(3)).select("doc_id", "source", "size", "copies", "taken", "target", "source_size").collect()
+    assert sorted(map(str, again)) == sorted(map(str, out))
+
+
 def test_bounded_sample(spark):
     from tidemark.llm.shared import bounded_sample
 

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .shared import materialize
 
-#: Documents whose rounding errors are carried among themselves, about.
-ROUNDED_TOGETHER = 1_000
+#: Documents whose rounding errors are carried among themselves, about, and equal rows that are written out from one array.
+ROUNDED_TOGETHER, WRITTEN_TOGETHER = 1_000, 1_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
@@ -99,8 +99,8 @@ def mix_sources(
 
     Returns every row of docs as doc_id, source, size (words), source_size, target (its source's),
     rate, copies (whole, at most cap) and taken (copies * size). Null texts have size 0 and, like all texts
-    without words, take no copies; a null source is a source, the last one. Repeated rows each count.
-    Results depend on the rows alone.
+    without words, take no copies; a null source is a source, the last one. Repeated rows each count: those equal in doc_id, source and text
+    are rounded together, as one row with their number, and differ by one copy at most. Results depend on the rows alone.
     """
     named = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), F.col(f"`{text}`").cast("string").alias("text"))
     measured = materialize(
@@ -125,23 +125,31 @@ def mix_sources(
     )
     sources = materialize(sources, "sources")
     rate = F.when(F.col("size") == 0, 0.0).otherwise(F.least(F.lit(float(cap)), F.exp(F.col("multiplier") * F.col("size") / F.col("scale"))))
-    rows = measured.join(sources, F.expr("source <=> of")).select(
-        "doc_id", "source", "size", "source_size", "target", rate.alias("rate"), "hash", "source_no", F.pmod("hash", "groups").alias("group")
+    equal = measured.groupBy("doc_id", "source", "size", "hash").agg(F.count("*").alias("n"))
+    rows = equal.join(sources, F.expr("source <=> of")).select(
+        "doc_id", "source", "size", "source_size", "target", rate.alias("rate"), "hash", "n", "source_no", F.pmod("hash", "groups").alias("group")
     )
 
     def rounded(table: pa.Table) -> pa.Table:
-        size, rates = table["size"].to_numpy(), table["rate"].to_numpy().tolist()
+        size, rates, rows_of = table["size"].to_numpy(), table["rate"].to_numpy().tolist(), table["n"].to_pylist()
         order = np.lexsort((table["hash"].to_numpy(), -size))
         copies, carry, most = np.zeros(len(size), dtype=np.int64), 0.0, math.floor(cap)
         sizes = size.tolist()
         for k in order.tolist():
             if sizes[k]:
-                wanted = rates[k] * sizes[k] + carry
-                copies[k] = min(most, max(0, math.floor(wanted / sizes[k] + 0.5)))
+                wanted = rates[k] * sizes[k] * rows_of[k] + carry
+                copies[k] = min(most * rows_of[k], max(0, math.floor(wanted / sizes[k] + 0.5)))
                 carry = wanted - int(copies[k]) * sizes[k]
-        out = table.select(["doc_id", "source", "size", "source_size", "target", "rate"])
-        return out.append_column("copies", pa.array(copies)).append_column("taken", pa.array(copies * size))
+        return table.select([*kept, "n"]).append_column("all", pa.array(copies))
 
+    kept = ["doc_id", "source", "size", "source_size", "target", "rate"]
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    schema = ", ".join(f"{c} {kinds[c]}" for c in ("doc_id", "source", "size", "source_size", "target", "rate")) + ", copies long, taken long"
-    return rows.groupBy("source_no", "group").applyInArrow(rounded, schema)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in kept) + ", n long, all long"
+    taken = rows.groupBy("source_no", "group").applyInArrow(rounded, schema)
+    least, more = F.floor(F.col("all") / F.col("n")), F.col("all") % F.col("n")
+    shares = F.array(F.struct((least + 1).alias("copies"), more.alias("times")), F.struct(least.alias("copies"), (F.col("n") - more).alias("times")))
+    shared = taken.select(*kept, F.explode(shares).alias("s")).filter("s.times > 0").select(*kept, "s.copies", "s.times")
+    parts = F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / WRITTEN_TOGETHER))
+    lots = shared.withColumn("part", F.explode(parts)).withColumn("lot", F.least(F.lit(WRITTEN_TOGETHER), F.col("times") - F.col("part") * WRITTEN_TOGETHER).cast("int"))
+    each = lots.withColumn("one", F.explode(F.array_repeat(F.lit(1), F.col("lot"))))
+    return each.select(*kept, "copies", (F.col("copies") * F.col("size")).alias("taken"))
