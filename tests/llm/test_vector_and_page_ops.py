@@ -148,9 +148,9 @@ def test_warc_round_trip(spark):
 
 def test_warc_of_any_page_id(spark):
     ids = ["None", "a>b", "line\r\nend", "é %41", "", None]
-    pages = spark.createDataFrame([(i, "u", f"payload {i}") for i in ids], "page_id string, url string, html string")
+    pages = spark.createDataFrame([(i, "u", f"payload {k}") for k, i in enumerate(ids)], "page_id string, url string, html string")
     out = {r.payload_digest: r.page_id for r in warc_round_trip(pages).collect()}
-    assert out == {hashlib.sha256(f"payload {i}".encode()).hexdigest(): i for i in ids}
+    assert out == {hashlib.sha256(f"payload {k}".encode()).hexdigest(): i for k, i in enumerate(ids)}
 
 
 def test_damaged_archives(tmp_path):
