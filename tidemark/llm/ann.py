@@ -141,11 +141,11 @@ def search_block(table: pa.Table, queries: pa.Table, k: int, factor: float) -> p
                 distance = np.maximum(0, 2 - 2 * (wanted[who] @ unit[rows].T))
                 distance[ids[rows][None] == asked[who][:, None]] = np.inf
                 limit = np.minimum(reach[who], best[who, -1])[:, None] + SLACK
-                for i, j in enumerate(who):
-                    near = np.flatnonzero(distance[i] <= limit[i])
-                    if len(near):
-                        found[j].append((rows[near], distance[i, near]))
-                        best[j] = np.sort(np.concatenate([best[j], distance[i, near]]))[:k]
+                close = distance <= limit
+                for i in np.flatnonzero(close.any(axis=1)):
+                    j, near = who[i], np.flatnonzero(close[i])
+                    found[j].append((rows[near], distance[i, near]))
+                    best[j] = np.sort(np.concatenate([best[j], distance[i, near]]))[:k]
         for j in every:
             if found[j]:
                 rows, distance = (np.concatenate(x) for x in zip(*found[j]))
