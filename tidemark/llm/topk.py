@@ -21,8 +21,8 @@ from .vectors import common_length, matrix, usable
 BANDS, BLOCK, LARGEST_BLOCK = 256, 4_096, 32_768
 #: Share of all squared lengths that the leading rotated coordinates hold.
 LEADING = 0.5
-#: Queries that are multiplied together.
-TOGETHER = 256
+#: Queries that are multiplied together, and the share of pairs left by the bounds from which on all of a piece are.
+TOGETHER, DENSE = 256, 0.05
 
 
 def integers(vectors: DataFrame, scale: int) -> DataFrame:
@@ -70,10 +70,17 @@ def best_of(ids: np.ndarray, rows: np.ndarray, asked: np.ndarray, of: np.ndarray
             if not len(going):
                 break
             bound = turned_q[part][going, :lead] @ turned[piece, :lead].T + rest_q[part][going, None] * rest[None, piece]
-            who, what = np.nonzero(bound + 0.5 >= low[going][:, None])  # products are whole numbers: half of one covers rounding
-            if not len(who):
+            reach = bound + 0.5 >= low[going][:, None]  # products are whole numbers: half of one covers rounding
+            pairs = np.count_nonzero(reach)
+            if not pairs:
                 continue
-            exact = np.rint(np.einsum("ij,ij->i", q[going][who], rows[piece][what]))
+            if pairs > DENSE * reach.size:  # so many are left that multiplying them out one by one would take longer
+                product = np.rint(q[going] @ rows[piece].T)
+                who, what = np.nonzero(reach & (product >= low[going][:, None]))
+                exact = product[who, what]
+            else:
+                who, what = np.nonzero(reach)
+                exact = np.rint(np.einsum("ij,ij->i", q[going][who], rows[piece][what]))
             use = (exact >= low[going][who]) & (ids[piece][what] != mine[going][who])
             who, what, exact = going[who[use]], what[use], exact[use]
             cuts = np.searchsorted(who, np.arange(len(mine) + 1))
