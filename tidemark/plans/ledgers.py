@@ -123,3 +123,22 @@ def streaming_sweep(spark, sf_dir):
     to = shared_dir(spark, "sweep")
     jobs.sweep(stream, to, shared_dir(spark, "sweep-progress"))
     return spark.read.parquet(to)
+
+
+@query("SELECT date_trunc('hour', ts) AS hour, user_id, count(*)::BIGINT AS n FROM events GROUP BY 1, 2")
+def streaming_rates(spark, sf_dir):
+    """Hourly counts as a stream with a watermark, kept up to date batch by batch."""
+    rates = jobs.tumbling_rate(jobs.event_stream(spark, f"{sf_dir}/event[s].parquet"))
+    to = shared_dir(spark, "rates")
+    jobs.sweep_updates(rates.withColumn("hour", F.col("hour").cast("timestamp_ntz")), to, shared_dir(spark, "rates-progress"))
+    return jobs.newest(spark, to, ["hour", "user_id"]).select("hour", "user_id", "n")
+
+
+@query("SELECT event_id, user_id FROM events")
+def streaming_deliveries(spark, sf_dir):
+    """Events delivered twice arrive once."""
+    stream = jobs.event_stream(spark, f"{sf_dir}/event[s].parquet")
+    once = jobs.first_deliveries(stream.union(jobs.event_stream(spark, f"{sf_dir}/event[s].parquet")))
+    to = shared_dir(spark, "deliveries")
+    jobs.sweep(once.select("event_id", "user_id"), to, shared_dir(spark, "deliveries-progress"))
+    return spark.read.parquet(to)

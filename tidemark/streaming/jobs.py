@@ -28,3 +28,20 @@ def sweep(stream: DataFrame, to: str, checkpoint: str, mode: str = "append") ->
     """Runs a stream over all that is there into Parquet, then stops. Progress is kept in the checkpoint, so the next run goes on from there."""
     query = stream.writeStream.format("parquet").option("path", to).option("checkpointLocation", checkpoint).outputMode(mode)
     query.trigger(availableNow=True).start().awaitTermination()
+
+
+def sweep_updates(stream: DataFrame, to: str, checkpoint: str) -> None:
+    """Runs an aggregating stream over all that is there. Every batch writes the rows that it has changed to a folder of its number, so a batch that is
+    run again after a failure replaces what it wrote before."""
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{to}/batch={batch}")
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start().awaitTermination()
+
+
+def newest(spark: SparkSession, to: str, keys: list[str]) -> DataFrame:
+    """The latest state of every key among the batches that sweep_updates has written."""
+    rows = spark.read.parquet(to)
+    rest = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(*[F.max_by(c, "batch").alias(c) for c in rest])
