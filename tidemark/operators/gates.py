@@ -110,8 +110,8 @@ def rejected_as(signal: Column) -> Column:
     )
 
 
-def source_quality(url: Column, title: Column, metadata: Column, purpose: str) -> Column:
-    """struct(allowed, reason) of a source for a purpose: public, facts, monitoring, discovery, admin or debug."""
+def source_quality(url: Column, title: Column, metadata: Column, purpose: str, review: Column | None = None) -> Column:
+    """struct(allowed, reason) of a source for a purpose: public, facts, monitoring, discovery, admin or debug. review: its review_status, if that is a column already."""
     at = lambda path: F.get_json_object(metadata, f"$.{path}")
     rules = [("missing_url", F.coalesce(url, F.lit("")) == "")]
     if purpose in ("monitoring", "discovery"):
@@ -121,7 +121,7 @@ def source_quality(url: Column, title: Column, metadata: Column, purpose: str) -
     rules.append(("url_spam_upload_html", spam_upload(url, title)))
     bad = first_rule(rules)
     if purpose in ("public", "facts", "monitoring"):
-        review = review_status(metadata)
+        review = review_status(metadata) if review is None else review
         judged = F.when(review["usable"], F.concat(F.lit("ai_review_"), review["status"])).otherwise(F.concat_ws("_", F.lit("ai_review"), review["status"], review["reason"]))
         return verdict(F.coalesce(bad, judged), bad.isNull() & review["usable"])
     flags = F.transform(F.from_json(F.coalesce(at("quality_flags"), F.lit("[]")), "array<string>"), clean_key)

@@ -62,6 +62,13 @@ def sources(spark, sf_dir):
     return tables.table(spark, sf_dir, "pages", "page_id", "url").selectExpr(*SOURCE_COLUMNS)
 
 
+def judged_sources(spark, sf_dir, purpose: str = "monitoring"):
+    """Sources with quality (for a purpose) and words; the review is worked out once, in a column of its own."""
+    rows = sources(spark, sf_dir).withColumn("review", G.review_status(F.col("metadata")))
+    quality = G.source_quality(F.col("link"), F.col("title"), F.col("metadata"), purpose, F.col("review"))
+    return rows.withColumns({"quality": quality, "words": F.concat_ws(" ", "link", "title", "page_type")})
+
+
 def host_sql(c: str) -> str:
     return HOST_OF_URL.replace("url", c)
 
@@ -163,15 +170,15 @@ PURPOSES = ["public", "facts", "monitoring", "discovery", "admin", "debug"]
 
 @query(" UNION ALL ".join(f"SELECT page_id, '{p}' AS purpose, {allowed_sql('reason')} AS allowed, reason FROM (SELECT page_id, {quality_sql(p)} AS reason FROM {REVIEWED})" for p in PURPOSES))
 def source_quality(spark, sf_dir):
-    rows = sources(spark, sf_dir)
-    gates = [F.struct(F.lit(p).alias("purpose"), G.source_quality(F.col("link"), F.col("title"), F.col("metadata"), p).alias("v")) for p in PURPOSES]
+    rows = sources(spark, sf_dir).withColumn("review", G.review_status(F.col("metadata")))
+    of = lambda p: G.source_quality(F.col("link"), F.col("title"), F.col("metadata"), p, F.col("review"))
+    gates = [F.struct(F.lit(p).alias("purpose"), of(p).alias("v")) for p in PURPOSES]
     return rows.select("page_id", F.explode(F.array(*gates)).alias("g")).select("page_id", "g.purpose", "g.v.allowed", "g.v.reason")
 
 
 @query(f"""SELECT reason, allowed, count(*)::BIGINT AS n FROM (SELECT reason, {allowed_sql('reason')} AS allowed FROM (SELECT {quality_sql('monitoring')} AS reason FROM {REVIEWED})) GROUP BY 1, 2""")
 def source_quality_summary(spark, sf_dir):
-    judged = sources(spark, sf_dir).select(G.source_quality(F.col("link"), F.col("title"), F.col("metadata"), "monitoring").alias("v"))
-    return judged.groupBy("v.reason", "v.allowed").agg(F.count("*").alias("n"))
+    return judged_sources(spark, sf_dir).groupBy("quality.reason", "quality.allowed").agg(F.count("*").alias("n"))
 
 
 def health_sql() -> str:
@@ -269,9 +276,7 @@ SUPPRESSED = f"""(SELECT event_id, summary, {suppression_sql()} AS reason FROM {
 
 def suppressed(spark, sf_dir):
     """Change events with the reason of their suppression; sources are judged once, before they meet their events."""
-    judged = sources(spark, sf_dir).select(
-        "page_id", "status", F.concat_ws(" ", "link", "title", "page_type").alias("source_text"), G.source_quality(F.col("link"), F.col("title"), F.col("metadata"), "monitoring").alias("quality")
-    )
+    judged = judged_sources(spark, sf_dir).select("page_id", "status", F.col("words").alias("source_text"), "quality")
     rows = changes(spark, sf_dir).join(judged, F.col("source_id") == F.col("page_id"), "left")
     reason = G.suppression_reason(
         F.col("suppressed_at"), F.col("source_id"), F.col("page_id").isNotNull(), F.col("status"), F.coalesce("source_text", F.lit("")), F.col("quality"), F.col("details"), F.col("summary")

@@ -10,7 +10,7 @@ from tidemark.operators import gates as G
 from tidemark.sources import tables
 
 from .flows import DATES_NEW, MONEY_NEW, VERSIONS, versions
-from .gates import BUCKET, REVIEWED, SOURCES, VALIDATED, allowed_sql, host_sql, listed, matches, path_sql, quality_sql, sources, validated
+from .gates import BUCKET, REVIEWED, SOURCES, VALIDATED, allowed_sql, host_sql, judged_sources, listed, matches, path_sql, quality_sql, sources, validated
 from .registry import query
 
 MESSAGES = ["", "HTTP 404", "file too large", "HTTP 403 forbidden", "page not found", "HTTP 401 unauthorized", "robot challenge"]
@@ -52,9 +52,7 @@ def review_sql() -> str:
     JOIN (SELECT page_id, link, title, page_type, {quality_sql('monitoring')} AS quality FROM {REVIEWED}) ON page_id = event_id % 50)""")
 def review_gate(spark, sf_dir):
     """Which changes go to review, and why not the others."""
-    judged = sources(spark, sf_dir).select(
-        "page_id", F.concat_ws(" ", "link", "title", "page_type").alias("words"), G.source_quality(F.col("link"), F.col("title"), F.col("metadata"), "monitoring").alias("quality")
-    )
+    judged = judged_sources(spark, sf_dir).select("page_id", "words", "quality")
     diff = changes.structured_diff(versions(spark, sf_dir), "old", "new").withColumn("class", changes.change_class()).select("event_id", "new", "class")
     rows = diff.join(judged, F.col("event_id") % 50 == F.col("page_id"))
     return rows.select("event_id", G.review_gate(F.col("quality"), F.col("words"), F.col("class"), F.col("new")).alias("v")).select("event_id", "v.allowed", "v.reason")
