@@ -8,6 +8,7 @@ from tidemark.functions import documents as D
 from tidemark.operators import gates as G
 from tidemark.operators import near, states
 from tidemark.plans import flows, matches
+from tidemark.streaming import jobs
 
 DATA = "/root/testdata/sf0.001"
 
@@ -59,6 +60,29 @@ def test_budget_admission(spark):
     assert got == {("a", 1): False, ("a", 2): True, ("a", 3): False, ("a", 4): True, (None, 1): True}
 
 
+def test_admission_as_a_stream_agrees(spark, tmp_path):
+    want = flows.budget_admission(spark, DATA)
+    rows = want.drop("admitted").join(spark.read.parquet(f"{DATA}/events.parquet").select("event_id", "ts"), "event_id").withColumn("ts", F.unix_micros(F.col("ts").cast("timestamp")))
+    for k in range(3):
+        rows.filter(F.col("event_id") % 3 == k).coalesce(1).write.parquet(f"file://{tmp_path}/in/{k}")
+    first = spark.read.parquet(f"file://{tmp_path}/in/0").cache()
+    first.count()
+    stream = spark.readStream.schema(first.schema).parquet(f"file://{tmp_path}/in/0")
+    out = jobs.admissions(stream, ["user_id", "day"], ["ts", "event_id"], "amount", 150)
+    jobs.sweep(out, f"file://{tmp_path}/out", f"file://{tmp_path}/progress")
+    got = {r.event_id: r.admitted for r in spark.read.parquet(f"file://{tmp_path}/out").collect()}
+    assert got == {r.event_id: r.admitted for r in states.admitted(first, ["user_id", "day"], ["ts", "event_id"], "amount", 150).collect()}
+    for k in (1, 2):  # later files go on from the state that is kept
+        first_of = spark.read.parquet(f"file://{tmp_path}/in/{k}")
+        first_of.coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in/0")
+        jobs.sweep(jobs.admissions(stream, ["user_id", "day"], ["ts", "event_id"], "amount", 150), f"file://{tmp_path}/out", f"file://{tmp_path}/progress")
+    every = [r for r in spark.read.parquet(f"file://{tmp_path}/out").collect()]
+    spent: dict = {}
+    for r in every:
+        spent[r.user_id, r.day] = spent.get((r.user_id, r.day), 0) + (r.amount if r.admitted else 0)
+    assert len(every) == rows.count() and max(spent.values()) <= 150
+
+
 def test_overlapping_rectangles_against_brute_force(spark):
     import numpy as np
 

@@ -272,11 +272,11 @@ def hygiene_reason(url: Column, title: Column, failure: Column) -> Column:
     words = F.lower(F.concat_ws(" ", url, title))
     message = F.coalesce(failure, F.lit(""))
     return first_rule([
-        ("invalid_url", host == ""), ("social_or_share_link", host.rlike(P.SOCIAL_HOSTS) | words.rlike(P.SOCIAL_TEXT) | path.rlike("/share(?:/|$)")), ("media_or_archive_file", path.rlike(P.MEDIA_PATH)),
+        ("invalid_url", host == ""), ("social_or_share_link", host.rlike(P.of_hosts(P.SOCIAL_HOSTS)) | words.rlike(P.SOCIAL_TEXT) | path.rlike("/share(?:/|$)")), ("media_or_archive_file", path.rlike(P.MEDIA_PATH)),
         ("recursive_or_cyclic_url", U.repeats_segment(url)), ("generic_source_shape", path.rlike(P.SEARCH_PATH) | path.rlike(P.LISTING_PATH)),
         ("software_download", host.isin(P.DOWNLOAD_HOSTS)), ("boilerplate_or_policy_link", words.rlike(P.BOILERPLATE_TEXT)), ("oversized_file", message.rlike(P.TOO_LARGE)),
-        ("private_document", host.rlike(P.PRIVATE_HOSTS) & message.rlike(P.PRIVATE_FAILURE)), ("permanent_http_failure", message.rlike(P.PERMANENT_FAILURE)), ("soft_404", message.rlike(P.SOFT_404)),
-        ("blocked_third_party", host.rlike(P.BLOCKED_HOSTS) & message.rlike(P.BLOCKED_FAILURE)), ("blocked_by_source", message.rlike(P.BLOCKED_FAILURE)),
+        ("private_document", host.rlike(P.of_hosts(P.PRIVATE_HOSTS)) & message.rlike(P.PRIVATE_FAILURE)), ("permanent_http_failure", message.rlike(P.PERMANENT_FAILURE)), ("soft_404", message.rlike(P.SOFT_404)),
+        ("blocked_third_party", host.rlike(P.of_hosts(P.BLOCKED_HOSTS)) & message.rlike(P.BLOCKED_FAILURE)), ("blocked_by_source", message.rlike(P.BLOCKED_FAILURE)),
     ])
 
 

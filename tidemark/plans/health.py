@@ -22,11 +22,11 @@ def hygiene_sql() -> str:
     host, path = f"coalesce({host_sql('link')}, '')", f"lower(coalesce({path_sql('link')}, ''))"
     words = "lower(concat_ws(' ', link, title))"
     repeats = f"len([p for p in string_split({path}, '/') if len(p) >= 4 AND len(list_filter(string_split({path}, '/'), lambda q: q = p)) >= 3]) > 0"
-    return f"""CASE WHEN {host} = '' THEN 'invalid_url' WHEN {matches(host, P.SOCIAL_HOSTS)} OR {matches(words, P.SOCIAL_TEXT)} OR {matches(path, '/share(?:/|$)')} THEN 'social_or_share_link'
+    return f"""CASE WHEN {host} = '' THEN 'invalid_url' WHEN {matches(host, P.of_hosts(P.SOCIAL_HOSTS))} OR {matches(words, P.SOCIAL_TEXT)} OR {matches(path, '/share(?:/|$)')} THEN 'social_or_share_link'
       WHEN {matches(path, P.MEDIA_PATH)} THEN 'media_or_archive_file' WHEN {repeats} THEN 'recursive_or_cyclic_url' WHEN {matches(path, P.SEARCH_PATH)} OR {matches(path, P.LISTING_PATH)} THEN 'generic_source_shape'
       WHEN {host} IN {listed(P.DOWNLOAD_HOSTS)} THEN 'software_download' WHEN {matches(words, P.BOILERPLATE_TEXT)} THEN 'boilerplate_or_policy_link' WHEN {matches('message', P.TOO_LARGE)} THEN 'oversized_file'
-      WHEN {matches(host, P.PRIVATE_HOSTS)} AND {matches('message', P.PRIVATE_FAILURE)} THEN 'private_document' WHEN {matches('message', P.PERMANENT_FAILURE)} THEN 'permanent_http_failure'
-      WHEN {matches('message', P.SOFT_404)} THEN 'soft_404' WHEN {matches(host, P.BLOCKED_HOSTS)} AND {matches('message', P.BLOCKED_FAILURE)} THEN 'blocked_third_party' WHEN {matches('message', P.BLOCKED_FAILURE)} THEN 'blocked_by_source' END"""
+      WHEN {matches(host, P.of_hosts(P.PRIVATE_HOSTS))} AND {matches('message', P.PRIVATE_FAILURE)} THEN 'private_document' WHEN {matches('message', P.PERMANENT_FAILURE)} THEN 'permanent_http_failure'
+      WHEN {matches('message', P.SOFT_404)} THEN 'soft_404' WHEN {matches(host, P.of_hosts(P.BLOCKED_HOSTS))} AND {matches('message', P.BLOCKED_FAILURE)} THEN 'blocked_third_party' WHEN {matches('message', P.BLOCKED_FAILURE)} THEN 'blocked_by_source' END"""
 
 
 @query(f"SELECT page_id, {hygiene_sql()} AS reason FROM (SELECT page_id, title, {CHECKED} AS link, {MESSAGE} AS message FROM {SOURCES})")
