@@ -24,11 +24,18 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return _MADE[-1]
 
 
+def drop_dir(spark: SparkSession, path: str) -> None:
+    """Deletes a folder given by shared_dir, if it is there."""
+    if path in _MADE:
+        _MADE.remove(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    with suppress(Exception):  # one that was never written, or that another job holds, is no reason to stop
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def clear_scratch(spark: SparkSession) -> int:
     """Deletes all folders that this process was given by shared_dir, and returns how many there were. Results that read from them must be done with."""
-    count = len(_MADE)
-    while _MADE:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
-        with suppress(Exception):  # a folder that was never written, or one that another job holds, is no reason to stop
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return count
+    made = list(_MADE)
+    for path in made:
+        drop_dir(spark, path)
+    return len(made)
