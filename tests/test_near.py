@@ -96,6 +96,22 @@ def test_overlapping_rectangles_against_brute_force(spark):
     assert set(got) == want and len(got) == len(want)
 
 
+def test_best_by_tokens_against_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    make = lambda n: [(int(k), sorted({f"w{min(int(w), 30)}" for w in rng.zipf(1.4, int(rng.integers(0, 9)))})) for k in range(n)]
+    asked, known = make(120), make(60)
+    for least in (0.3, 0.5, 1.0):
+        out = near.best_by_tokens(spark.createDataFrame(asked, "r long, t array<string>"), spark.createDataFrame(known, "a long, t array<string>"), "r", "a", "t", least).collect()
+        want = {}
+        for r, x in asked:
+            best = max(((round(len(set(x) & set(y)) / max(len(x), len(y)), 6), -a) for a, y in known if x and y), default=(0, 0))
+            if best[0] >= least:
+                want[r] = (-best[1], best[0])
+        assert {r.r: (r.a, r.score) for r in out} == want and want
+
+
 def test_gates_of_nothing(spark):
     row = spark.createDataFrame([(None, None, None)], "url string, metadata string, text string")
     url, meta, text = F.col("url"), F.col("metadata"), F.col("text")

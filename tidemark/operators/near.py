@@ -61,12 +61,21 @@ def without_near_duplicates(changes: DataFrame, scope: list[str], order: list[st
 def best_by_tokens(requests: DataFrame, awards: DataFrame, request: str, award: str, tokens: str, least: float) -> DataFrame:
     """request, award and score: the award that shares most words with a request, as a part of the larger set, at least `least`; ties to the smaller award.
 
-    Rows meet on shared words only, and partial counts travel, so requests and awards without one never meet.
+    Words are ordered from the rarest among the awards. Two sets that reach `least` share a word among the first of each, all but so many as may be
+    missed, so rows meet on those alone and words of very many awards bring hardly any together. tokens are sets; empty ones match nothing.
     """
-    asked = requests.select(request, F.size(tokens).alias("__n"), F.explode(tokens).alias("__word"))
-    known = awards.select(award, F.size(tokens).alias("__m"), F.explode(tokens).alias("__word"))
-    shared = asked.join(known, "__word").groupBy(request, award).agg(F.count("*").alias("__both"), F.first("__n").alias("__n"), F.first("__m").alias("__m"))
-    scored = shared.withColumn("score", F.round(F.col("__both") / F.greatest("__n", "__m"), 6)).filter(F.col("score") >= least)
+    often = awards.select(F.explode(tokens).alias("__word")).groupBy("__word").agg(F.count("*").alias("__often"))
+
+    def rarest_first(frame: DataFrame, id: str, name: str) -> DataFrame:
+        words = frame.select(id, F.explode(tokens).alias("__word")).join(often, "__word", "left").withColumn("__often", F.coalesce("__often", F.lit(0)))
+        sets = words.groupBy(id).agg(F.array_sort(F.collect_list(F.struct("__often", "__word"))).alias(name))  # one row's words
+        sets = sets.withColumn(name, F.transform(name, lambda w: w["__word"]))
+        size = F.size(name)
+        return sets.withColumn("__first", F.explode(F.slice(name, F.lit(1), size - F.ceil(size * least - 1e-9).cast("int") + 1)))
+
+    met = rarest_first(requests, request, "__own").join(rarest_first(awards, award, "__other"), "__first")
+    shared = F.size(F.array_intersect("__own", "__other")) / F.greatest(F.size("__own"), F.size("__other"))
+    scored = met.select(request, award, F.round(shared, 6).alias("score")).filter(F.col("score") >= least)
     best = scored.groupBy(request).agg(F.max_by(F.struct(award, "score"), F.struct("score", -F.col(award))).alias("__best"))
     return best.select(request, F.col(f"__best.{award}").alias(award), F.col("__best.score").alias("score"))
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import patterns as P
-from tidemark.functions import urls as U
 from tidemark.operators import gates as G
 from tidemark.operators import rollups
 from tidemark.sources import tables
