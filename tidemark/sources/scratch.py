@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from contextlib import suppress
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 _MADE: list[str] = []
@@ -24,6 +24,13 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return _MADE[-1]
 
 
+def stored(frame: DataFrame, name: str) -> DataFrame:
+    """Writes a frame as Parquet in the shared folder and returns it reread: lineage ends there, and a lost executor loses nothing."""
+    path = shared_dir(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def drop_dir(spark: SparkSession, path: str) -> None:
     """Deletes a folder given by shared_dir, if it is there."""
     if path in _MADE:
