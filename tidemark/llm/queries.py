@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 import public_tokenizers
@@ -12,6 +13,7 @@ from .ann import nearest
 from .bpe import bpe_round_trip
 from .html_text import main_text
 from .linkgraph import judge_urls
+from .merkle import digest, folded, leaf_of, manifest, siblings
 from .mixing import mix_sources
 from .simhash import hex_of, simhash_components
 from .token_files import token_counts
@@ -92,9 +94,24 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof of all documents, and the root that those with a tampered text lead to."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", "n_chars", "text")
+    rest = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    leaves = docs.select("doc_id", "source", leaf_of(*rest, F.col("text")).alias("leaf"), F.when(tampered, leaf_of(*rest, lower)).alias("tampered"))
+    out = manifest(leaves, "source", "doc_id").select(
+        "doc_id", "leaf", "subroot", "root", digest(siblings(F.col("path"))).alias("proof_sha256"),
+        folded(F.col("path"), F.coalesce("tampered", "leaf")).alias("folded_root"),
+    )
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 _ALL = (
     op1_token_counts, op2_nearest_neighbours, op3_top_products, op4_byte_bpe, op5_toxicity,
     op6_warc_zstd, op7_mix_sources, op8_simhash_dedup, op9_main_text, op10_url_filters,
+    op11_merkle_manifest,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
@@ -115,4 +132,29 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
         FROM q
     """,
+    "op11_merkle_manifest": """
+        WITH RECURSIVE d AS (
+            SELECT row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+                   doc_id, text, [doc_id::VARCHAR, source, lang, n_chars::VARCHAR] AS head,
+                   list_reduce(list_prepend(4294967295::UBIGINT, [ascii(c)::UBIGINT for c in string_split(doc_id::VARCHAR, '')]), lambda a, b:
+                       list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END)) AS sum
+            FROM documents),
+        e AS (SELECT *, array_to_string([CASE WHEN x IS NULL THEN '-' ELSE strlen(x) || ':' || x END for x in head], '') AS said,
+                     CASE WHEN xor(sum, 4294967295::UBIGINT) % 5 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS changed FROM d),
+        leaves AS (SELECT doc_id, tree, n, pos, sha256(said || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(said || coalesce(strlen(changed) || ':' || changed, '-')) AS put FROM e),
+        nodes AS (SELECT tree, n::BIGINT AS n, pos::BIGINT AS pos, 0 AS level, leaf AS h, '' AS pre FROM leaves UNION ALL
+                  SELECT tree, (n + 15) // 16, pos // 16, level + 1, sha256(string_agg(h, '' ORDER BY pos)), string_agg(h, '' ORDER BY pos) FROM nodes WHERE n > 1 GROUP BY tree, n, pos // 16, level),
+        tops AS (SELECT tree, h AS subroot, tree AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1),
+        over AS (SELECT n::BIGINT AS n, pos::BIGINT AS pos, 0 AS level, subroot AS h, '' AS pre FROM tops UNION ALL
+                 SELECT (n + 15) // 16, pos // 16, level + 1, sha256(string_agg(h, '' ORDER BY pos)), string_agg(h, '' ORDER BY pos) FROM over WHERE n > 1 GROUP BY n, pos // 16, level),
+        climb AS (SELECT doc_id, leaf, tree, n::BIGINT AS n, pos::BIGINT AS pos, 0 AS level, put AS h, '' AS proof FROM leaves UNION ALL
+                  SELECT doc_id, leaf, c.tree, p.n, p.pos, p.level, sha256(left(p.pre, 64 * (c.pos % 16)) || c.h || substr(p.pre, 64 * (c.pos % 16) + 65)),
+                         proof || left(p.pre, 64 * (c.pos % 16)) || substr(p.pre, 64 * (c.pos % 16) + 65)
+                  FROM climb c JOIN nodes p ON c.n > 1 AND p.tree = c.tree AND p.level = c.level + 1 AND p.pos = c.pos // 16),
+        rise AS (SELECT doc_id, leaf, subroot, t.n::BIGINT AS n, t.pos::BIGINT AS pos, 0 AS level, h, proof FROM climb c JOIN tops t ON c.tree = t.tree AND c.n = 1 UNION ALL
+                 SELECT doc_id, leaf, subroot, p.n, p.pos, p.level, sha256(left(p.pre, 64 * (c.pos % 16)) || c.h || substr(p.pre, 64 * (c.pos % 16) + 65)),
+                        proof || left(p.pre, 64 * (c.pos % 16)) || substr(p.pre, 64 * (c.pos % 16) + 65)
+                 FROM rise c JOIN over p ON c.n > 1 AND p.level = c.level + 1 AND p.pos = c.pos // 16)
+        SELECT doc_id, leaf, subroot, o.h AS root, sha256(proof) AS proof_sha256, r.h AS folded_root, r.h = o.h AS verified FROM rise r JOIN over o ON o.n = 1 AND r.n = 1
+    """,
 }
