@@ -15,6 +15,8 @@ from .html_text import main_text
 from .linkgraph import judge_urls
 from .merkle import digest, folded, leaf_of, manifest, siblings
 from .mixing import mix_sources
+from .negatives import hard_negatives
+from .packing import binary_pieces, numbered
 from .simhash import hex_of, simhash_components
 from .token_files import token_counts
 from .topk import top_products
@@ -24,6 +26,8 @@ from .warc import warc_round_trip
 RANKS = "byte_bpe_50k.tiktoken"
 #: An id that the vocabulary leaves free.
 END_OF_DOCUMENT = 50256
+#: Tokenizer of packed sequences, the id that ends a document there, and tokens of the longest sequence.
+WORDS, END_OF_PACKED, LONGEST_SEQUENCE = "word_bpe_49k.json", 1, 2048
 #: Scores from which on a document counts as toxic.
 TOXIC = 0.7
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -108,10 +112,26 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents of 2, 4, … 2,048 tokens or one, each a sequence of its own."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    pieces = binary_pieces(docs, public_tokenizers.path(WORDS), END_OF_PACKED, LONGEST_SEQUENCE)
+    pieces = pieces.withColumns({"length": F.col("length").cast("long"), "ids_crc32": F.crc32("tokens")}).drop("tokens")
+    return numbered(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every vec_id divisible by 100; a seventh of the labels is moved on by one first."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = vectors.withColumn("label", moved)
+    return hard_negatives(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
+
+
 _ALL = (
     op1_token_counts, op2_nearest_neighbours, op3_top_products, op4_byte_bpe, op5_toxicity,
     op6_warc_zstd, op7_mix_sources, op8_simhash_dedup, op9_main_text, op10_url_filters,
-    op11_merkle_manifest,
+    op11_merkle_manifest, op12_binary_packing, op13_hard_negatives,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
@@ -157,4 +177,14 @@ ORACLE_SQL: dict[str, str] = {
                  FROM rise c JOIN over p ON c.n > 1 AND p.level = c.level + 1 AND p.pos = c.pos // 16)
         SELECT doc_id, leaf, subroot, o.h AS root, sha256(proof) AS proof_sha256, r.h AS folded_root, r.h = o.h AS verified FROM rise r JOIN over o ON o.n = 1 AND r.n = 1
     """,
+    "op13_hard_negatives": """
+        WITH v AS (SELECT vec_id::BIGINT AS vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x) for x in embedding::DOUBLE[]] AS v FROM embeddings
+                   WHERE embedding IS NOT NULL AND label IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0 AND len(embedding) > 0),
+        s AS (SELECT q.vec_id AS anchor_id, b.vec_id, q.label = b.label AS same, list_dot_product(q.v, b.v)::BIGINT AS score
+              FROM v q JOIN v b ON q.vec_id % 100 = 0 AND q.vec_id <> b.vec_id),
+        p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+        QUALIFY rank <= 5
+    """,
 }

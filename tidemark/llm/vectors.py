@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
-    """vec_id (long) and v (array of double) of vectors without null or non-finite components, with an id and of one component at least."""
+def usable(vectors: DataFrame, vec_id: str, embedding: str, *more: str) -> DataFrame:
+    """vec_id (long), v (array of double) and more columns of vectors without null or non-finite components, with an id and of one component at least."""
     v = F.col(f"`{embedding}`").cast("array<double>")
-    frame = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), v.alias("v"))
+    frame = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), v.alias("v"), *more)
     whole = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     return frame.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & whole)
 
