@@ -8,7 +8,7 @@ from tidemark.functions import text as T
 from tidemark.operators import changes, keyed, rollups
 from tidemark.sources import tables
 from tidemark.sources.scratch import shared_dir
-from tidemark.streaming import jobs
+from tidemark.streaming import jobs, ledger
 
 from .registry import query
 
@@ -85,6 +85,12 @@ def words_with_position(spark, sf_dir):
     return words_of(tables.table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+@query("""SELECT doc_id, k::INTEGER AS position, word FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM (
+    SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM documents)) WHERE word <> ''""")
+def words_with_position(spark, sf_dir):
+    return words_of(tables.table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 @query("""SELECT doc_id, k::INTEGER AS position, word FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM (
     SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM documents)) WHERE word <> ''""")
 def all_words_with_position(spark, sf_dir):
@@ -127,18 +133,13 @@ def streaming_sweep(spark, sf_dir):
 
 @query("SELECT date_trunc('hour', ts) AS hour, user_id, count(*)::BIGINT AS n FROM events GROUP BY 1, 2")
 def streaming_rates(spark, sf_dir):
-    """Hourly counts as a stream with a watermark, kept up to date batch by batch."""
-    rates = jobs.tumbling_rate(jobs.event_stream(spark, f"{sf_dir}/event[s].parquet"))
-    to = shared_dir(spark, "rates")
-    jobs.sweep_updates(rates.withColumn("hour", F.col("hour").cast("timestamp_ntz")), to, shared_dir(spark, "rates-progress"))
-    return jobs.newest(spark, to, ["hour", "user_id"]).select("hour", "user_id", "n")
+    """Hourly counts as a stream, kept up to date batch by batch; rows may come in any order."""
+    stream = jobs.event_stream(spark, f"{sf_dir}/event[s].parquet").select(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"), "user_id")
+    return ledger.count_batches(stream, shared_dir(spark, "rates"), shared_dir(spark, "rates-progress"), ["hour", "user_id"])
 
 
 @query("SELECT event_id, user_id FROM events")
 def streaming_deliveries(spark, sf_dir):
-    """Events delivered twice arrive once."""
-    stream = jobs.event_stream(spark, f"{sf_dir}/event[s].parquet")
-    once = jobs.first_deliveries(stream.union(jobs.event_stream(spark, f"{sf_dir}/event[s].parquet")))
-    to = shared_dir(spark, "deliveries")
-    jobs.sweep(once.select("event_id", "user_id"), to, shared_dir(spark, "deliveries-progress"))
-    return spark.read.parquet(to)
+    """Events delivered twice arrive once, whatever the order in which they come."""
+    stream = jobs.event_stream(spark, f"{sf_dir}/event[s].parquet").union(jobs.event_stream(spark, f"{sf_dir}/event[s].parquet"))
+    return ledger.deliver_once(stream.select("event_id", "user_id"), shared_dir(spark, "deliveries"), shared_dir(spark, "deliveries-progress"), ["event_id"])
