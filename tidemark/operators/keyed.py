@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.runs import ranked
+
 
 def latest_per_key(frame: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The row of each key that is largest by order. One aggregate with map-side combine (a sort-based one, as whole rows are kept): rows of a key don't meet in one task."""
@@ -35,9 +37,9 @@ def beyond_newest(frame: DataFrame, keys: list[str], order: list[Column], keep:
 
 
 def batches(frame: DataFrame, keys: list[str], order: list[Column], size: int, name: str = "batch") -> DataFrame:
-    """Numbers rows of each key in runs of at most `size`, from 0."""
-    at = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return frame.withColumn(name, F.floor((at - 1) / size).cast("int"))
+    """Numbers rows of each key in runs of at most `size`, from 0. A key of very many rows is ranked over several tasks."""
+    placed = ranked(frame, keys, order, "__place")
+    return placed.withColumn(name, F.floor((F.col("__place") - 1) / size).cast("int")).drop("__place")
 
 
 def occurrences(frame: DataFrame, keys: list[str], order: list[Column], name: str = "occurrence") -> DataFrame:
@@ -45,12 +47,6 @@ def occurrences(frame: DataFrame, keys: list[str], order: list[Column], name: st
     return frame.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
 
-def with_previous(frame: DataFrame, keys: list[str], order: list[Column], columns: dict[str, str]) -> DataFrame:
-    """Adds values of the row before in the order of its key. columns: new name to old name."""
-    before = Window.partitionBy(*keys).orderBy(*order)
-    return frame.withColumns({new: F.lag(old).over(before) for new, old in columns.items()})
-
-
 def with_previous_id(frame: DataFrame, keys: list[str], id: str, name: str = "previous", width: int = 100_000) -> DataFrame:
     """Adds the next smaller id of the row's key, null for its smallest. Ids are whole numbers, unique in their key.
 
@@ -76,15 +72,3 @@ def merge_fields(frame: DataFrame, keys: list[str], order: list[str], best: dict
         kinds[how](c).alias(c) if how in kinds else F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct(*order))).alias(c) for c, how in best.items()
     ]
     return frame.groupBy(*keys).agg(*fields)
-
-
-def blocked_by_older(frame: DataFrame, keys: list[str], order: list[Column], open_row: Column, name: str = "blocked") -> DataFrame:
-    """Whether an earlier row of the key is still open: later ones must wait."""
-    earlier = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return frame.withColumn(name, F.coalesce(F.max(open_row).over(earlier), F.lit(False)))
-
-
-def rolling_count(frame: DataFrame, keys: list[str], at: str, seconds: int, name: str = "recent") -> DataFrame:
-    """Rows of the key within so many seconds up to each row, itself included."""
-    span = Window.partitionBy(*keys).orderBy(F.unix_micros(F.col(at).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
-    return frame.withColumn(name, F.count("*").over(span))

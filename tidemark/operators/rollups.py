@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.runs import same
+from tidemark.sources.scratch import stored
+
 
 def counts_by(frame: DataFrame, key: Column, name: str = "key", blank: str = "unknown") -> DataFrame:
     """Rows by key; null and blank keys count as one of their own."""
@@ -29,15 +32,26 @@ def percent(part: Column, whole: Column, digits: int = 1) -> Column:
 
 
 def identity_digest(frame: DataFrame, keys: list[str], item: str, n: str = "n", width: int = 1_000) -> DataFrame:
-    """Count and SHA-256 of each key's items (whole numbers), in order: equal for equal sets.
+    """Count and SHA-256 of each key's items (whole numbers), in order: equal for equal multisets.
 
-    Items are digested in runs of `width` numbers (those of a run joined by newlines), then the runs' digests in order, so no more than a run's items
-    or a digest a run meet in one value.
+    Items are digested in runs of `width` numbers (those of a run joined by newlines), the runs' digests again by `width` runs that follow each other in
+    number, and so on until a key has one: a tree of as many levels as the key's range asks for, where no value holds more than a run's items or `width` digests.
+    An item that comes more than once is written with its count, so repeats don't swell a run.
     """
-    ordered = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda r: r["v"].cast("string")), "\n")
-    run = F.floor(F.col(item) / width).alias("__run")
-    runs = frame.groupBy(*keys, run).agg(F.count("*").alias(n), F.sha2(ordered(F.struct(F.col(item).alias("v"))), 256).alias("__digest"))
-    return runs.groupBy(*keys).agg(F.sum(n).alias(n), F.sha2(ordered(F.struct("__run", F.col("__digest").alias("v"))), 256).alias("digest"))
+    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__at", "__v"))), lambda r: r["__v"]), "\n")
+    once = frame.groupBy(*keys, F.col(item).alias("__at")).agg(F.count("*").alias(n))
+    node = once.withColumn("__v", F.concat(F.col("__at").cast("string"), F.when(F.col(n) > 1, F.concat(F.lit("x"), F.col(n).cast("string"))).otherwise("")))
+    done = None
+    while True:
+        node = node.groupBy(*keys, F.floor(F.col("__at") / width).alias("__at")).agg(F.sum(n).alias(n), F.sha2(ordered, 256).alias("__v"))
+        node = stored(node, "digests")
+        runs = node.groupBy(*keys).agg(F.count("*").alias("__runs"))
+        whole = node.alias("r").join(runs.alias("s"), same(keys, "r", "s")).select("r.*", "s.__runs")
+        ended = whole.filter("__runs = 1").select(*keys, n, F.col("__v").alias("digest"))
+        done = ended if done is None else done.unionByName(ended)
+        node = whole.filter("__runs > 1").select(*keys, "__at", n, "__v")
+        if node.isEmpty():
+            return done
 
 
 def remaining_budget(reservations: DataFrame, keys: list[str], cap: int, reserved: Column, spent: Column) -> DataFrame:

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.runs import with_previous
+
 
 def lease_state(last_kind: Column, age: Column, failures: Column, lease: int, base: int, most: int) -> Column:
     """idle, claimed, expired or backoff of a lane, from its last event (claim, beat, done, fail), its age in seconds and failures in a row."""
@@ -47,8 +49,7 @@ def frame_schema(frame: DataFrame, more: str) -> str:
 
 def misplaced(frame: DataFrame, keys: list[str], order: list[Column], stage: str) -> DataFrame:
     """Adds previous (stage before, null at first) and legal: the stage is the next one, or a restart at the first."""
-    before = F.lag(stage).over(Window.partitionBy(*keys).orderBy(*order))
-    rows = frame.withColumn("previous", before)
+    rows = with_previous(frame, keys, order, {"previous": stage})
     return rows.withColumn("legal", (F.col(stage) == 0) | F.coalesce(F.col(stage) == F.col("previous") + 1, F.lit(False)))
 
 

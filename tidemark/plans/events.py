@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import times
-from tidemark.operators import keyed, rollups
+from tidemark.operators import keyed, rollups, runs
 from tidemark.sources import tables
 
 from .registry import query
@@ -107,8 +107,10 @@ def dynamic_group_key(spark, sf_dir):
     return rollups.counts_by(events(spark, sf_dir, "event_type"), F.col("event_type"))
 
 
-@query("""SELECT day, sum(n)::BIGINT AS n, sha256(string_agg(digest, chr(10) ORDER BY run)) AS digest FROM (SELECT ts::DATE AS day, event_id // 1000 AS run, count(*) AS n, sha256(string_agg(event_id::VARCHAR, chr(10) ORDER BY event_id)) AS digest
-    FROM events GROUP BY 1, 2) GROUP BY 1""")
+@query("""WITH RECURSIVE t AS (
+        SELECT day, pos, n, v, 2::BIGINT AS runs FROM (SELECT ts::DATE AS day, event_id AS pos, 1::HUGEINT AS n, event_id::VARCHAR AS v FROM events)
+        UNION ALL SELECT day, pos // 1000, sum(n), sha256(string_agg(v, chr(10) ORDER BY pos)), count(*) OVER (PARTITION BY day) FROM t WHERE runs > 1 GROUP BY day, pos // 1000)
+    SELECT day, n::BIGINT AS n, v AS digest FROM t WHERE runs = 1""")
 def ordered_identity_digest(spark, sf_dir):
     rows = events(spark, sf_dir, "ts", "event_id").withColumn("day", F.to_date("ts"))
     return rollups.identity_digest(rows, ["day"], "event_id")
@@ -152,7 +154,7 @@ def tumbling_rate(spark, sf_dir):
 
 @query("""SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 3600 SECONDS PRECEDING AND CURRENT ROW)::BIGINT AS recent FROM events""")
 def rolling_rate(spark, sf_dir):
-    return keyed.rolling_count(events(spark, sf_dir, "event_id", "user_id", "ts"), ["user_id"], "ts", 3600).select("event_id", "user_id", "recent")
+    return runs.rolling_count(events(spark, sf_dir, "event_id", "user_id", "ts"), ["user_id"], "ts", 3600).select("event_id", "user_id", "recent")
 
 
 @query("""SELECT user_id, props AS signature, min(ts) AS first_seen, max(ts) AS last_seen, count(*)::BIGINT AS seen_count FROM events WHERE event_type = 'error' GROUP BY 1, 2""")

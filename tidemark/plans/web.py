@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.functions import urls as U
-from tidemark.operators import changes, keyed, rollups
+from tidemark.operators import changes, keyed, rollups, runs
 from tidemark.sources import tables
 
 from .registry import query
@@ -164,11 +164,11 @@ def exact_change_dedupe(spark, sf_dir):
 @query("""SELECT conv_id, turn, role, coalesce(bool_or(role = 'user') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS blocked FROM conversations""")
 def publication_order_block(spark, sf_dir):
     rows = tables.table(spark, sf_dir, "conversations", "conv_id", "turn", "role")
-    return keyed.blocked_by_older(rows, ["conv_id"], [F.asc("turn")], F.col("role") == "user")
+    return runs.blocked_by_older(rows, ["conv_id"], [F.asc("turn")], F.col("role") == "user")
 
 
 @query("""SELECT coalesce(previous, 'start') AS previous, role, count(*)::BIGINT AS n FROM (SELECT role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS previous FROM conversations) GROUP BY 1, 2""")
 def state_stage_order(spark, sf_dir):
     rows = tables.table(spark, sf_dir, "conversations", "conv_id", "turn", "role")
-    pairs = keyed.with_previous(rows, ["conv_id"], [F.asc("turn")], {"previous": "role"})
+    pairs = runs.with_previous(rows, ["conv_id"], [F.asc("turn")], {"previous": "role"})
     return pairs.groupBy(F.coalesce("previous", F.lit("start")).alias("previous"), "role").agg(F.count("*").alias("n"))
