@@ -8,7 +8,7 @@ from tidemark.functions import documents as D
 from tidemark.operators import gates as G
 from tidemark.operators import near, states
 from tidemark.plans import flows, matches
-from tidemark.streaming import jobs
+from tidemark.streaming import ledger
 
 DATA = "/root/testdata/sf0.001"
 
@@ -60,27 +60,63 @@ def test_budget_admission(spark):
     assert got == {("a", 1): False, ("a", 2): True, ("a", 3): False, ("a", 4): True, (None, 1): True}
 
 
-def test_admission_as_a_stream_agrees(spark, tmp_path):
+def test_admission_of_a_hot_key(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    amounts = [None if k % 91 == 0 else -3 if k % 77 == 0 else int(x) for k, x in enumerate(rng.choice([0, 1, 2, 3, 7, 50, 400, 5000], 40_000))]
+    rows = [("hot" if k % 3 else None if k % 2 else "b", int(k), x) for k, x in enumerate(amounts)]
+    frame = spark.createDataFrame(rows, "lane string, t long, x long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for cap in (0, 150, 60_000):
+            out = states.admitted(frame, ["lane"], ["t"], "x", cap, spark.createDataFrame([("b", 100), ("other", 7)], "lane string, spent long"))
+            left, want = {"hot": cap, None: cap, "b": cap - 100}, {}
+            for lane, t, x in rows:
+                want[t] = x is not None and 0 <= x <= left[lane]
+                left[lane] -= x if want[t] else 0
+            assert {r.t: r.admitted for r in out.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_outcomes():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    for cap in (1, 30, 500):
+        amounts = [int(x) for x in rng.integers(-2, cap + 5, 25)]
+        starts, taken = states.outcome(amounts, cap)
+        for left in range(cap + 1):
+            rest = left
+            for x in amounts:
+                rest -= x if 0 <= x <= rest else 0
+            assert left - rest == taken[np.searchsorted(starts, left, side="right") - 1]
+
+
+def test_admission_as_a_stream(spark, tmp_path):
+    import pytest
+    from pyspark.errors import StreamingQueryException
+
+    def stop(batch):
+        if batch == 1:
+            raise RuntimeError("stopped")
+
     want = flows.budget_admission(spark, DATA)
     rows = want.drop("admitted").join(spark.read.parquet(f"{DATA}/events.parquet").select("event_id", "ts"), "event_id").withColumn("ts", F.unix_micros(F.col("ts").cast("timestamp")))
     for k in range(3):
-        rows.filter(F.col("event_id") % 3 == k).coalesce(1).write.parquet(f"file://{tmp_path}/in/{k}")
-    first = spark.read.parquet(f"file://{tmp_path}/in/0").cache()
-    first.count()
-    stream = spark.readStream.schema(first.schema).parquet(f"file://{tmp_path}/in/0")
-    out = jobs.admissions(stream, ["user_id", "day"], ["ts", "event_id"], "amount", 150)
-    jobs.sweep(out, f"file://{tmp_path}/out", f"file://{tmp_path}/progress")
-    got = {r.event_id: r.admitted for r in spark.read.parquet(f"file://{tmp_path}/out").collect()}
-    assert got == {r.event_id: r.admitted for r in states.admitted(first, ["user_id", "day"], ["ts", "event_id"], "amount", 150).collect()}
-    for k in (1, 2):  # later files go on from the state that is kept
-        first_of = spark.read.parquet(f"file://{tmp_path}/in/{k}")
-        first_of.coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in/0")
-        jobs.sweep(jobs.admissions(stream, ["user_id", "day"], ["ts", "event_id"], "amount", 150), f"file://{tmp_path}/out", f"file://{tmp_path}/progress")
-    every = [r for r in spark.read.parquet(f"file://{tmp_path}/out").collect()]
+        rows.filter(F.col("event_id") % 3 == k).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+    to, progress = f"file://{tmp_path}/to", f"file://{tmp_path}/progress"
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
+    with pytest.raises(StreamingQueryException):
+        ledger.admit_batches(stream, to, progress, ["user_id", "day"], ["ts", "event_id"], "amount", 150, stop)
+    got = ledger.admit_batches(stream, to, progress, ["user_id", "day"], ["ts", "event_id"], "amount", 150).collect()
     spent: dict = {}
-    for r in every:
-        spent[r.user_id, r.day] = spent.get((r.user_id, r.day), 0) + (r.amount if r.admitted else 0)
-    assert len(every) == rows.count() and max(spent.values()) <= 150
+    for r in sorted(got, key=lambda r: (r.event_id % 3, r.ts, r.event_id)):  # a batch is a file
+        left = 150 - spent.get((r.user_id, r.day), 0)
+        assert r.admitted == (r.amount <= left)
+        spent[r.user_id, r.day] = 150 - left + (r.amount if r.admitted else 0)
+    assert len(got) == rows.count()
 
 
 def test_overlapping_rectangles_against_brute_force(spark):
@@ -122,3 +158,60 @@ def test_gates_of_nothing(spark):
     ).first()
     assert (r.blocked, r.trackable, r.review.status, r.quality.reason, r.health, r.useful, r.identity) == (False, False, "unreviewed", "missing_url", "pending", False, 0.0)
     assert (r.kind, r.canonical, tuple(r.excerpt)) == (None, None, (0, "", ""))
+
+
+def greedy(rows):
+    """Ids of kept rows (id, scope, key, words, concepts), in order; kept ones are looked up by word."""
+    kept, seen, index, sets = [], set(), {}, {}
+    for n, scope, key, words, concepts in sorted(rows):
+        if (scope, key) in seen:
+            continue
+        seen.add((scope, key))
+        own, ideas = set(words), set(concepts)
+        if len(own) >= 8 or len(own) >= 4 and ideas:
+            shared: dict = {}
+            for w in own:
+                for other in index.get((scope, w), ()):
+                    shared[other] = shared.get(other, 0) + 1
+            if any(
+                ideas & sets[o][1] and k >= 7 and k >= 0.55 * min(len(own), len(sets[o][0])) or k >= 10 and k >= 0.72 * min(len(own), len(sets[o][0])) and k >= 0.45 * len(own | sets[o][0])
+                for o, k in shared.items()
+            ):
+                continue
+            sets[n] = own, ideas
+            for w in own:
+                index.setdefault((scope, w), []).append(n)
+        kept.append(n)
+    return kept
+
+
+def test_near_duplicates_of_a_hot_scope(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    texts: list = []
+    for _ in range(1500):  # copies of copies, so that what stays depends on the order
+        base = [int(w) for w in rng.integers(0, 3000, int(rng.integers(5, 24)))]
+        for _ in range(int(rng.integers(1, 9))):
+            base = [int(rng.integers(0, 3000)) if rng.random() < 0.12 else w for w in base]
+            texts.append((sorted({f"word{w}" for w in base}), [["c1"], ["c2"], ["c1", "c2"], []][rng.integers(0, 4)]))
+    rng.shuffle(texts := np.array(texts, dtype=object))
+    texts = [*texts, *texts[:500]]
+    rows = [(n, ["hot", "hot", "b", None][n % 4], f"k{n // 2 if n % 10 == 1 else n}", *t) for n, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "n long, scope string, key string, words array<string>, concepts array<string>")
+    got = [r.n for r in near.without_near_duplicates(frame, ["scope"], ["n"], "key", "words", "concepts").collect()]
+    want = greedy(rows)
+    assert sorted(got) == want and 1000 < len(want) < len(rows) - 1000
+
+
+def test_first_independent_rows(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    chain = [(k + 1, k) for k in range(300)]
+    for links in (chain, [(int(max(a, b)), int(min(a, b))) for a, b in rng.integers(0, 400, (900, 2)) if a != b], chain + chain):
+        kept: dict = {}
+        for k in range(401):
+            kept[k] = not any(kept[e] for later, e in links if later == k)
+        got = {r.later: r.kept for r in near.first_independent(spark.createDataFrame(links, "later long, earlier long"), run=50).collect()}
+        assert got == {k: kept[k] for k in {later for later, _ in links}}

@@ -6,6 +6,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.runs import ranked, same
+from tidemark.sources.scratch import stored
+
 # How much two changes of one scope must share. At least so many words, and such parts of the smaller set and of both.
 ALIKE = (10, 0.72, 0.45)
 #: The same with a concept in common; the part of both doesn't matter then.
@@ -24,38 +27,93 @@ def change_words(c: Column) -> Column:
     return F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 5) & ~w.isin(COMMON_WORDS) & ~w.rlike("^[0-9]+$")))
 
 
-def alike(a: set, b: set, shares_concept: bool) -> bool:
+def alike(own: str, other: str, own_concepts: str, other_concepts: str) -> Column:
     """Whether two sets of words tell of the same change."""
-    both, smaller = len(a & b), min(len(a), len(b))
-    if shares_concept and both >= ALIKE_IN_CONCEPT[0] and both >= ALIKE_IN_CONCEPT[1] * smaller:
-        return True
-    return both >= ALIKE[0] and both >= ALIKE[1] * smaller and both >= ALIKE[2] * (len(a) + len(b) - both)
+    both = F.size(F.array_intersect(own, other))
+    smaller, every = F.least(F.size(own), F.size(other)), F.size(own) + F.size(other) - both
+    in_concept = F.arrays_overlap(own_concepts, other_concepts) & (both >= ALIKE_IN_CONCEPT[0]) & (both >= ALIKE_IN_CONCEPT[1] * smaller)
+    return in_concept | (both >= ALIKE[0]) & (both >= ALIKE[1] * smaller) & (both >= ALIKE[2] * every)
+
+
+def rarest_first(sets: DataFrame, keys: list[str], id: str, words: str) -> DataFrame:
+    """Sets with their words in an array ordered from the rarest of the key, ties by the word."""
+    rows = sets.select(*keys, id, F.explode(words).alias("__word"))
+    often = rows.groupBy(*keys, "__word").agg(F.count("*").alias("__often"))
+    joined = rows.alias("r").join(often.alias("s"), same([*keys, "__word"], "r", "s"))
+    ordered = joined.groupBy(F.col(f"r.{id}").alias(id)).agg(F.array_sort(F.collect_list(F.struct("__often", "r.__word"))).alias("__words"))  # one set's words
+    return sets.drop(words).join(ordered.select(id, F.transform("__words", lambda w: w["__word"]).alias(words)), id)
+
+
+def earlier_alike(sets: DataFrame, scope: list[str], place: str, words: str, concepts: str) -> DataFrame:
+    """later and earlier: places of all pairs of one scope whose sets are alike.
+
+    A pair shares a certain part of its smaller set at least, so one of so many of that set's rarest words as may be missed, and one more, is in the larger
+    set. Rows meet on those alone; each pair counts at the first such word.
+    """
+    sets = stored(rarest_first(sets, scope, place, words), "sets-of-words")
+    size = F.size(words)
+    may_miss = size - F.greatest(F.lit(min(ALIKE[0], ALIKE_IN_CONCEPT[0])), F.ceil(size * min(ALIKE[1], ALIKE_IN_CONCEPT[1]) - 1e-9).cast("int"))
+    first = F.slice(words, F.lit(1), F.greatest(may_miss + 1, F.lit(0)))
+    small = sets.select(*scope, F.col(place).alias("a"), F.col(words).alias("wa"), F.col(concepts).alias("ca"), first.alias("fa"), F.explode(first).alias("__word"))
+    large = sets.select(*scope, F.col(place).alias("b"), F.col(words).alias("wb"), F.col(concepts).alias("cb"), F.explode(words).alias("__word"))
+    on = same([*scope, "__word"], "s", "l") & ((F.size("wa") < F.size("wb")) | (F.size("wa") == F.size("wb")) & (F.col("a") < F.col("b")))
+    met = small.alias("s").join(large.alias("l"), on).filter(F.get(F.array_intersect("fa", "wb"), F.lit(0)) == F.col("s.__word"))
+    return met.filter(alike("wa", "wb", "ca", "cb")).select(F.greatest("a", "b").alias("later"), F.least("a", "b").alias("earlier"))
+
+
+def first_independent(links: DataFrame, run: int = 20_000, most_rounds: int = 1_000) -> DataFrame:
+    """later and kept for every row that has links(later, earlier) to earlier ones: a row is kept unless an earlier kept one is linked to it.
+
+    Rows with no earlier link are kept. Runs of places are gone through at once, each in a task and in order, as far as what they ask about is settled; the
+    next round knows what this one has settled. Every round settles the first run that is open, and all that hang on settled rows only.
+    """
+
+    def settle(frame: pd.DataFrame) -> pd.DataFrame:
+        known: dict[int, bool | None] = {}
+        for later, links in frame.sort_values(["later", "earlier"]).groupby("later", sort=True):
+            states = [known.get(e) if e in known else k for e, k in zip(links["earlier"], links["kept"])]
+            states = [None if k is None or pd.isna(k) else bool(k) for k in states]
+            known[later] = False if True in states else None if None in states else True
+        return pd.DataFrame({"later": list(known), "kept": pd.array(list(known.values()), dtype="boolean")})
+
+    links = stored(links.distinct(), "links")
+    followers = links.select(F.col("later").alias("l")).distinct()
+    first = links.join(followers, F.col("earlier") == F.col("l"), "left")  # those that hang on nothing are kept
+    open_links = stored(first.select("later", "earlier", F.when(F.col("l").isNull(), F.lit(True)).alias("kept")), "open-links")
+    done = None
+    for _ in range(most_rounds):
+        now = open_links.groupBy(F.floor(F.col("later") / run).alias("run")).applyInPandas(settle, "later long, kept boolean")
+        now = stored(now.filter("kept IS NOT NULL"), "settled")
+        done = now if done is None else done.unionByName(now)
+        rest = open_links.join(now.select(F.col("later").alias("l")), F.col("later") == F.col("l"), "left_anti")
+        told = now.select(F.col("later").alias("e"), F.col("kept").alias("k"))
+        rest = rest.join(told, F.col("earlier") == F.col("e"), "left").select("later", "earlier", F.coalesce("kept", "k").alias("kept"))
+        open_links = stored(rest, "open-links")
+        if open_links.isEmpty():
+            return done
+    raise RuntimeError(f"not settled in {most_rounds} rounds")
 
 
 def without_near_duplicates(changes: DataFrame, scope: list[str], order: list[str], key: str, words: str, concepts: str) -> DataFrame:
     """Changes without those that an earlier kept one of their scope tells already: an equal key, or words alike.
 
-    Equal keys go first, by an aggregate, so what is left of a scope are different texts. Which of them stay depends on the order
-    in which they are met, so a scope (an award's page and section) is met in one task: its words, not its texts. Null keys go, as do null scopes' partners: nulls are a scope.
+    Equal keys go first, by an aggregate, and rows of equal words and concepts then stand or fall together: an earlier kept row that is alike one of them is alike all.
+    Of these groups, pairs that are alike are found through rare words, and settled in order in rounds; no scope is met in one task.
+    Null keys go, as do null scopes' partners: nulls are a scope. order holds no nulls and tells rows of a scope apart.
     """
     rest = [c for c in changes.columns if c not in (*scope, key)]
     once = changes.filter(F.col(key).isNotNull()).groupBy(*scope, key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("__row"))
-    once = once.select(*scope, key, *[F.col(f"__row.{c}").alias(c) for c in rest])
-    columns = once.columns
-
-    def greedy(frame: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple[set, set]] = []
-        keep = []
-        for row in frame.sort_values(order).itertuples():
-            own, ideas = set(getattr(row, words)), set(getattr(row, concepts))
-            telling = len(own) >= 8 or len(own) >= 4 and bool(ideas)
-            if not (telling and any(alike(own, w, bool(ideas & i)) for w, i in kept)):
-                keep.append(row.Index)
-                if telling:
-                    kept.append((own, ideas))
-        return frame.loc[keep, columns]
-
-    return once.groupBy(*scope).applyInPandas(greedy, once.schema)
+    once = stored(once.select(*scope, key, *[F.col(f"__row.{c}").alias(c) for c in rest]).withColumns({"__w": F.array_sort(F.array_distinct(words)), "__c": F.array_sort(F.array_distinct(concepts))}), "changes")
+    telling = (F.size("__w") >= 8) | (F.size("__w") >= 4) & (F.size("__c") > 0)
+    groups = once.filter(telling).groupBy(*scope, "__w", "__c").agg(F.min(F.struct(*order)).alias("__began"))
+    groups = stored(ranked(groups, [], [F.col("__began").asc(), *[F.col(c).asc_nulls_first() for c in scope], F.col("__w").asc(), F.col("__c").asc()], "__place"), "groups")
+    links = earlier_alike(groups.select(*scope, "__place", "__w", "__c"), scope, "__place", "__w", "__c")
+    dropped = first_independent(links).filter("NOT kept").select(F.col("later").alias("__place"))
+    dropped = groups.join(dropped, "__place").select(*scope, "__w", "__c", F.lit(True).alias("__dropped"))
+    repeats = groups.filter(alike("__w", "__w", "__c", "__c")).select(*scope, "__w", "__c", "__began")  # only their first row tells something new
+    rows = once.alias("r").join(dropped.alias("s"), same([*scope, "__w", "__c"], "r", "s"), "left_anti").select("r.*")
+    rows = rows.alias("r").join(repeats.alias("s"), same([*scope, "__w", "__c"], "r", "s"), "left").select("r.*", "s.__began")
+    return rows.filter(F.col("__began").isNull() | (F.col("__began") == F.struct(*order))).select(*scope, key, *rest)
 
 
 def best_by_tokens(requests: DataFrame, awards: DataFrame, request: str, award: str, tokens: str, least: float) -> DataFrame:
