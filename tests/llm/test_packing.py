@@ -59,10 +59,12 @@ def test_awkward_texts(tokenizer):
         "\x1c\x1d a\x0bb\x0cc", "각 ᄀ ᅡ", "x" * 5000, "1234 5 ½ Ⅷ", "a b\u0085c", "﻿hi", "̀ a", "co­op", "\x00 \x01",
     ]
     rng = np.random.default_rng(5)
-    alphabet = list("ab'sS \n\t\r.0é́ ΣσİI中😀‍\x1c\x0b　½")
+    alphabet = list("ab'sS.=,_<|>-̸É× \n\t\r.0é́ ΣσİI中😀‍\x1c\x0b　½")
     texts += ["".join(rng.choice(alphabet, rng.integers(1, 60))) for _ in range(2000)]
-    for t in texts:
-        assert np.frombuffer(coder(t), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+    texts += [t.replace("<|", "") for t in texts[:20]] + ["x≠y =́a .a.́ a.'s x'.s it's. A_b--c", "É. éà,è È×÷ÿ.", "a\u0301. .\u0301a"]
+    for many in (texts, [t for t in texts if "<|" not in t]):
+        for t, ids in zip(many, coder(many), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
 
 def test_long_texts_are_cut_at_spaces(tokenizer, monkeypatch):
@@ -70,7 +72,9 @@ def test_long_texts_are_cut_at_spaces(tokenizer, monkeypatch):
     monkeypatch.setattr("tidemark.llm.packing.HELD_WORDS", 20)
     coder, rng = WordEncoder(P.path(WORDS)), np.random.default_rng(2)
     text = " ".join("".join(rng.choice(list("abcé'1\n"), rng.integers(1, 30))) for _ in range(800))
-    assert np.frombuffer(coder(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    for got in coder([text, "", text]):
+        want, text = text, "" if text else want
+        assert np.frombuffer(got, "<u4").tolist() == tokenizer.encode(want, add_special_tokens=False).ids
 
 
 def test_lengths():

@@ -8,10 +8,11 @@ is padded; sequences of equal length lie together in one folder, from which batc
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,15 +20,19 @@ from pyspark.sql import functions as F
 from .shared import shared_dir
 
 #: Characters that are split into words at a time, words whose ids a task remembers, and the longest that it does.
-AT_ONCE, HELD_WORDS, LONGEST_WORD = 1 << 20, 200_000, 64
+AT_ONCE, HELD_WORDS, LONGEST_WORD = 1 << 22, 400_000, 64
+#: Where a letter of ASCII or Latin-1 meets other ASCII than letters, digits, white space and the apostrophe, tokens end and no characters compose.
+LETTER, MARK = r"[a-z\x{df}-\x{f6}\x{f8}-\x{ff}]", r"[!-&(-/:-@\[-`{-~]"
 #: Bytes of tokens that a task gathers before it passes them on.
 PASSED_ON = 8 << 20
 
 
 class WordEncoder:
-    """Ids of whole texts by a tokenizer whose tokens don't cross white space, as little-endian unsigned 32-bit numbers.
+    """Ids of whole texts by a lower-casing tokenizer whose tokens don't cross white space, as little-endian unsigned 32-bit numbers.
 
-    Texts are cut at spaces, tabs and line ends; each different word is given to the tokenizer once while it is remembered.
+    Many texts are cut into words at once, and each different word is given to the tokenizer once while it is remembered. Words end at
+    spaces, tabs and line ends, and where letters meet punctuation; ASCII is lower-cased first, so fewer are different. Texts that may hold
+    the name of a special token are only cut at white space.
     """
 
     def __init__(self, path: str):
@@ -36,26 +41,63 @@ class WordEncoder:
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
 
-    def of_words(self, words: list[str]) -> bytes:
-        known = self.known
-        new = [w for w in set(words) if w not in known]
-        if not new:
-            return b"".join(map(known.__getitem__, words))
-        coded = {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False))}
-        out = b"".join([coded[w] if w in coded else known[w] for w in words])
-        if len(known) + len(coded) > HELD_WORDS:
-            self.known = known = {"": b""}
-        known |= {w: x for w, x in coded.items() if len(w) <= LONGEST_WORD}
-        return out
-
-    def __call__(self, text: str) -> bytes:
-        parts, at = [], 0
-        while at < len(text):
-            end = text.find(" ", at + AT_ONCE)
-            end = len(text) if end < 0 else end
-            parts.append(self.of_words(text[at:end].translate({9: " ", 10: " ", 13: " "}).split(" ")))
-            at = end
-        return b"".join(parts)
+    def of_words(self, words: list[str]) -> list[bytes]:
+        """Ids of different words."""
+        found = list(map(self.known.get, words))
+        new = [w for w, x in zip(words, found) if x is None]
+        if new:
+            coded = {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False))}
+            rest = map(coded.__getitem__, new)
+            found = [next(rest) if x is None else x for x in found]
+            if len(self.known) + len(new) > HELD_WORDS:
+                self.known = {"": b""}
+            self.known.update((w, coded[w]) for w in new[:HELD_WORDS] if len(w) <= LONGEST_WORD)
+        return found
+
+    def of_texts(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text."""
+        column = pa.array(texts, pa.string())
+        special = pc.any(pc.match_substring(column, "<|")).as_py()
+        for space in "\n\t\r":
+            column = pc.replace_substring(column, space, " ")
+        if not special:
+            column = pc.ascii_lower(column)
+            for before, after in ((LETTER, MARK), (MARK, LETTER)):
+                column = pc.replace_substring_regex(column, f"({before})({after})", r"\1 \2")
+        words = pc.split_pattern(column, " ")
+        coded = words.flatten().dictionary_encode()
+        ids = self.of_words(coded.dictionary.to_pylist())
+        length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, first, code = np.frombuffer(b"".join(ids), dtype="<u4"), np.cumsum(length) - length, coded.indices.to_numpy()
+        ends = np.cumsum(length[code])
+        out = flat[np.repeat(first[code] - ends + length[code], length[code]) + np.arange(ends[-1] if len(ends) else 0)]
+        bounds = np.concatenate([[0], ends])[words.offsets.to_numpy() - words.offsets[0].as_py()].tolist()
+        return [out[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
+
+    def __call__(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """Ids of each text in turn; long ones are cut at spaces."""
+        held, size, parts = [], 0, []
+        for text in texts:
+            at = 0
+            while True:
+                end = text.find(" ", at + AT_ONCE)
+                held.append((text[at:end] if end >= 0 else text[at:], end < 0))
+                size += len(held[-1][0])
+                if size > AT_ONCE:
+                    yield from self.settled(held, parts)
+                    held, size = [], 0
+                if end < 0:
+                    break
+                at = end
+        yield from self.settled(held, parts)
+
+    def settled(self, held: list[tuple[str, bool]], parts: list[bytes]) -> Iterator[bytes]:
+        """Ids of texts that end among the parts held; parts: of the text that goes on."""
+        for ids, (_, ends) in zip(self.of_texts([t for t, _ in held]) if held else [], held):
+            parts.append(ids)
+            if ends:
+                yield b"".join(parts)
+                parts.clear()
 
 
 def binary_lengths(n: int, largest: int) -> list[int]:
@@ -88,8 +130,8 @@ def binary_pieces(docs: DataFrame, tokenizer: str, end: int, largest: int = 2048
 
         for batch in batches:
             rows, of, held = [], [], 0
-            for k, value in enumerate(batch.column(1)):
-                ids = encode(value.as_py()) + last
+            for k, ids in enumerate(encode(x.as_py() for x in batch.column(1))):
+                ids += last
                 at, n = 0, len(ids) // 4
                 for length in binary_lengths(n, largest):
                     rows.append((at, ids[4 * at : 4 * (at + length)], n, seen[length], length))
