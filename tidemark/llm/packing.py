@@ -21,6 +21,8 @@ from .shared import shared_dir
 
 #: Characters that are split into words at a time, words whose ids a task remembers, and the longest that it does.
 AT_ONCE, HELD_WORDS, LONGEST_WORD = 1 << 22, 400_000, 64
+#: Words that are given to the tokenizer as one text.
+WORDS_IN_LINE = 256
 #: Where a letter of ASCII or Latin-1 meets other ASCII than letters, digits, white space and the apostrophe, tokens end and no characters compose.
 LETTER, MARK = r"[a-z\x{df}-\x{f6}\x{f8}-\x{ff}]", r"[!-&(-/:-@\[-`{-~]"
 #: Bytes of tokens that a task gathers before it passes them on.
@@ -40,13 +42,29 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # tokens that end a word
+        self.ends[[k for t, k in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def ids(self, words: list[str]) -> list[bytes]:
+        """Ids of words of small letters, given to the tokenizer many at a time and told apart by the tokens that end a word."""
+        lines = [" ".join(words[k : k + WORDS_IN_LINE]) for k in range(0, len(words), WORDS_IN_LINE)]
+        flat = np.array([k for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False) for k in e.ids], dtype="<u4")
+        cuts = [0, *(4 * (np.flatnonzero(self.ends[flat]) + 1)).tolist()]
+        if len(cuts) != len(words) + 1 or cuts[-1] != 4 * len(flat):
+            raise ValueError("the tokenizer doesn't end each word with one token of its own")
+        raw = flat.tobytes()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
 
     def of_words(self, words: list[str]) -> list[bytes]:
         """Ids of different words."""
         found = list(map(self.known.get, words))
         new = [w for w, x in zip(words, found) if x is None]
         if new:
-            coded = {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False))}
+            plain = [w for w in new if w.isascii() and w.isalpha() and w.islower()]
+            coded = dict(zip(plain, self.ids(plain)))
+            odd = [w for w in new if w not in coded]
+            coded |= {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False))}
             rest = map(coded.__getitem__, new)
             found = [next(rest) if x is None else x for x in found]
             if len(self.known) + len(new) > HELD_WORDS:
