@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.runs import with_previous
+from tidemark.operators.runs import in_runs, same, with_previous, with_summaries
+from tidemark.sources.scratch import stored
 
 
 def lease_state(last_kind: Column, age: Column, failures: Column, lease: int, base: int, most: int) -> Column:
@@ -24,23 +26,64 @@ def failures_in_a_row(frame: DataFrame, keys: list[str], order: list[str], faile
     return bad.groupBy(*keys).agg(F.count("*").alias("failures"))
 
 
-def admitted(requests: DataFrame, keys: list[str], order: list[str], amount: str, cap: int) -> DataFrame:
+def outcome(amounts: list, cap: int) -> tuple[np.ndarray, np.ndarray]:
+    """What a row of requests takes of any amount that is left: from each start (the first is 0) up to the next one it takes the same total.
+
+    A request splits the range that it fits for a part of only, so there are as many parts as different totals, never more than cap + 1.
+    """
+    starts, taken = np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
+    for x in amounts:
+        if not (0 < x <= cap):
+            continue  # takes nothing
+        need = x + taken  # of what was left at first
+        ends = np.append(starts[1:], cap + 1)
+        cut = (need > starts) & (need < ends)
+        taken = np.where(need <= starts, taken + x, taken)
+        if cut.any():
+            at = np.flatnonzero(cut) + 1
+            starts, taken = np.insert(starts, at, need[cut]), np.insert(taken, at, taken[cut] + x)
+    same = np.append(True, taken[1:] != taken[:-1])
+    return starts[same], taken[same]
+
+
+def admitted(requests: DataFrame, keys: list[str], order: list[str], amount: str, cap: int, spent: DataFrame | None = None) -> DataFrame:
     """Adds admitted: whether a request fits in what its key's earlier admitted ones have left of the cap; those that don't fit are passed over.
 
-    Whether one fits depends on all before it, so a key (a lane's day, whose requests a cap bounds in number) is gone through in one task. Null amounts are refused.
+    A key's requests lie in runs, each a chunk of its own: chunks are summarised at once as what they take of any amount that is left (outcome), the
+    summaries are gone through in order, which tells what is left for each chunk, then chunks are replayed at once. Amounts are whole numbers; null and
+    negative ones are refused, zero is admitted. spent(*keys, spent): what keys have spent before.
     """
-    schema = frame_schema(requests, "admitted boolean")
-
-    def go(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order)
-        left, fits = cap, []
-        for x in frame[amount].tolist():
-            ok = not pd.isna(x) and x <= left
-            left -= x if ok else 0
-            fits.append(ok)
-        return frame.assign(admitted=fits)
-
-    return requests.groupBy(*keys).applyInPandas(go, schema)
+    runs = in_runs(requests.withColumn("__x", F.coalesce(F.col(amount).cast("long"), F.lit(-1))), keys, [F.col(c).asc_nulls_first() for c in order])
+    columns, of_key = requests.columns, ", ".join(f"`{k}` {runs.schema[k].dataType.simpleString()}" for k in keys)
+
+    def summarise(key: tuple, chunk: pa.Table) -> pa.Table:
+        starts, taken = outcome(chunk.sort_by("__at")["__x"].to_pylist(), cap)
+        return pa.table({k: pa.array([v.as_py()], v.type) for k, v in zip([*keys, "__run"], key)} | {"starts": pa.array([starts]), "taken": pa.array([taken])})
+
+    def go_through(key: tuple, chunks: pa.Table) -> pa.Table:
+        chunks = chunks.sort_by("__run")
+        left, before = cap - (chunks["spent"][0].as_py() or 0), []
+        for starts, taken in zip(chunks["starts"].to_pylist(), chunks["taken"].to_pylist()):
+            before.append(left)
+            left -= taken[np.searchsorted(starts, left, side="right") - 1] if left >= 0 else 0
+        return chunks.select([*keys, "__run"]).append_column("__left", pa.array(before, pa.int64()))
+
+    def replay(chunk: pa.Table) -> pa.Table:
+        chunk = chunk.sort_by("__at")
+        left, fits = chunk["__left"][0].as_py(), []
+        for x in chunk["__x"].to_pylist():
+            fits.append(0 <= x <= left)
+            left -= x if fits[-1] else 0
+        return chunk.select(columns).append_column("admitted", pa.array(fits))
+
+    chunks = runs.groupBy(*keys, "__run").applyInArrow(summarise, f"{of_key}, __run int, starts array<long>, taken array<long>")
+    if spent is None:
+        chunks = chunks.withColumn("spent", F.lit(0).cast("long"))
+    else:
+        chunks = chunks.alias("r").join(spent.select(*keys, F.col("spent").cast("long").alias("spent")).alias("s"), same(keys, "r", "s"), "left").select("r.*", "s.spent")
+    left = stored(chunks.groupBy(*keys).applyInArrow(go_through, f"{of_key}, __run int, __left long"), "left-of-caps")
+    rows = with_summaries(runs, keys, left, ["__left"])
+    return rows.groupBy(*keys, "__run").applyInArrow(replay, frame_schema(requests, "admitted boolean"))
 
 
 def frame_schema(frame: DataFrame, more: str) -> str:

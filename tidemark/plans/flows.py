@@ -304,9 +304,12 @@ def lane_leases(spark, sf_dir):
     return joined.select("user_id", "failures", states.lease_state(kind, age, F.col("failures"), 86_400, 21_600, 864_000).alias("state"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT event_id, user_id, ts::DATE AS day, (props ->> '$.k')::BIGINT AS amount, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id) AS k FROM events),
+      r AS (SELECT event_id, user_id, day, amount, k, amount <= 150 AS admitted, 150 - CASE WHEN amount <= 150 THEN amount ELSE 0 END AS rest FROM e WHERE k = 1 UNION ALL
+            SELECT e.event_id, e.user_id, e.day, e.amount, e.k, e.amount <= rest, rest - CASE WHEN e.amount <= rest THEN e.amount ELSE 0 END FROM r JOIN e ON e.user_id = r.user_id AND e.day = r.day AND e.k = r.k + 1)
+    SELECT event_id, user_id, day, amount, admitted FROM r""")
 def budget_admission(spark, sf_dir):
-    """Requests admitted under a lane's cap for a UTC day, in order; a request that doesn't fit is passed over, so SQL can't say it."""
+    """Requests admitted under a lane's cap for a UTC day, in order; a request that doesn't fit is passed over."""
     rows = tables.table(spark, sf_dir, "events", "event_id", "user_id", "ts", "props").select(
         "event_id", "user_id", F.to_date("ts").alias("day"), "ts", F.get_json_object("props", "$.k").cast("long").alias("amount")
     )

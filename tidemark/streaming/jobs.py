@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def event_stream(spark: SparkSession, folder: str, files_per_trigger: int = 16) -> DataFrame:
@@ -49,26 +45,3 @@ def newest(spark: SparkSession, to: str, keys: list[str]) -> DataFrame:
     rows = spark.read.parquet(to)
     rest = [c for c in rows.columns if c not in (*keys, "batch")]
     return rows.groupBy(*keys).agg(*[F.max_by(c, "batch").alias(c) for c in rest])
-
-
-def admissions(requests: DataFrame, keys: list[str], order: list[str], amount: str, cap: int) -> DataFrame:
-    """A stream of requests with admitted: whether each fits in what its key's earlier admitted ones have left of a cap.
-
-    What a key has spent is kept as state from batch to batch; within a batch its requests are taken in order. Null amounts are refused.
-    """
-    fields = requests.schema.fields
-    names = [f.name for f in fields]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", admitted boolean"
-
-    def go(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        left = cap - (state.get[0] if state.exists else 0)
-        frame = pd.concat(list(frames)).sort_values(order)
-        fits = []
-        for x in frame[amount].tolist():
-            ok = not pd.isna(x) and x <= left
-            left -= int(x) if ok else 0
-            fits.append(ok)
-        state.update((cap - left,))
-        yield frame[names].assign(admitted=fits)
-
-    return requests.groupBy(*keys).applyInPandasWithState(go, schema, "spent long", "append", GroupStateTimeout.NoTimeout)

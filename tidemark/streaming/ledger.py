@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators import states
+
 
 def ledger_table(spark: SparkSession, path: str, columns: str, keys: list[str], buckets: int) -> str:
     """Name of a table over the ledger's folder, bucketed by keys; batches that earlier runs have written there belong to it."""
@@ -69,3 +71,23 @@ def count_batches(stream: DataFrame, to: str, checkpoint: str, keys: list[str],
     spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{to}/batch=-1")  # there is a table before the first batch
     run_batches(stream, write, checkpoint)
     return spark.read.schema(schema + ", batch bigint").parquet(to).groupBy(*keys).agg(F.sum("n").alias("n"))
+
+
+def admit_batches(stream: DataFrame, to: str, checkpoint: str, keys: list[str], order: list[str], amount: str, cap: int, after: Callable[[int], None] | None = None) -> DataFrame:
+    """Requests with admitted after a run: whether each fits in what its key's earlier admitted ones have left of a cap.
+
+    Within a batch requests are taken in order, spread over tasks (states.admitted); what keys have spent in the batches before is summed from what these have written.
+    """
+    spark = stream.sparkSession
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields) + ", admitted boolean"
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{to}/batch=-1")  # there is a table before the first batch
+
+    def write(rows: DataFrame, batch: int) -> None:
+        before = rows.sparkSession.read.schema(schema + ", batch bigint").parquet(to).filter((F.col("batch") < batch) & F.col("admitted"))
+        spent = before.groupBy(*keys).agg(F.sum(amount).alias("spent"))
+        states.admitted(rows, keys, order, amount, cap, spent).write.mode("overwrite").parquet(f"{to}/batch={batch}")
+        if after:
+            after(batch)
+
+    run_batches(stream, write, checkpoint)
+    return spark.read.schema(schema + ", batch bigint").parquet(to).drop("batch")
