@@ -29,6 +29,10 @@ from .shared import file_system, materialize, shared_dir
 PIECE = 256
 #: One in so many fingerprints is looked at to tell which buckets are crowded. The pieces only deal out work: no pair is lost if the guess is off.
 COUNTED = 16
+#: Cells that shingles are hashed to, to tell common ones; sets of a shingle that are compared in one piece; from how many on they are first compared with one of them.
+CELLS, CROWD, LED = 1 << 20, 1024, 32
+#: Files of sets that a task keeps open at most.
+OPEN_FILES = 64
 #: Pairs that a task holds before it settles and passes on their links.
 HELD_LINKS = 150_000
 #: Shingles of sets that a task keeps in memory at least before it forgets those read, and pairs whose verdict it remembers.
@@ -167,6 +171,8 @@ class SetReader:
         if address not in self.sets:
             number, at = address >> OFFSET_BITS, HASH_BYTES * (address & (1 << OFFSET_BITS) - 1)
             if number not in self.files:
+                if len(self.files) >= OPEN_FILES:
+                    self.files.pop(next(iter(self.files))).close()
                 self.files[number] = self.fs.open_input_file(f"{self.base}/{number}.sets")
             raw = self.files[number].read_at(8192, at)
             n = int(unpacked_hashes(raw, 1)[0])
@@ -197,17 +203,35 @@ class SetReader:
         return found, True
 
 
-def near_links(
-    fps: DataFrame, lanes: int, distance: int, bands: list[list[int]], pivots: int = 16, folder: str | None = None, similarity: float = 0.0
-) -> DataFrame:
+def spanning(edges: list[tuple[np.ndarray, np.ndarray]], width: int) -> Iterator[pa.RecordBatch]:
+    """Links that join what the edges join: each of their ends to the smallest that it reaches. Empties the list."""
+    if not edges:
+        return
+    both = np.concatenate([np.concatenate([a for a, _ in edges]), np.concatenate([b for _, b in edges])]).astype(">u8")
+    names, at = np.unique(both.view(np.dtype((np.void, 8 * width))).ravel(), return_inverse=True)
+    half = len(at) // 2
+    a, b, label = at[:half], at[half:], np.arange(len(names))
+    while True:  # labels fall to the smallest reached, with halving of paths
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        for ends in (a, b, label[a], label[b]):
+            np.minimum.at(new, ends, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    there = np.flatnonzero(label != np.arange(len(names)))
+    raw = [x.tobytes() for x in names]
+    yield pa.RecordBatch.from_arrays([pa.array([raw[k] for k in there], pa.binary()), pa.array([raw[k] for k in label[there]], pa.binary())], names=["a", "b"])
+    edges.clear()
+
+
+def near_links(fps: DataFrame, lanes: int, distance: int, bands: list[list[int]], pivots: int = 16) -> DataFrame:
     """Links a > b (binary) between distinct fingerprints fp that differ in at most `distance` bits, found through the bands.
 
     The links returned span the same components as all links: within a task a fingerprint is
     linked to the smallest one that it reaches there, so no group is written out as all its pairs.
-    With the folder of shingle_sets, fp ends in the eight bytes of its set's address; then links are
-    only pairs whose sets reach the similarity, and pairs connected already by such links are passed over.
     """
-    width = lanes + (folder is not None)
     coordinate = np.dtype("u1" if 64 * lanes < 256 else ">u2")
     pivots = max(1, pivots)
     ahead = pivots * coordinate.itemsize  # bytes of a fingerprint's coordinates, which a packed one begins with
@@ -220,9 +244,9 @@ def near_links(
             n = batch.num_rows
             if not n:
                 continue
-            words = np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=">u8").reshape(n, width).astype(np.uint64)
-            table = np.stack([np.bitwise_count(words[:, :lanes] ^ r).sum(axis=1, dtype=np.int16) for r in refs], axis=1)
-            packed = np.concatenate([table.astype(coordinate).view(np.uint8).reshape(n, ahead), words.astype(">u8").view(np.uint8).reshape(n, 8 * width)], axis=1)
+            words = np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=">u8").reshape(n, lanes).astype(np.uint64)
+            table = np.stack([np.bitwise_count(words ^ r).sum(axis=1, dtype=np.int16) for r in refs], axis=1)
+            packed = np.concatenate([table.astype(coordinate).view(np.uint8).reshape(n, ahead), words.astype(">u8").view(np.uint8).reshape(n, 8 * lanes)], axis=1)
             packed = pa.array([r.tobytes() for r in packed], pa.binary())
             for band, (start, end) in enumerate(zip(cuts, cuts[1:])):
                 key = np.zeros(n, dtype=np.uint64)
@@ -253,24 +277,8 @@ def near_links(
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         edges: list[tuple[np.ndarray, np.ndarray]] = []
-        sets = SetReader(folder, similarity) if folder is not None else None
 
-        def verify(near: np.ndarray, step: int, address: list[int], at: np.ndarray, label: np.ndarray, words: np.ndarray) -> None:
-            for k in near[label[at[near]] != label[at[near + step]]].tolist():
-                i, j = label[at[k]], label[at[k + step]]
-                if i == j:
-                    continue
-                similar, anew = sets.similar(address[at[k]], address[at[k + step]])
-                if similar:
-                    label[label == max(i, j)] = min(i, j)
-                    if anew:
-                        edges.append((words[[k]], words[[k + step]]))
-
-        def settle(bucket: np.ndarray, every: np.ndarray, table: np.ndarray) -> None:
-            words = every[:, :lanes]
-            if sets:
-                address, at = np.unique(every[:, lanes], return_inverse=True)
-                label, address = np.arange(len(address)), address.tolist()
+        def settle(bucket: np.ndarray, words: np.ndarray, table: np.ndarray) -> None:
             live, step = np.arange(len(bucket)), 0
             while len(live):
                 step += 1
@@ -281,39 +289,14 @@ def near_links(
                 for p in range(1, pivots):
                     near = near[np.abs(table[near, p] - table[near + step, p]) <= distance]
                 near = near[np.bitwise_count(words[near] ^ words[near + step]).sum(axis=1, dtype=np.int64) <= distance]
-                if len(near) and sets:
-                    verify(near, step, address, at, label, every)
-                elif len(near):
+                if len(near):
                     edges.append((words[near], words[near + step]))
 
-        def links() -> Iterator[pa.RecordBatch]:
-            if not edges:
-                return
-            both = np.concatenate([np.concatenate([a for a, _ in edges]), np.concatenate([b for _, b in edges])]).astype(">u8")
-            names, at = np.unique(both.view(np.dtype((np.void, 8 * width))).ravel(), return_inverse=True)
-            half = len(at) // 2
-            a, b, label = at[:half], at[half:], np.arange(len(names))
-            while True:  # labels fall to the smallest reached, with halving of paths
-                low = np.minimum(label[a], label[b])
-                new = label.copy()
-                for ends in (a, b, label[a], label[b]):
-                    np.minimum.at(new, ends, low)
-                new = new[new]
-                if (new == label).all():
-                    break
-                label = new
-            there = np.flatnonzero(label != np.arange(len(names)))
-            raw = [x.tobytes() for x in names]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([raw[k] for k in there], pa.binary()), pa.array([raw[k] for k in label[there]], pa.binary())], names=["a", "b"]
-            )
-            edges.clear()
-
         for batch in batches:
             if not batch.num_rows:
                 continue
             bucket = batch.column(0).to_numpy()
-            packed = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(-1, ahead + 8 * width)
+            packed = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(-1, ahead + 8 * lanes)
             words = np.ascontiguousarray(packed[:, ahead:]).view(">u8").astype(np.uint64)
             table = np.ascontiguousarray(packed[:, :ahead]).view(coordinate).astype(np.int16)
             if held:
@@ -322,15 +305,144 @@ def near_links(
             settle(bucket[:last], words[:last], table[:last])
             held = [(bucket[last:], words[last:], table[last:])]
             if sum(len(a) for a, _ in edges) > HELD_LINKS:
-                yield from links()
+                yield from spanning(edges, lanes)
         if held:
             settle(*held[0])
-        yield from links()
+        yield from spanning(edges, lanes)
 
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "packed").mapInArrow(compare, "a binary, b binary")
 
 
+def common_shingles(sets: DataFrame, folder: str) -> np.ndarray:
+    """A level for each cell of hashed shingles, above 0 where one in COUNTED of sets(address) hold several times as many as on average.
+
+    Counted over the distinct sets; only the cells above 0 leave the tasks. It tells which shingles are met last and nothing
+    else, so no pair depends on it.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, cells = SetReader(folder, 1.0), np.zeros(CELLS, dtype=np.int64)
+        for batch in batches:
+            for address in batch.column(0).to_pylist():
+                np.add.at(cells, (reader.read(address) % np.uint64(CELLS)).astype(np.int64), 1)
+        there = np.flatnonzero(cells)
+        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(cells[there])], names=["cell", "n"])
+
+    cells = sets.filter(F.pmod(F.xxhash64("address"), F.lit(COUNTED)) == 0).select("address").mapInArrow(count, "cell long, n long")
+    cells = materialize(cells.groupBy("cell").agg(F.sum("n").alias("n")), "shingle-cells")
+    most = 8 + 4 * (cells.agg(F.sum("n")).first()[0] or 0) / CELLS
+    hot = cells.filter(F.col("n") > most).toArrow()  # a quarter of CELLS at most
+    level = np.zeros(CELLS, dtype=np.uint8)
+    level[hot["cell"].to_numpy()] = 1 + np.log2(hot["n"].to_numpy() / most).astype(np.uint8)
+    return level
+
+
+def similar_links(sets: DataFrame, similarity: float, lanes: int, distance: int, folder: str) -> DataFrame:
+    """Links a > b (binary, fp and address) between sets(fp, address) of a folder of shingle_sets that reach a similarity; they span the components of all such pairs.
+
+    Two sets that reach it share one of the first shingles of both, in any order that is the same for all: of s shingles those that may be
+    missed, a fifth at 0.8, and one more. Common shingles come last in that order, so those that share a passage and little else hardly
+    meet. Sets that meet on a shingle are compared if their sizes allow it and their fingerprints differ in
+    at most `distance` bits, which leaves out none at a distance of six deviations, and verified; pairs connected already are passed over.
+    """
+    level = common_shingles(sets, folder)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = SetReader(folder, similarity)
+        for batch in batches:
+            keys, packed, of = [], [], []
+            for fp, address in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                h = reader.read(address)
+                if not len(h):
+                    continue
+                first = np.lexsort((h, level[(h % np.uint64(CELLS)).astype(np.int64)]))[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1]
+                keys.append(h[first].astype(np.int64))
+                packed.append(len(h).to_bytes(4, "big") + fp + address.to_bytes(8, "big"))
+                of.append(len(first))
+                if sum(of) > 50_000:
+                    yield rows_of(keys, packed, of)
+                    keys, packed, of = [], [], []
+            if of:
+                yield rows_of(keys, packed, of)
+
+    def rows_of(keys: list[np.ndarray], packed: list[bytes], of: list[int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(packed, pa.binary()).take(pa.array(np.repeat(np.arange(len(of)), of)))], names=["key", "packed"])
+
+    n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sets = sets.select("fp", "address").repartitionByRange(n, "address").sortWithinPartitions("address")  # read in the order of the files
+    rows = sets.mapInArrow(keyed, "key long, packed binary")
+    counted = sets.filter(F.pmod(F.xxhash64("address"), F.lit(COUNTED)) == 0).mapInArrow(keyed, "key long, packed binary")
+    crowded = counted.groupBy("key").agg((F.count("*") * COUNTED).alias("count")).filter(F.col("count") > CROWD)
+    crowded = materialize(crowded.select("key", F.ceil(F.col("count") / CROWD).cast("int").alias("pieces")), "crowded-shingles")
+    piece = F.pmod(F.xxhash64("packed"), F.col("pieces").cast("long")).cast("int")
+    dealt = rows.join(crowded, "key", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1))).withColumn("piece", piece)
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    single = F.col("pieces") == 1
+    bucket = F.when(single, F.col("key")).otherwise(F.xxhash64("key", F.least("piece", "other"), F.greatest("piece", "other")).bitwiseOR(F.lit(-(2**63)).cast("long")))  # keys are below 2^48
+    dealt = dealt.select(bucket.alias("bucket"), "packed")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, edges, held = SetReader(folder, similarity), [], None
+
+        def links_of(bucket: np.ndarray, size: np.ndarray, words: np.ndarray) -> None:
+            """Adds the links within each bucket; rows are in the order of bucket and size."""
+            fp, (address, at) = words[:, :lanes], np.unique(words[:, lanes], return_inverse=True)
+            label, address = np.arange(len(address)), address.tolist()
+
+            def verify(k: int, others: np.ndarray) -> None:
+                for j in others[label[at[others]] != label[at[k]]].tolist():
+                    a, b = label[at[k]], label[at[j]]
+                    if a != b:
+                        similar, anew = reader.similar(address[at[k]], address[at[j]])
+                        if similar:
+                            label[label == max(a, b)] = min(a, b)
+                            if anew:
+                                edges.append((words[[k]], words[[j]]))
+
+            def near(k: int, others: np.ndarray) -> np.ndarray:
+                others = others[label[at[others]] != label[at[k]]]
+                fits = (np.minimum(size[others], size[k]) >= similarity * np.maximum(size[others], size[k]) - 1e-9) & (np.bitwise_count(fp[others] ^ fp[k]).sum(axis=1) <= distance)
+                return others[fits]
+
+            starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            lengths = np.diff(np.append(starts, len(bucket)))
+            small = np.repeat(lengths <= LED, lengths)
+            live, step = np.flatnonzero(small), 0
+            while len(live):
+                step += 1
+                live = live[live + step < len(bucket)]
+                live = live[(bucket[live] == bucket[live + step]) & (size[live] >= similarity * size[live + step] - 1e-9)]  # later ones are larger
+                for k in live[np.bitwise_count(fp[live] ^ fp[live + step]).sum(axis=1, dtype=np.int64) <= distance].tolist():
+                    verify(k, np.array([k + step]))
+            for start, length in zip(starts[lengths > LED].tolist(), lengths[lengths > LED].tolist()):
+                rows = np.arange(start, start + length)
+                leader = start + length // 2
+                verify(leader, near(leader, rows))  # a group of near copies is joined here; only what isn't goes on
+                for k in rows[label[at[rows]] != label[at[leader]]].tolist():
+                    verify(k, near(k, rows))
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bucket = batch.column(0).to_numpy()
+            packed = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(-1, 12 + 8 * lanes)
+            size = np.ascontiguousarray(packed[:, :4]).view(">u4").ravel().astype(np.int64)
+            words = np.ascontiguousarray(packed[:, 4:]).view(">u8").astype(np.uint64)
+            if held:
+                bucket, size, words = (np.concatenate([a, b]) for a, b in zip(held, (bucket, size, words)))
+            last = np.searchsorted(bucket, bucket[-1])  # the last bucket may go on in the next batch
+            links_of(bucket[:last], size[:last], words[:last])
+            held = (bucket[last:], size[last:], words[last:])
+            if len(edges) > HELD_LINKS:
+                yield from spanning(edges, lanes + 1)
+        if held:
+            links_of(*held)
+        yield from spanning(edges, lanes + 1)
+
+    return dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "packed").mapInArrow(compare, "a binary, b binary")
+
+
 def components_of(distinct: DataFrame, key: str, links: DataFrame) -> DataFrame:
     """key and component_id (the smallest `least` of the component) for distinct(key, fp, least) and links between fps.
 
@@ -369,29 +481,19 @@ def simhash_components(
     return fp.join(of_fp, F.col("fp") == F.col("of")).select("doc_id", "fp", "component_id")
 
 
-def similar_components(
-    docs: DataFrame,
-    similarity: float,
-    bands: list[list[int]],
-    shingle: int = 5,
-    lanes: int = 4,
-    distance: int = 72,
-    pivots: int = 4,
-    text: str = "text",
-    doc_id: str = "doc_id",
-) -> DataFrame:
+def similar_components(docs: DataFrame, similarity: float, shingle: int = 5, lanes: int = 2, distance: int = 48, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Groups documents whose sets of shingles reach a similarity (shared by all different ones), directly or through others.
 
-    Returns doc_id and component_id as simhash_components does; texts without words form a group. Fingerprints
-    only propose pairs, those that agree on a band and differ in at most `distance` bits; every link is
-    verified on the sets, so nothing below the similarity is linked, and what the bands don't propose is missed.
+    Returns doc_id and component_id as simhash_components does; texts without words form a group. All pairs are
+    found (similar_links), and each is verified on the sets, so nothing below the similarity is linked.
     """
     folder = shared_dir(docs.sparkSession, "shingle-sets")
     rows = materialize(shingle_sets(docs, shingle, lanes, folder, text, doc_id), "fingerprints")
     least = rows.groupBy("digest").agg(F.min("doc_id").alias("least"), F.min(F.struct("address", "fp")).alias("first"))
     address = F.unhex(F.lpad(F.hex("first.address"), 16, "0"))
-    least = materialize(least.select("digest", "least", F.concat("first.fp", address).alias("fp")), "distinct-sets")
-    links = materialize(near_links(least, lanes, distance, bands, pivots, folder, similarity), "links")
+    least = least.select("digest", "least", F.col("first.fp").alias("short"), F.col("first.address").alias("address"), F.concat("first.fp", address).alias("fp"))
+    least = materialize(least, "distinct-sets")
+    links = materialize(similar_links(least.select(F.col("short").alias("fp"), "address"), similarity, lanes, distance, folder), "links")
     drop_dir(docs.sparkSession, folder)  # all pairs are judged
     of_set = components_of(least, "digest", links)
     return rows.join(of_set, F.col("digest") == F.col("of")).select("doc_id", "component_id")
