@@ -69,6 +69,16 @@ def test_nearest_finds_all_of_parallel_rows(spark):
     assert by == {q: {6 * (q // 6) + k for k in range(6)} - {q} for q, _ in rows} and len(out) == 5 * len(rows)
 
 
+def test_queries_in_slices_give_the_same(spark, vectors, monkeypatch):
+    """A block meets so many queries at once that a task's memory depends on neither table; results don't change."""
+    frame = frame_of(spark, vectors)
+    asked = frame.filter("vec_id % 3 = 0")
+    for search, more in ((nearest, {"cell": 128}), (top_products, {})):
+        whole = sorted(map(tuple, search(frame, asked, k=5, **more).collect()))
+        monkeypatch.setattr(f"{search.__module__}.QUERIES", 40)
+        assert sorted(map(tuple, search(frame, asked, k=5, **more).collect())) == whole
+
+
 def test_queries_of_another_common_length(spark):
     rng = np.random.default_rng(1)
     rows = [(k, rng.standard_normal(3).tolist()) for k in range(1, 30)] + [(100, [1.0] * 5), (200, [2.0] * 5), (300, rng.standard_normal(3).tolist())]

@@ -18,12 +18,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import bounded_sample, materialize
-from .vectors import common_length, lists, matrix, usable
+from .vectors import common_length, for_slices, in_slices, lists, matrix, usable
 
 #: Rows that the cells' tree is fitted on at most (those with the smallest hashes of vec_id).
 SAMPLE = 10_000
 #: Rows of a cell and of a leaf of its own tree, about; cells with more rows are dealt into several blocks.
 CELL, LEAF = 2_048, 64
+#: Queries that meet a block at once, about: a task holds no more of them and no more than a block's rows, however many there are.
+QUERIES = 16_384
 #: Directions of the projection, and the probability that a true neighbour isn't missed by the stopping test.
 DIRECTIONS, CONFIDENCE = 8, 0.98
 #: What rounding may add to a squared distance, between vectors or projected.
@@ -199,13 +201,15 @@ def nearest(
     blocks = placed.join(counts, "cell").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks").cast("long")).cast("int")).drop("blocks")
     asked = usable(queries, vec_id, embedding).filter((length > 0) & (F.size("v") == width)).select(F.col("vec_id"), "v").mapInArrow(located, placed.schema)
     asked = materialize(asked.withColumnRenamed("vec_id", "query_id"), "placed-queries")
+    unit, n_asked = ["cell", "block", "slice"], asked.count()
     found = "query_id long, vec_id long, score double"
 
     def home(mine: pa.Table, asked: pa.Table) -> pa.Table:
         return search_block(mine, asked.append_column("reach", pa.array(np.full(asked.num_rows, np.inf))), k, test)
 
     at_home = asked.join(counts, "cell").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks").cast("long")).cast("int")).drop("blocks")
-    first = blocks.groupBy("cell", "block").cogroup(at_home.groupBy("cell", "block")).applyInArrow(home, found)
+    at_home, slices = in_slices(at_home, QUERIES, n_asked)
+    first = for_slices(blocks, at_home, unit[:2], slices).groupBy(*unit).cogroup(at_home.groupBy(*unit)).applyInArrow(home, found)
     first = materialize(first, "hits-at-home")
     kth = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("worst"))
     reach = F.when(F.col("n") >= k, F.greatest(F.lit(0.0), 2 - 2 * F.col("worst"))).otherwise(float("inf"))
@@ -232,6 +236,7 @@ def nearest(
     def there(mine: pa.Table, asked: pa.Table) -> pa.Table:
         return search_block(mine, asked, k, test)
 
-    hits = blocks.groupBy("cell", "block").cogroup(every_block.groupBy("cell", "block")).applyInArrow(there, found).union(first)
+    every_block, slices = in_slices(every_block, QUERIES, n_asked)
+    hits = for_slices(blocks, every_block, unit[:2], slices).groupBy(*unit).cogroup(every_block.groupBy(*unit)).applyInArrow(there, found).union(first)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

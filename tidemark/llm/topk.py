@@ -15,10 +15,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import materialize
-from .vectors import common_length, matrix, usable
+from .vectors import common_length, for_slices, in_slices, matrix, usable
 
 #: Bands of length at most, and rows that are searched together, about: at least and at most. Every block gets its own copy of the queries that reach it.
 BANDS, BLOCK, LARGEST_BLOCK = 256, 4_096, 32_768
+#: Queries that meet a block at once, about: a task holds no more of them and no more than a block's rows, however many there are.
+QUERIES = 16_384
 #: Share of all squared lengths that the leading rotated coordinates hold.
 LEADING = 0.5
 #: Queries that are multiplied together, and the share of pairs left by the bounds from which on all of a piece are.
@@ -132,6 +134,7 @@ def top_products(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int
     blocks = blocks.select("band", "block", "vec_id", "v")
     asked = integers(usable(queries, vec_id, embedding).filter(F.size("v") == width), scale).select(F.col("vec_id").alias("query_id"), "v", norm.alias("norm"))
     asked = materialize(asked, "integer-queries")
+    asked, slices = in_slices(asked, QUERIES, asked.count())
     found = "query_id long, vec_id long, score long"
 
     def search(mine: pa.Table, asked: pa.Table) -> pa.Table:
@@ -145,15 +148,16 @@ def top_products(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int
     nothing = F.lit(float("-inf"))
     longest = [(r["band"], r["longest"], r["blocks"]) for r in counts.orderBy("band").collect()]  # BANDS rows at most
     block = F.pmod(F.xxhash64("query_id"), F.lit(longest[0][2]).cast("long")).cast("int")
-    start = asked.select(F.lit(longest[0][0]).cast("long").alias("band"), block.alias("block"), "query_id", "v", nothing.alias("least"))
-    first = blocks.groupBy("band", "block").cogroup(start.groupBy("band", "block")).applyInArrow(search, found)
+    start = asked.select(F.lit(longest[0][0]).cast("long").alias("band"), block.alias("block"), "slice", "query_id", "v", nothing.alias("least"))
+    unit = ["band", "block", "slice"]
+    first = for_slices(blocks, start, unit[:2], slices).groupBy(*unit).cogroup(start.groupBy(*unit)).applyInArrow(search, found)
     kth = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("worst"))
     kth = materialize(kth.filter(F.col("n") >= k).select(F.col("query_id").alias("of"), F.col("worst").cast("double").alias("least")), "least-scores")
     bands = F.array(*[F.struct(F.lit(b).alias("band"), F.lit(float(m)).alias("longest"), F.lit(s).alias("blocks")) for b, m, s in longest])
     bounded = asked.join(kth, F.col("query_id") == F.col("of"), "left").withColumn("least", F.coalesce("least", nothing))
     reached = F.filter(bands, lambda b: b["longest"] * F.col("norm") + 0.5 >= F.col("least"))
     routed = bounded.withColumn("b", F.explode(reached)).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("b.blocks") - 1)))
-    routed = routed.select(F.col("b.band").cast("long").alias("band"), "block", "query_id", "v", "least")
-    hits = blocks.groupBy("band", "block").cogroup(routed.groupBy("band", "block")).applyInArrow(search, found)
+    routed = routed.select(F.col("b.band").cast("long").alias("band"), "block", "slice", "query_id", "v", "least")
+    hits = for_slices(blocks, routed, unit[:2], slices).groupBy(*unit).cogroup(routed.groupBy(*unit)).applyInArrow(search, found)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -33,3 +33,16 @@ def lists(rows: np.ndarray) -> pa.Array:
     """A matrix as a list column."""
     n, d = rows.shape
     return pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * d, d, dtype=np.int32)), pa.array(rows.ravel()))
+
+
+def in_slices(asked: DataFrame, most: int, n: int) -> tuple[DataFrame, int]:
+    """Queries with their slice, of about `most` of all n at most, and the number of slices."""
+    slices = max(1, -(-n // most))
+    return asked.withColumn("slice", F.pmod(F.xxhash64(F.lit("slice"), "query_id"), F.lit(slices).cast("long")).cast("int")), slices
+
+
+def for_slices(rows: DataFrame, routed: DataFrame, unit: list[str], slices: int) -> DataFrame:
+    """Rows of blocks once for each slice whose queries reach their block: routed has unit, slice and a query a row."""
+    if slices == 1:
+        return rows.withColumn("slice", F.lit(0))
+    return rows.join(routed.select(*[F.col(c).alias(c) for c in unit], F.col("slice").alias("slice")).distinct(), unit)
