@@ -12,6 +12,7 @@ import pytest
 import tiktoken
 
 from tests.llm.test_text_ops import components, naive_fingerprint
+from tests.llm.test_vector_and_page_ops import brute_verdicts
 from tests.oracle import connect, difference
 from tidemark.llm.html_text import blocks_of
 from tidemark.llm.queries import ORACLE_SQL, QUERIES, RULES
@@ -114,10 +115,11 @@ def test_pages(spark):
     assert main.columns == ["page_id", "url", "text", "n_chars"]
     got = {r.page_id: r for r in main.collect()}
     assert {k: (r.url, r.text, len(r.text)) for k, r in got.items()} == {k: (r.url, "\n".join(blocks_of(r.html)[0]), got[k].n_chars) for k, r in pages.items()}
+    verdicts = brute_verdicts([tuple(r) for r in spark.read.parquet(f"{DATA}/pages.parquet").select("page_id", "url", "html").collect()], RULES)
     for r in rows(spark, "op10_url_filters").collect():
         rest = (pages[r.page_id].url or "").partition("://")[2]
         cut = min([rest.find(c) for c in "/?#" if c in rest] or [len(rest)])
         host, path = rest[:cut].lower(), rest[cut:].split("?")[0].split("#")[0]
         fits = [(len(rule), rule, v) for v, rule in RULES for h, p in [rule.split("/", 1)] if (host == h or host.endswith("." + h)) and path.startswith("/" + p)]
-        best = max(fits, default=(0, None, r.verdict))
+        best = max(fits, default=(0, None, verdicts[r.page_id]))
         assert (r.host, r.path, r.rule, r.verdict) == (host, path, best[1], best[2])

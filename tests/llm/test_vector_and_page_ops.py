@@ -288,6 +288,68 @@ def test_propagation_against_brute_force(spark):
         assert np.allclose(got.get(h, (0, 0)), (t[h], d[h]), atol=1e-6)
 
 
+def brute_verdicts(pages, rules, threshold=0.1):
+    """Verdicts of pages (id, url, html) by another way: links by a small parser, walks of every host counted out."""
+    from html.parser import HTMLParser
+
+    def parts(url):
+        rest = (url or "").partition("://")[2]
+        cut = min([rest.find(c) for c in "/?#" if c in rest] or [len(rest)])
+        return rest[:cut].lower(), rest[cut:].split("?")[0].split("#")[0]
+
+    def fit(host, path):
+        return max([(len(r), v) for v, r in rules for h, p in [r.split("/", 1)] if (host == h or host.endswith("." + h)) and path.startswith("/" + p)], default=(0, None))[1]
+
+    class Links(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            self.found += [parts("x:" + v.partition(":")[2] if v.startswith("http") else "x:" + v)[0] for k, v in attrs if k == "href" and v and "//" in v]
+
+    links, own = set(), {}
+    for _, url, html in pages:
+        host, path = parts(url)
+        own.setdefault(host, []).append(fit(host, path))
+        parser = Links()
+        parser.found = []
+        parser.feed(html or "")
+        links |= {(host, d) for d in parser.found if host and d != host}
+    share = lambda h, v: s if h and (s := sum(x == v for x in own.get(h, [])) / max(1, len(own.get(h, [])))) > 0.5 else 0.0
+    hosts = {h for h in own if h} | {h for e in links for h in e}
+    out = {h: [b for a, b in links if a == h] for h in hosts}
+    into = {h: [a for a, b in links if b == h] for h in hosts}
+
+    def rank(seed, takes, gives):
+        value = dict.fromkeys(hosts, 0.0)
+        for _ in range(400):
+            value = {h: seed[h] + 0.85 * sum(value[x] / len(gives[x]) for x in takes[h]) for h in hosts}
+        return value
+
+    seeded = {h for h in hosts if share(h, "allow") or share(h, "block")}
+    trust, distrust = rank({h: share(h, "allow") for h in hosts}, into, out), rank({h: share(h, "block") for h in hosts}, out, into)
+    most_t = rank({h: float(h in seeded or not into[h]) for h in hosts}, into, out)
+    most_d = rank({h: float(h in seeded or not out[h]) for h in hosts}, out, into)
+    part = lambda a, b, h: a[h] / b[h] if b.get(h) else 0.0
+    verdicts = {}
+    for k, url, _ in pages:
+        host, path = parts(url)
+        bad = bool(host) and part(distrust, most_d, host) >= threshold and part(distrust, most_d, host) > part(trust, most_t, host)
+        verdicts[k] = fit(host, path) or ("block" if bad else "allow")
+    return verdicts
+
+
+def test_verdicts_against_brute_force(spark):
+    rng = np.random.default_rng(21)
+    names = ["example.com/en", "www.example.com/en", "a.net/es", "b.net/fr", "c.net/it", *[f"h{k}.org/x" for k in range(30)]]
+    pages = []
+    for k in range(90):
+        mine = names[rng.integers(0, len(names))] if k >= len(names) else names[k]
+        to = [names[j] for j in rng.integers(0, len(names), rng.integers(0, 4))]
+        pages.append((k, f"https://{mine}/{k}", "".join(f"<p><a class=x href='http://{t}/'>t</a>" for t in to)))
+    out = {r.page_id: r.verdict for r in judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string"), RULES).collect()}
+    want = brute_verdicts(pages, RULES)
+    assert out == want
+    assert {v for k, v in want.items() if ".org" in pages[k][1]} == {"allow", "block"}
+
+
 def test_linked_hosts_follow_blocked_ones(spark):
     link = '<a href="http://bad.net/es/1">x</a><a HREF=//other.org/>y</a>'
     rows = [(1, "http://bad.net/es/1", ""), (2, "http://farm.org/", link), (3, "http://clean.org/", '<a href="http://other.org/">y</a>')]

@@ -1,9 +1,9 @@
 """URL filters: rules by host and path, and trust propagated over the host graph.
 
 Trust is a personalised PageRank from hosts that rules allow, along links; distrust is one from
-hosts that rules block, against links. Both thin out where a host shares them with many others, so
-verdicts compare means: bad, of the hosts linked to, and good, of the hosts that link. A host is
-blocked where bad outweighs good and reaches a threshold.
+hosts that rules block, against links. Both thin out where a host shares them with many others, so each
+is held against its most: what it would be if all hosts where such walks end (seeds, and hosts with no links in that direction) were
+seeds of the kind. A host is blocked where its part of the most distrust reaches a threshold and exceeds its part of the most trust.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from .shared import materialize
 
 #: Share of a host's value that its links pass on.
 DAMPING = 0.85
-#: Least bad of a blocked host; a host of which all pages are blocked by rules starts with 1.
+#: Least part of the most distrust of a blocked host.
 DISTRUST = 0.1
 #: Rounds after which values that still move are an error.
 MOST_ROUNDS = 1_000
@@ -52,39 +52,42 @@ def host_links(pages: DataFrame, html: str = "html") -> DataFrame:
 
 
 def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, rounds: int | None = None, tolerance: float = 1e-6) -> DataFrame:
-    """host, trust, distrust, good and bad, for seeds(host, trust, distrust) and links(src, dst), as scores above zero.
+    """host, trust, distrust, most_trust and most_distrust, for seeds(host, trust, distrust) and links(src, dst), as scores above zero.
 
     value = seed + damping * what neighbours pass on. Trust is passed in equal parts to the hosts linked to,
-    distrust to the hosts that link. good and bad start from the same seeds, but a host gets the mean good of the
-    hosts that link to it and the mean bad of the hosts that it links to, however many others they pass it to.
-    Stops when no value moves by more than the tolerance, or after rounds if given; without rounds, values that
+    distrust to the hosts that link. The most of each is passed on alike, from seeds of 1 at all seeds of
+    either kind and at hosts that nothing links to (trust) or that link to nothing (distrust).
+    Stops when no value moves by more than this part of it, or after rounds if given; without rounds, values that
     don't settle are an error.
     """
     out = links.groupBy("src").agg(F.count("*").alias("n_out"))
     into = links.groupBy("dst").agg(F.count("*").alias("n_in"))
     edges = materialize(links.join(out, "src").join(into, "dst"), "host-edges")
-    seeds = materialize(seeds.select("host", F.col("trust").alias("seed_t"), F.col("distrust").alias("seed_d")).filter("seed_t > 0 OR seed_d > 0"), "seeds")
-    values = {"trust": "seed_t", "distrust": "seed_d", "good": "seed_t", "bad": "seed_d"}
-    state = seeds.select("host", *[F.col(seed).alias(v) for v, seed in values.items()])
+    seeds = seeds.select("host", "trust", "distrust").filter("trust > 0 OR distrust > 0")
+    zero, one = F.lit(0.0), F.lit(1.0)
+    values = ["trust", "distrust", "most_trust", "most_distrust"]
+    ends = out.withColumnRenamed("src", "host").join(into.withColumnRenamed("dst", "host"), "host", "full").filter("n_out IS NULL OR n_in IS NULL").join(seeds, "host", "left_anti")
+    ends = ends.select("host", zero.alias("trust"), zero.alias("distrust"), F.when(F.col("n_in").isNull(), one).otherwise(zero).alias("most_trust"), F.when(F.col("n_out").isNull(), one).otherwise(zero).alias("most_distrust"))
+    state = materialize(seeds.withColumns({"most_trust": one, "most_distrust": one}).unionByName(ends), "seeds")
+    starts = state.select("host", *[F.col(v).alias(f"seed_{v}") for v in values])
     if not edges.limit(1).count():
         return state
-    zero = F.lit(0.0)
     for _ in range(MOST_ROUNDS if rounds is None else rounds):
         forward = edges.join(state, edges["src"] == state["host"]).select(
-            F.col("dst").alias("host"), (F.col("trust") / F.col("n_out")).alias("trust"), zero.alias("distrust"), (F.col("good") / F.col("n_in")).alias("good"), zero.alias("bad")
+            F.col("dst").alias("host"), *[(F.col(v) / F.col("n_out") if not v.endswith("distrust") else zero).alias(v) for v in values]
         )
         back = edges.join(state, edges["dst"] == state["host"]).select(
-            F.col("src").alias("host"), zero.alias("trust"), (F.col("distrust") / F.col("n_in")).alias("distrust"), zero.alias("good"), (F.col("bad") / F.col("n_out")).alias("bad")
+            F.col("src").alias("host"), *[(F.col(v) / F.col("n_in") if v.endswith("distrust") else zero).alias(v) for v in values]
         )
         passed = forward.union(back).groupBy("host").agg(*[F.sum(v).alias(f"passed_{v}") for v in values])
-        rows = passed.join(seeds, "host", "full").join(state.withColumnsRenamed({v: f"was_{v}" for v in values}), "host", "left")
+        rows = passed.join(starts, "host", "full").join(state.withColumnsRenamed({v: f"was_{v}" for v in values}), "host", "left")
         new = rows.select(
             "host",
-            *[(F.coalesce(seed, zero) + damping * F.coalesce(f"passed_{v}", zero)).alias(v) for v, seed in values.items()],
+            *[(F.coalesce(f"seed_{v}", zero) + damping * F.coalesce(f"passed_{v}", zero)).alias(v) for v in values],
             *[F.coalesce(f"was_{v}", zero).alias(f"was_{v}") for v in values],
         )
         new = materialize(new, "trust")
-        moved = new.agg(F.max(F.greatest(*[F.abs(F.col(v) - F.col(f"was_{v}")) for v in values]))).first()[0]
+        moved = new.agg(F.max(F.greatest(*[F.when(F.col(v) > 0, F.abs(F.col(v) - F.col(f"was_{v}")) / F.col(v)).otherwise(zero) for v in values]))).first()[0]
         state = new.select("host", *values)
         if moved is None or moved <= tolerance:
             break
@@ -97,8 +100,8 @@ def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, roun
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", html: str = "html", distrust: float = DISTRUST, seed_share: float = SEED_SHARE) -> DataFrame:
     """Adds host, path, rule and verdict (allow or block) to pages, and the host's trust and distrust.
 
-    The longest fitting rule decides; pages without one follow their host: blocked if its bad (see propagate)
-    reaches the threshold distrust and exceeds its good, else allowed. A host is a trusted (blocked) seed, by the
+    The longest fitting rule decides; pages without one follow their host: blocked if its distrust over the most
+    distrust (see propagate) reaches the threshold and exceeds its trust over the most trust, else allowed. A host is a trusted (blocked) seed, by the
     share of its pages that rules allow (block), if that share exceeds seed_share. A null url, or one without `://`, has an empty host, no rule
     and is allowed; null html has no links; repeated rows are judged alike; columns of pages with
     the added names are replaced, all others pass.
@@ -112,9 +115,10 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url",
     seed = lambda c: F.when(F.col(c) > seed_share, F.col(c)).otherwise(0.0)
     seeds = shares.select("host", seed("allowed").alias("trust"), seed("blocked").alias("distrust"))
     ranks = propagate(seeds, materialize(host_links(located, html), "host-links"))
-    ranks = materialize(ranks.select(F.col("host").alias("__host"), "trust", "distrust", F.col("good").alias("__good"), F.col("bad").alias("__bad")), "host-ranks")
+    part = lambda v: F.when(F.col(f"most_{v}") > 0, F.col(v) / F.col(f"most_{v}")).otherwise(0.0)
+    bad = (part("distrust") >= distrust) & (part("distrust") > part("trust"))
+    ranks = materialize(ranks.select(F.col("host").alias("__host"), "trust", "distrust", bad.alias("__bad")), "host-ranks")
     rows = judged.join(ranks, F.col("host") == F.col("__host"), "left").drop("__host")
     rows = rows.withColumn("trust", F.coalesce("trust", F.lit(0.0))).withColumn("distrust", F.coalesce("distrust", F.lit(0.0)))
-    bad = (F.col("__bad") >= distrust) & (F.col("__bad") > F.col("__good"))
-    verdict = F.coalesce(F.col("__fit.verdict"), F.when(bad, "block").otherwise("allow"))
-    return rows.withColumn("rule", F.col("__fit.rule")).withColumn("verdict", verdict).drop("__fit", "__good", "__bad")
+    verdict = F.coalesce(F.col("__fit.verdict"), F.when(F.col("__bad"), "block").otherwise("allow"))
+    return rows.withColumn("rule", F.col("__fit.rule")).withColumn("verdict", verdict).drop("__fit", "__bad")
