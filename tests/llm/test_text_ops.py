@@ -312,3 +312,21 @@ def test_thin_query_of_toxicity(spark, tmp_path):
     for r in out.collect():
         assert r.held_out == (zlib.crc32(str(r.doc_id if r.doc_id is not None else "").encode()) % 3 == 1)
         assert r.predicted == int(r.score >= 0.7) == int(r.doc_id is not None and r.doc_id % 5 == 0)
+
+
+def test_pieces_are_those_of_tiktoken_for_every_character():
+    """Every code point between letters, numbers, marks and spaces: tiktoken's own Unicode version decides what a letter is."""
+    from tidemark.llm.bpe import Encoder
+
+    from tidemark.llm.bpe import load_ranks
+
+    coder = Encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    real = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=load_ranks(P.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    rng = np.random.default_rng(3)
+    odd = [0x10940, 0x1E900, 0x16D40, 0x10D50, 0x1C89, 0xA7CB, 0x2FFC, 0x378, 0x10FFFF, 0x0300, 0x20, 0x61, 0x31, 0x27, 0x73, 0x0A, 0x85, 0x2028]
+    texts = ["".join(chr(c) for c in rng.choice(odd, 12)) for _ in range(3000)]
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts += ["".join(f"x{c}y {c}8" for c in every[k : k + 0x800]) for k in range(0, len(every), 0x800)]
+    for k in range(0, len(texts), 100):
+        for text, ids in zip(texts[k : k + 100], coder.encode(texts[k : k + 100])):
+            assert np.frombuffer(ids, "<u4").tolist() == real.encode_ordinary(text)

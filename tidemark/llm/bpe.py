@@ -45,6 +45,33 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(bytes.strip, lines))}
 
 
+def class_of(escape: str) -> str:
+    """What stands for `escape` (a letter, a number, white space) within brackets: the characters that tiktoken itself counts as such."""
+    import tiktoken
+
+    coder = tiktoken.Encoding("class", pat_str=escape, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    codes = np.frombuffer(bytes(coder.encode_ordinary(every)).decode().encode("utf-32-le"), dtype="<u4").astype(np.int64)
+    return "".join(f"\\U{r[0]:08x}-\\U{r[-1]:08x}" for r in np.split(codes, np.flatnonzero(np.diff(codes) > 1) + 1))
+
+
+def with_classes(pattern: str) -> str:
+    """A pattern with tiktoken's classes spelled out, as libraries know characters of different Unicode versions."""
+    classes = {e: class_of(e) for e in (r"\p{L}", r"\p{N}", r"\s") if e in pattern or e == r"\s"}
+    out, within = [], False
+    for part in re.split(r"(\\p\{[LN]\}|\\.|[\[\]])", pattern):
+        if part in ("[", "]"):
+            within = part == "["
+            out.append(part)
+        elif part in classes:
+            out.append(classes[part] if within else f"[{classes[part]}]")
+        elif part == r"\S" and not within:
+            out.append(f"[^{classes[r'\s']}]")
+        else:
+            out.append(part)
+    return "".join(out)
+
+
 class MergeReplay:
     """Encodes sets of words by replaying ranked merges over an inverted pair index."""
 
@@ -201,7 +228,7 @@ class Encoder:
 
     def __init__(self, ranks_path: str, pattern: str):
         self.replay = MergeReplay(load_ranks(ranks_path))
-        self.pattern = regex.compile(pattern)
+        self.pattern = regex.compile(with_classes(pattern))
         import public_tokenizers
 
         self.latin = pattern == public_tokenizers.PATTERN

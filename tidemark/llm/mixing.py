@@ -46,7 +46,7 @@ def balance(counts: DataFrame, targets: DataFrame, cap: float, steps: int = 60,
     """multiplier and scale by source_no: the dual's minimum, found by Newton steps kept within brackets.
 
     counts(source_no, size, n); targets(source_no, source_size, target). Sums are exact decimals,
-    so reruns agree to the last digit.
+    so reruns agree to the last digit. Sources that don't settle within the steps are an error.
     """
     top = math.log(cap)
     exact = lambda c: F.sum(c.cast("decimal(38,6)")).cast("double")
@@ -83,6 +83,9 @@ def balance(counts: DataFrame, targets: DataFrame, cap: float, steps: int = 60,
         within = (F.col("slope") > 0) & (newton > F.col("low")) & (newton < F.col("high"))
         stepped = stepped.withColumn("multiplier", F.when(F.col("done"), F.col("multiplier")).when(within, newton).otherwise(middle))
         state = materialize(stepped.select(*state.columns), "multipliers")
+    else:
+        if state.filter("NOT done").limit(1).count():
+            raise RuntimeError(f"rates have not settled in {steps} steps")
     return state.select("source_no", "multiplier", "scale")
 
 
