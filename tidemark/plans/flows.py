@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import suppress
+
 from pyspark.sql import functions as F
 
 from tidemark.functions import documents as D
@@ -9,7 +11,7 @@ from tidemark.functions import patterns as P
 from tidemark.functions import text as T
 from tidemark.operators import changes, keyed, states
 from tidemark.operators import gates as G
-from tidemark.sources import tables
+from tidemark.sources import publication, tables
 from tidemark.sources.scratch import shared_dir
 
 from .gates import CHANGES, REVIEWED, SUPPRESSED, VALIDATED, cycle, matches, sources, suppressed, useful_sql, validated
@@ -423,6 +425,23 @@ def publication_checks(spark, sf_dir):
     return out
 
 
+@query("""SELECT 2::BIGINT AS version, 'orders' AS name, o_orderstatus AS status, count(*)::BIGINT AS n, sum(o_orderkey)::BIGINT AS keys FROM orders GROUP BY o_orderstatus
+    UNION ALL SELECT 2, 'totals', 'O', count(*)::BIGINT, sum(o_custkey)::BIGINT FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'O')""")
+def atomic_publication(spark, sf_dir):
+    """Orders and totals of customers published together, twice; a writer that began too early and one whose rows break a rule leave no trace."""
+    root, orders = shared_dir(spark, "publication"), tables.table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus")
+    totals = lambda status: orders.filter(F.col("o_orderstatus") == status).groupBy("o_custkey").agg(F.count("*").alias("n"), F.max("o_orderstatus").alias("o_orderstatus"))
+    checks = {"status_domain": ("orders", F.col("o_orderstatus").isin("F", "O", "P")), "some": ("totals", F.col("n") > 0)}
+    first = publication.publish(spark, root, {"orders": orders.filter("o_orderstatus = 'F'"), "totals": totals("F")}, 0, checks)
+    second = publication.publish(spark, root, {"orders": orders, "totals": totals("O")}, first, checks)
+    for expected, rows in ((first, orders), (second, orders.withColumn("o_orderstatus", F.lit("?")))):
+        with suppress(publication.Refused):
+            publication.publish(spark, root, {"orders": rows.limit(1), "totals": totals("P")}, expected, checks)
+    version = publication.current(spark, root)
+    of = lambda name, key: publication.read(spark, root, name, version).groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"), F.sum(key).alias("keys")).withColumn("name", F.lit(name))
+    return of("orders", "o_orderkey").unionByName(of("totals", "o_custkey")).select(F.lit(version).cast("long").alias("version"), "name", "status", "n", "keys")
+
+
 @query("""WITH w AS (SELECT c_custkey, min(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment) AS winner FROM customer) SELECT o_orderkey, winner AS o_custkey, winner <> c_custkey AS moved FROM orders JOIN w ON c_custkey = o_custkey""")
 def repointed_children(spark, sf_dir):
     """Children moved to the winner of their parent's duplicates; winners come from an aggregate."""
