@@ -9,7 +9,7 @@ from tidemark.plans import catalog, events, flows, gates, health, ledgers, match
 
 DATA = "/root/testdata/sf0.001"
 #: Queries that SQL can't express, and the tests that hold them against brute force.
-WITHOUT_SQL = {"near_duplicate_changes": "tests/test_near.py"}
+WITHOUT_SQL = {"change_evidence": "tests/test_evidence.py", "near_duplicate_changes": "tests/test_near.py"}
 
 
 @pytest.fixture(scope="module")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.functions import urls as U
-from tidemark.operators import changes, keyed, rollups, runs
+from tidemark.operators import changes, evidence, keyed, rollups, runs
 from tidemark.sources import tables
 
 from .registry import query
@@ -172,3 +172,10 @@ def state_stage_order(spark, sf_dir):
     rows = tables.table(spark, sf_dir, "conversations", "conv_id", "turn", "role")
     pairs = runs.with_previous(rows, ["conv_id"], [F.asc("turn")], {"previous": "role"})
     return pairs.groupBy(F.coalesce("previous", F.lit("start")).alias("previous"), "role").agg(F.count("*").alias("n"))
+
+
+@query()
+def change_evidence(spark, sf_dir):
+    """Words added and removed between consecutive documents of a source and language, with snippets and the place of what was added; a diff isn't SQL's to say."""
+    pairs = changes.version_pairs(tables.table(spark, sf_dir, "documents", "doc_id", "source", "lang", "text"), ["source", "lang"], "doc_id", "text").filter("previous_id IS NOT NULL")
+    return evidence.change_evidence(pairs.select("doc_id", "previous_id", "previous_text", "text"), "previous_text", "text")
