@@ -8,6 +8,7 @@ from tidemark.functions import text as T
 from tidemark.functions import urls as U
 from tidemark.operators import changes, evidence, keyed, rollups, runs
 from tidemark.sources import tables
+from tidemark.sources.captures import captures
 
 from .registry import query
 
@@ -174,6 +175,16 @@ def state_stage_order(spark, sf_dir):
     return pairs.groupBy(F.coalesce("previous", F.lit("start")).alias("previous"), "role").agg(F.count("*").alias("n"))
 
 
+@query("""WITH c AS (SELECT page_id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->|<script>.*?</script>|<style>.*?</style>', '', 'g'), '<title>[^<]*</title>', '') AS shown FROM pages),
+    t AS (SELECT *, CASE WHEN contains(shown, '<article>') THEN regexp_extract(shown, '(?s)<article>(.*?)(?:</article>|$)', 1) ELSE shown END AS part, regexp_extract_all(shown, '<a href="([^"]*)"', 1) AS hrefs FROM c)
+    SELECT page_id, replace(replace(replace(replace(trim(title), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS title, len(list_distinct([lower(x) for x in hrefs]))::INTEGER AS links, url AS canonical,
+      len(trim(regexp_replace(regexp_replace(regexp_replace(part, '<[^>]*>', '', 'g'), '&[#a-z0-9]+;', '&', 'g'), '\\s+', ' ', 'g')))::INTEGER AS n_chars FROM t""")
+def captured_pages(spark, sf_dir):
+    """Title, links by address, canonical address and length of the text of all pages, from their tags."""
+    rows = captures(tables.table(spark, sf_dir, "pages", "page_id", "url", "html"), "page_id")
+    return rows.select("page_id", "title", F.size("links").alias("links"), "canonical", F.length("text").alias("n_chars"))
+
+
 @query()
 def change_evidence(spark, sf_dir):
     """Words added and removed between consecutive documents of a source and language, with snippets and the place of what was added; a diff isn't SQL's to say."""
