@@ -215,3 +215,35 @@ def test_first_independent_rows(spark):
             kept[k] = not any(kept[e] for later, e in links if later == k)
         got = {r.later: r.kept for r in near.first_independent(spark.createDataFrame(links, "later long, earlier long"), run=50).collect()}
         assert got == {k: kept[k] for k in {later for later, _ in links}}
+
+
+def test_best_weighted_against_all_pairs(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    parts = {"words": 0.8, "host": 0.05, "sponsor": 0.25}
+
+    def make(n):
+        word = lambda k: f"w{min(int(rng.zipf(1.3)), 200)}" if k else "common"
+        return [(int(k), [word(j) for j in range(int(rng.integers(0, 6)))], [f"h{rng.integers(0, 3)}"] if rng.random() < 0.9 else None, [f"s{rng.integers(0, 40)}" for _ in range(int(rng.integers(0, 3)))]) for k in range(n)]
+
+    asked, known = make(250), make(300)
+    schema = "words array<string>, host array<string>, sponsor array<string>"
+    frames = spark.createDataFrame(asked, "r long, " + schema), spark.createDataFrame(known, "a long, " + schema)
+
+    def score(x, y):
+        out = 0.0
+        for weight, p, q in zip(parts.values(), x[1:], y[1:]):
+            p, q = set(p or []), set(q or [])
+            out += weight * len(p & q) / max(len(p), len(q)) if p or q else 0
+        return round(out, 9)
+
+    for least in (0.01, 0.3, 0.9):
+        for own in (False, True):
+            want = {}
+            for x in asked:
+                best = max((score(x, y), -y[0]) for y in known if not own or x[0] != y[0])
+                if best[0] >= least:
+                    want[x[0]] = (-best[1], best[0])
+            got = {r.r: (r.a, r.score) for r in near.best_weighted(*frames, "r", "a", parts, least, others_only=own).collect()}
+            assert got == want and want

@@ -48,6 +48,28 @@ def fallback_key_join(spark, sf_dir):
     return by_id.join(first, "url_key", "left").select("event_id", F.coalesce("own", "first_page").alias("page_id"))
 
 
+TITLE_WORDS = "list_distinct([w for w in string_split(trim(regexp_replace(lower(regexp_extract(html, '<title>([^<]*)</title>', 1)), '[^a-z0-9]+', ' ', 'g')), ' ') if w <> ''])"
+
+
+@query(f"""WITH p AS (SELECT page_id, {TITLE_WORDS} AS words, CASE WHEN url LIKE '%://%' THEN [lower(regexp_extract(url, '://([^/?#]*)', 1))] ELSE [] END AS host,
+      list_distinct([x for x in string_split(lower(regexp_extract(url, '://[^/?#]*([^?#]*)', 1)), '/') if x <> '']) AS path FROM pages),
+    s AS (SELECT a.page_id AS request, b.page_id AS award, round(CASE WHEN greatest(len(a.words), len(b.words)) > 0 THEN 0.8 * len(list_intersect(a.words, b.words)) / greatest(len(a.words), len(b.words)) ELSE 0 END
+      + CASE WHEN greatest(len(a.host), len(b.host)) > 0 THEN 0.05 * len(list_intersect(a.host, b.host)) / greatest(len(a.host), len(b.host)) ELSE 0 END
+      + CASE WHEN greatest(len(a.path), len(b.path)) > 0 THEN 0.35 * len(list_intersect(a.path, b.path)) / greatest(len(a.path), len(b.path)) ELSE 0 END, 9) AS score FROM p a JOIN p b ON a.page_id <> b.page_id)
+    SELECT request, award, round(score, 6) AS score FROM s WHERE score >= 0.2 QUALIFY row_number() OVER (PARTITION BY request ORDER BY score DESC, award) = 1""")
+def best_weighted_match(spark, sf_dir):
+    """The other page that is most like a page by words of the title, host and path, each with its weight."""
+    rows = tables.table(spark, sf_dir, "pages", "page_id", "url", "html")
+    title = F.trim(F.regexp_replace(F.lower(F.regexp_extract("html", "<title>([^<]*)</title>", 1)), "[^a-z0-9]+", " "))
+    filled = lambda c: F.array_distinct(F.filter(c, lambda x: x != ""))
+    host, path = F.lower(F.regexp_extract("url", "://([^/?#]*)", 1)), F.split(F.lower(F.regexp_extract("url", "://[^/?#]*([^?#]*)", 1)), "/")
+    sets = [filled(F.split(title, " ")).alias("words"), F.when(F.contains("url", F.lit("://")), F.array(host)).otherwise(F.array()).alias("host"), filled(path).alias("path")]
+    pages = rows.select("page_id", *sets)
+    requests, awards = pages.withColumnRenamed("page_id", "request"), pages.withColumnRenamed("page_id", "award")
+    found = near.best_weighted(requests, awards, "request", "award", {"words": 0.8, "host": 0.05, "path": 0.35}, 0.2, others_only=True)
+    return found.withColumn("score", F.round("score", 6))
+
+
 REQUESTS = "lower(p_name || ' ' || p_type)"
 
 
