@@ -79,3 +79,24 @@ def test_nulls_nothing_and_late_files(spark, tmp_path):
         got = ledger.deliver_once(stream, to, progress, ["k"]).collect()
         n = {r.v: r.n for r in ledger.count_batches(stream, f"{to}-n", f"{progress}-n", ["v"]).collect()}
     assert sorted(str(r.k) for r in got) == ["1", "2", "None", "None"] and n == {"a": 2, "b": 1, "c": 2, "z": 1}
+
+
+def test_a_changed_policy_sweeps_again(spark, files, tmp_path):
+    """Old events are decided anew, and only decisions that the change moves are written."""
+    to = f"file://{tmp_path}/swept"
+    events = {r.event_id: r for r in spark.read.parquet(f"{DATA}/events.parquet").collect()}
+
+    def run(policy):
+        stream = jobs.event_stream(spark, files)
+        decide = lambda rows: F.when(F.col("event_type").isin(policy["types"]) & (F.col("value") >= policy["least"]), "hidden")
+        out = ledger.policy_sweep(stream, decide, policy, to, ["event_id"])
+        got = {r.event_id: r.decision for r in out.collect()}
+        assert got == {k: "hidden" if r.event_type in policy["types"] and r.value >= policy["least"] else None for k, r in events.items()}
+        return spark.read.parquet(f"{to}/decisions").groupBy("generation").count().orderBy("generation").collect()
+
+    first, second = {"types": ["error"], "least": 0}, {"types": ["error", "click"], "least": 5}
+    assert [tuple(r) for r in run(first)] == [(1, len(events))]
+    assert [tuple(r) for r in run(first)] == [(1, len(events))]  # the same policy goes on where it was
+    moved = sum((r.event_type == "error") != (r.event_type in second["types"] and r.value >= 5) for r in events.values())
+    assert 0 < moved < len(events) and [tuple(r) for r in run(second)] == [(1, len(events)), (2, moved)]
+    assert [tuple(r) for r in run(first)] == [(1, len(events)), (2, moved), (3, moved)]  # and back

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from contextlib import suppress
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import documents as D
@@ -16,7 +18,8 @@ from tidemark.sources.scratch import shared_dir
 
 from .gates import CHANGES, REVIEWED, SUPPRESSED, VALIDATED, cycle, matches, sources, suppressed, useful_sql, validated
 from .gates import changes as change_events
-from .registry import query
+from . import ledgers  # noqa: F401  (its queries are fed on)
+from .registry import ORACLE_SQL, QUERIES, query
 from .values import AWARD_TEXTS
 
 # --- sources and sinks
@@ -127,15 +130,17 @@ def change_details(spark, sf_dir):
     return diff.withColumn("class", changes.change_class()).select("event_id", "class", confidence.alias("confidence"))
 
 
-GROWN = "(SELECT doc_id, text[1:600] AS old, CASE doc_id % 3 WHEN 0 THEN text[1:900] WHEN 1 THEN 'x' || text[1:900] ELSE text[301:1500] END AS new FROM documents WHERE text IS NOT NULL)"
+GROWN = """(SELECT doc_id, old, CASE doc_id % 3 WHEN 0 THEN old || ' ' || text WHEN 1 THEN 'x' || old || text ELSE text END AS new FROM (
+    SELECT doc_id, text, lag(text) OVER (PARTITION BY source, lang ORDER BY doc_id) AS old FROM documents) WHERE old IS NOT NULL AND text IS NOT NULL)"""
 
 
 @query(f"""SELECT doc_id, len(old) >= 500 AND len(new) > len(old) + 80 AND (starts_with(new, old) OR starts_with(regexp_replace(lower(new), '[^a-z0-9]+', '', 'g'), regexp_replace(lower(old), '[^a-z0-9]+', '', 'g'))
     OR (contains(new, trim(right(old, 180))) AND len(trim(right(old, 180))) >= 60 AND strpos(new, trim(right(old, 180))) - 1 + len(trim(right(old, 180))) < len(new) - 40)) AS expanded FROM {GROWN}""")
 def sample_expansion(spark, sf_dir):
-    """Whether a newer capture only holds more of the same page."""
-    rows = tables.table(spark, sf_dir, "documents", "doc_id", "text").filter("text IS NOT NULL").selectExpr(
-        "doc_id", "substring(text, 1, 600) AS old", "CASE doc_id % 3 WHEN 0 THEN substring(text, 1, 900) WHEN 1 THEN 'x' || substring(text, 1, 900) ELSE substring(text, 301, 1200) END AS new"
+    """Whether a newer capture only holds more of the same page: whole texts of consecutive documents, a third of them grown by the next one's."""
+    pairs = changes.version_pairs(tables.table(spark, sf_dir, "documents", "doc_id", "source", "lang", "text"), ["source", "lang"], "doc_id", "text")
+    rows = pairs.filter("previous_text IS NOT NULL AND text IS NOT NULL").selectExpr(
+        "doc_id", "previous_text AS old", "CASE doc_id % 3 WHEN 0 THEN previous_text || ' ' || text WHEN 1 THEN 'x' || previous_text || text ELSE text END AS new"
     )
     return rows.select("doc_id", changes.expands(F.col("old"), F.col("new")).alias("expanded"))
 
@@ -477,3 +482,28 @@ def merge_fill(spark, sf_dir):
 @query(f"SELECT reason, count(*)::BIGINT AS n, count(DISTINCT l_orderkey)::BIGINT AS awards FROM {VALIDATED} GROUP BY reason")
 def candidate_rejections(spark, sf_dir):
     return validated(spark, sf_dir).groupBy("reason").agg(F.count("*").alias("n"), F.count_distinct("l_orderkey").alias("awards"))
+
+
+INBOX = f"""(SELECT 'runs' AS feed, false AS retrying, 'delayed' AS impact FROM ({ORACLE_SQL['stalled_runs']}) WHERE state = 'stalled'
+    UNION ALL SELECT 'deliveries', state = 'retry', CASE state WHEN 'retry' THEN 'none' ELSE 'unknown' END FROM ({ORACLE_SQL['delivery_ledger']}) WHERE state <> 'sent'
+    UNION ALL SELECT 'quarantine', false, 'blocked' FROM ({ORACLE_SQL['quarantine_registry']}) WHERE state = 'open'
+    UNION ALL SELECT 'lanes', state = 'backoff', CASE state WHEN 'backoff' THEN 'delayed' ELSE 'blocked' END FROM ({ORACLE_SQL['lane_leases']}) WHERE state IN ('expired', 'backoff')
+    UNION ALL SELECT feed, severity = 2, CASE severity WHEN 0 THEN 'blocked' WHEN 1 THEN 'unknown' ELSE 'none' END FROM ({ORACLE_SQL['operator_inbox']}))"""
+
+
+@query(f"""SELECT coalesce(feed, 'all') AS feed, count(*)::BIGINT AS total, count(*) FILTER (WHERE NOT retrying)::BIGINT AS needs_operator, count(*) FILTER (WHERE retrying)::BIGINT AS auto_retrying,
+    count(*) FILTER (WHERE impact = 'blocked')::BIGINT AS public_blockers, count(*) FILTER (WHERE impact = 'unknown')::BIGINT AS public_impact_unknown FROM {INBOX} GROUP BY ROLLUP (feed)""")
+def inbox_summary(spark, sf_dir):
+    """Five counts of the items of six feeds, by feed and over all: what waits for an operator, tries again by itself, blocks the public or may do so."""
+    state, severity = F.col("state"), F.col("severity")
+    item = lambda name, frame, retrying, impact: frame.select((F.lit(name) if isinstance(name, str) else name).alias("feed"), retrying.alias("retrying"), impact.alias("impact"))
+    feeds = [
+        item("runs", QUERIES["stalled_runs"](spark, sf_dir).filter("state = 'stalled'"), F.lit(False), F.lit("delayed")),
+        item("deliveries", QUERIES["delivery_ledger"](spark, sf_dir).filter("state <> 'sent'"), state == "retry", F.when(state == "retry", "none").otherwise("unknown")),
+        item("quarantine", QUERIES["quarantine_registry"](spark, sf_dir).filter("state = 'open'"), F.lit(False), F.lit("blocked")),
+        item("lanes", QUERIES["lane_leases"](spark, sf_dir).filter("state IN ('expired', 'backoff')"), state == "backoff", F.when(state == "backoff", "delayed").otherwise("blocked")),
+        item(F.col("feed"), QUERIES["operator_inbox"](spark, sf_dir), severity == 2, F.when(severity == 0, "blocked").when(severity == 1, "unknown").otherwise("none")),
+    ]
+    items = reduce(DataFrame.unionByName, feeds)
+    counts = {"needs_operator": ~F.col("retrying"), "auto_retrying": F.col("retrying"), "public_blockers": F.col("impact") == "blocked", "public_impact_unknown": F.col("impact") == "unknown"}
+    return items.rollup("feed").agg(F.count("*").alias("total"), *[F.count_if(c).alias(n) for n, c in counts.items()]).withColumn("feed", F.coalesce("feed", F.lit("all")))

@@ -143,3 +143,14 @@ def streaming_deliveries(spark, sf_dir):
     """Events delivered twice arrive once, whatever the order in which they come."""
     stream = jobs.event_stream(spark, f"{sf_dir}/event[s].parquet").union(jobs.event_stream(spark, f"{sf_dir}/event[s].parquet"))
     return ledger.deliver_once(stream.select("event_id", "user_id"), shared_dir(spark, "deliveries"), shared_dir(spark, "deliveries-progress"), ["event_id"])
+
+
+@query("SELECT event_id, CASE WHEN event_type IN ('error', 'click') AND value >= 5 THEN 'hidden' END AS decision FROM events")
+def streaming_policy(spark, sf_dir):
+    """Decisions on events under a policy, then under a wider one: its change sweeps the events again and writes what it moves."""
+    to = shared_dir(spark, "policy")
+    for types, least in ((["error"], 0), (["error", "click"], 5)):
+        stream = jobs.event_stream(spark, f"{sf_dir}/event[s].parquet").select("event_id", "event_type", "value")
+        decide = lambda rows, types=types, least=least: F.when(F.col("event_type").isin(types) & (F.col("value") >= least), "hidden")
+        found = ledger.policy_sweep(stream, decide, {"types": types, "least": least}, to, ["event_id"])
+    return found

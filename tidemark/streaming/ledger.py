@@ -7,13 +7,15 @@ before it only. A batch that ended halfway leaves nothing behind that the next a
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import states
+from tidemark.operators.runs import same
 
 
 def ledger_table(spark: SparkSession, path: str, columns: str, keys: list[str], buckets: int) -> str:
@@ -91,3 +93,38 @@ def admit_batches(stream: DataFrame, to: str, checkpoint: str, keys: list[str],
 
     run_batches(stream, write, checkpoint)
     return spark.read.schema(schema + ", batch bigint").parquet(to).drop("batch")
+
+
+def decisions(spark: SparkSession, to: str, keys: list[str]) -> DataFrame:
+    """keys and decision: the newest of each key that policy_sweep has written."""
+    rows = spark.read.parquet(f"{to}/decisions")
+    return rows.groupBy(*keys).agg(F.max_by("decision", F.struct("generation", "batch")).alias("decision"))
+
+
+def policy_sweep(stream: DataFrame, decide: Callable[[DataFrame], Column], policy: object, to: str, keys: list[str]) -> DataFrame:
+    """keys and decision after a sweep under a policy (anything that json can say, with whose change decisions may change).
+
+    Progress belongs to the policy's hash: while it stays the same, a run goes on with new rows; when it has changed, also back to one used before,
+    a new generation goes through all rows again. Only decisions that differ from the newest one of their key are written, so a change
+    of the policy shows as the changes that it makes. Of rows of one key in a batch any one decides.
+    """
+    spark = stream.sparkSession
+    mark = hashlib.sha256(json.dumps(policy, sort_keys=True).encode()).hexdigest()[:20]
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{to}/progress")
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    known = sorted((int(g), h) for g, h in (f.getPath().getName().split("-") for f in (fs.listStatus(where) if fs.exists(where) else [])))
+    generation = known[-1][0] if known and known[-1][1] == mark else (known[-1][0] if known else 0) + 1
+    schema = ", ".join(f"`{k}` {stream.schema[k].dataType.simpleString()}" for k in keys) + ", decision string"
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{to}/decisions/generation=0/batch=0")  # there is a table before the first batch
+
+    def write(rows: DataFrame, batch: int) -> None:
+        before = rows.sparkSession.read.schema(schema + ", generation int, batch bigint").parquet(f"{to}/decisions")
+        before = before.filter((F.col("generation") < generation) | (F.col("generation") == generation) & (F.col("batch") < batch))
+        newest = before.groupBy(*keys).agg(F.max_by(F.struct("decision"), F.struct("generation", "batch")).alias("was"))
+        decided = rows.withColumn("decision", decide(rows).cast("string")).select(*keys, "decision").dropDuplicates(keys)
+        joined = decided.alias("r").join(newest.alias("s"), same(keys, "r", "s"), "left").select("r.*", "s.was")
+        changed = joined.filter(F.col("was").isNull() | ~F.col("was.decision").eqNullSafe(F.col("decision"))).drop("was")
+        changed.write.mode("overwrite").parquet(f"{to}/decisions/generation={generation}/batch={batch}")
+
+    run_batches(stream, write, f"{to}/progress/{generation}-{mark}")
+    return decisions(spark, to, keys)
