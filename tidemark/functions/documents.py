@@ -59,10 +59,9 @@ def _rewritten(texts: pd.Series, how) -> pd.Series:
     return texts.map(one)
 
 
-@pandas_udf(StringType())
-def canonical(texts: pd.Series) -> pd.Series:
+def canonical(c: Column | str) -> Column:
     """The JSON with sorted keys and without blanks; null if it is none."""
-    return _rewritten(texts, lambda v: json.dumps(v, sort_keys=True, separators=(",", ":"), ensure_ascii=False))
+    return F.to_json(F.try_parse_json(F.col(c) if isinstance(c, str) else c))
 
 
 def _shape(value: object) -> object:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
+from tidemark.sources.scratch import stored
 
 from .keyed import with_previous_id
 
@@ -33,6 +34,19 @@ def structured_diff(pairs: DataFrame, old: str, new: str) -> DataFrame:
     })
 
 
+def sentence_counts(snapshots: DataFrame, keys: list[str], id: str, body: str) -> DataFrame:
+    """id, n_added and n_removed: different sentences that each version has beyond the one before it and lacks of it. First versions, and those after one without a text, have no row.
+
+    Sentences are hashed where they are read, so texts are neither shuffled nor joined: versions are found on ids, and arrays of 64-bit hashes meet.
+    """
+    rows = snapshots.select(*keys, id, F.transform(T.sentences(F.col(body)), lambda s: F.xxhash64(s)).alias("__new"))
+    rows = stored(rows, "sentences")
+    ids = with_previous_id(rows.select(*keys, id), keys, id, "__before").filter("__before IS NOT NULL").select(id, "__before")
+    before = rows.select(F.col(id).alias("__before"), F.col("__new").alias("__old")).filter("__old IS NOT NULL")
+    pairs = ids.join(rows.select(id, "__new"), id).join(before, "__before")
+    return pairs.select(id, F.size(F.array_except("__new", "__old")).alias("n_added"), F.size(F.array_except("__old", "__new")).alias("n_removed"))
+
+
 def change_class() -> Column:
     """What a structured diff amounts to, the first rule that holds."""
     return (

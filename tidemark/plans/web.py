@@ -151,9 +151,7 @@ SENTENCES = "[s for s in string_split(regexp_replace({0}, '([.!?]) +', '\\1' ||
     SELECT doc_id, len(list_distinct([x for x in a if NOT list_contains(b, x)]))::INTEGER AS n_added, len(list_distinct([x for x in b if NOT list_contains(a, x)]))::INTEGER AS n_removed FROM s""")
 def structured_diff(spark, sf_dir):
     rows = tables.table(spark, sf_dir, "documents", "doc_id", "source", "lang", "text")
-    pairs = changes.version_pairs(rows, ["source", "lang"], "doc_id", "text").filter("previous_text IS NOT NULL")
-    diff = changes.structured_diff(pairs, "previous_text", "text")
-    return diff.select("doc_id", F.size("added").alias("n_added"), F.size("removed").alias("n_removed"))
+    return changes.sentence_counts(rows, ["source", "lang"], "doc_id", "text")
 
 
 @query("""WITH t AS (SELECT text AS k, min(doc_id) AS first_id, count(*)::BIGINT AS copies FROM documents GROUP BY text) SELECT first_id, copies, sha256(k) AS hash FROM t WHERE copies > 1""")
