@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 
 from tests.oracle import connect, difference
-from tidemark.plans import catalog, events, flows, gates, health, ledgers, matches, registry, values, web  # noqa: F401
+from tidemark.plans import catalog, events, flows, gates, health, ledgers, matches, registry, values, visibility, web  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 #: Queries that SQL can't express, and the tests that hold them against brute force.
