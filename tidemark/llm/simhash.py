@@ -39,6 +39,8 @@ HELD_LINKS = 150_000
 HELD_SHINGLES, HELD_VERDICTS = 4_000_000, 500_000
 #: Bytes of a shingle's hash in a set's file, and bits of a set's address that count hashes in its file; the others name the file.
 HASH_BYTES, OFFSET_BITS = 6, 40
+#: Bits of a row's number that hold its set's size, as far as they can; the shingle's hash of 8 * HASH_BYTES bits stands above them.
+SIZE_BITS = 64 - 8 * HASH_BYTES
 SEED = 42
 
 
@@ -338,56 +340,57 @@ def common_shingles(sets: DataFrame, folder: str) -> np.ndarray:
     return level
 
 
-def similar_links(sets: DataFrame, similarity: float, lanes: int, distance: int, folder: str) -> DataFrame:
+def similar_links(sets: DataFrame, similarity: float, distance: int, folder: str) -> DataFrame:
     """Links a > b (binary, fp and address) between sets(fp, address) of a folder of shingle_sets that reach a similarity; they span the components of all such pairs.
 
     Two sets that reach it share one of the first shingles of both, in any order that is the same for all: of s shingles those that may be
     missed, a fifth at 0.8, and one more. Common shingles come last in that order, so those that share a passage and little else hardly
     meet. Sets that meet on a shingle are compared if their sizes allow it and their fingerprints differ in
-    at most `distance` bits, which leaves out none at a distance of six deviations, and verified; pairs connected already are passed over.
+    at most `distance` bits, which leaves out none at a distance of five or six deviations, and verified; pairs connected already are passed over.
+    A row is three numbers: its shingle with the set's size in the low bits, the fingerprint of one lane, and the address.
     """
     level = common_shingles(sets, folder)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = SetReader(folder, similarity)
         for batch in batches:
-            keys, packed, of = [], [], []
-            for fp, address in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            parts, held = [], 0
+            fps = np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=">i8").tolist()
+            for fp, address in zip(fps, batch.column(1).to_pylist()):
                 h = reader.read(address)
                 if not len(h):
                     continue
                 first = np.lexsort((h, level[(h % np.uint64(CELLS)).astype(np.int64)]))[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1]
-                keys.append(h[first].astype(np.int64))
-                packed.append(len(h).to_bytes(4, "big") + fp + address.to_bytes(8, "big"))
-                of.append(len(first))
-                if sum(of) > 50_000:
-                    yield rows_of(keys, packed, of)
-                    keys, packed, of = [], [], []
-            if of:
-                yield rows_of(keys, packed, of)
-
-    def rows_of(keys: list[np.ndarray], packed: list[bytes], of: list[int]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(packed, pa.binary()).take(pa.array(np.repeat(np.arange(len(of)), of)))], names=["key", "packed"])
+                key = (h[first] << np.uint64(SIZE_BITS)) | np.uint64(min(len(h), (1 << SIZE_BITS) - 1))
+                parts.append((key.view(np.int64), np.full(len(key), fp), np.full(len(key), address)))
+                held += len(key)
+                if held > 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], names=["key", "fp", "address"])
+                    parts, held = [], 0
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], names=["key", "fp", "address"])
 
     n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sets = sets.select("fp", "address").repartitionByRange(n, "address").sortWithinPartitions("address")  # read in the order of the files
-    rows = sets.mapInArrow(keyed, "key long, packed binary")
-    counted = sets.filter(F.pmod(F.xxhash64("address"), F.lit(COUNTED)) == 0).mapInArrow(keyed, "key long, packed binary")
-    crowded = counted.groupBy("key").agg((F.count("*") * COUNTED).alias("count")).filter(F.col("count") > CROWD)
-    crowded = materialize(crowded.select("key", F.ceil(F.col("count") / CROWD).cast("int").alias("pieces")), "crowded-shingles")
-    piece = F.pmod(F.xxhash64("packed"), F.col("pieces").cast("long")).cast("int")
-    dealt = rows.join(crowded, "key", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1))).withColumn("piece", piece)
+    layout, shingle = "key long, fp long, address long", F.shiftright("key", SIZE_BITS)
+    rows = sets.mapInArrow(keyed, layout).withColumn("shingle", shingle)
+    counted = sets.filter(F.pmod(F.xxhash64("address"), F.lit(COUNTED)) == 0).mapInArrow(keyed, layout)
+    crowded = counted.groupBy(shingle.alias("shingle")).agg((F.count("*") * COUNTED).alias("count")).filter(F.col("count") > CROWD)
+    crowded = materialize(crowded.select("shingle", F.ceil(F.col("count") / CROWD).cast("int").alias("pieces")), "crowded-shingles")
+    piece = F.pmod(F.xxhash64("address"), F.col("pieces").cast("long")).cast("int")
+    dealt = rows.join(crowded, "shingle", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1))).withColumn("piece", piece)
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    single = F.col("pieces") == 1
-    bucket = F.when(single, F.col("key")).otherwise(F.xxhash64("key", F.least("piece", "other"), F.greatest("piece", "other")).bitwiseOR(F.lit(-(2**63)).cast("long")))  # keys are below 2^48
-    dealt = dealt.select(bucket.alias("bucket"), "packed")
+    size = F.col("key").bitwiseAND((1 << SIZE_BITS) - 1)
+    # a pair of pieces shares its bucket with another shingle at worst: that only adds pairs to look at
+    of_pieces = F.shiftleft(F.xxhash64("shingle", F.least("piece", "other"), F.greatest("piece", "other")), SIZE_BITS).bitwiseOR(size)
+    dealt = dealt.select(F.when(F.col("pieces") == 1, F.col("key")).otherwise(of_pieces).alias("key"), "fp", "address")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, edges, held = SetReader(folder, similarity), [], None
 
         def links_of(bucket: np.ndarray, size: np.ndarray, words: np.ndarray) -> None:
             """Adds the links within each bucket; rows are in the order of bucket and size."""
-            fp, (address, at) = words[:, :lanes], np.unique(words[:, lanes], return_inverse=True)
+            fp, (address, at) = words[:, 0], np.unique(words[:, 1], return_inverse=True)
             label, address = np.arange(len(address)), address.tolist()
 
             def verify(k: int, others: np.ndarray) -> None:
@@ -402,7 +405,7 @@ def similar_links(sets: DataFrame, similarity: float, lanes: int, distance: int,
 
             def near(k: int, others: np.ndarray) -> np.ndarray:
                 others = others[label[at[others]] != label[at[k]]]
-                fits = (np.minimum(size[others], size[k]) >= similarity * np.maximum(size[others], size[k]) - 1e-9) & (np.bitwise_count(fp[others] ^ fp[k]).sum(axis=1) <= distance)
+                fits = (np.minimum(size[others], size[k]) >= similarity * np.maximum(size[others], size[k]) - 1e-9) & (np.bitwise_count(fp[others] ^ fp[k]) <= distance)
                 return others[fits]
 
             starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
@@ -413,7 +416,7 @@ def similar_links(sets: DataFrame, similarity: float, lanes: int, distance: int,
                 step += 1
                 live = live[live + step < len(bucket)]
                 live = live[(bucket[live] == bucket[live + step]) & (size[live] >= similarity * size[live + step] - 1e-9)]  # later ones are larger
-                for k in live[np.bitwise_count(fp[live] ^ fp[live + step]).sum(axis=1, dtype=np.int64) <= distance].tolist():
+                for k in live[np.bitwise_count(fp[live] ^ fp[live + step]) <= distance].tolist():
                     verify(k, np.array([k + step]))
             for start, length in zip(starts[lengths > LED].tolist(), lengths[lengths > LED].tolist()):
                 rows = np.arange(start, start + length)
@@ -425,22 +428,21 @@ def similar_links(sets: DataFrame, similarity: float, lanes: int, distance: int,
         for batch in batches:
             if not batch.num_rows:
                 continue
-            bucket = batch.column(0).to_numpy()
-            packed = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(-1, 12 + 8 * lanes)
-            size = np.ascontiguousarray(packed[:, :4]).view(">u4").ravel().astype(np.int64)
-            words = np.ascontiguousarray(packed[:, 4:]).view(">u8").astype(np.uint64)
+            key = batch.column(0).to_numpy()
+            bucket, size = key >> SIZE_BITS, key & ((1 << SIZE_BITS) - 1)
+            words = np.stack([batch.column(1).to_numpy(), batch.column(2).to_numpy()], axis=1).view(np.uint64)
             if held:
                 bucket, size, words = (np.concatenate([a, b]) for a, b in zip(held, (bucket, size, words)))
             last = np.searchsorted(bucket, bucket[-1])  # the last bucket may go on in the next batch
             links_of(bucket[:last], size[:last], words[:last])
             held = (bucket[last:], size[last:], words[last:])
             if len(edges) > HELD_LINKS:
-                yield from spanning(edges, lanes + 1)
+                yield from spanning(edges, 2)
         if held:
             links_of(*held)
-        yield from spanning(edges, lanes + 1)
+        yield from spanning(edges, 2)
 
-    return dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "packed").mapInArrow(compare, "a binary, b binary")
+    return dealt.repartition(n, shingle).sortWithinPartitions("key").mapInArrow(compare, "a binary, b binary")
 
 
 def components_of(distinct: DataFrame, key: str, links: DataFrame) -> DataFrame:
@@ -481,19 +483,19 @@ def simhash_components(
     return fp.join(of_fp, F.col("fp") == F.col("of")).select("doc_id", "fp", "component_id")
 
 
-def similar_components(docs: DataFrame, similarity: float, shingle: int = 5, lanes: int = 2, distance: int = 48, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def similar_components(docs: DataFrame, similarity: float, shingle: int = 5, distance: int = 27, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Groups documents whose sets of shingles reach a similarity (shared by all different ones), directly or through others.
 
     Returns doc_id and component_id as simhash_components does; texts without words form a group. All pairs are
     found (similar_links), and each is verified on the sets, so nothing below the similarity is linked.
     """
     folder = shared_dir(docs.sparkSession, "shingle-sets")
-    rows = materialize(shingle_sets(docs, shingle, lanes, folder, text, doc_id), "fingerprints")
+    rows = materialize(shingle_sets(docs, shingle, 1, folder, text, doc_id), "fingerprints")
     least = rows.groupBy("digest").agg(F.min("doc_id").alias("least"), F.min(F.struct("address", "fp")).alias("first"))
     address = F.unhex(F.lpad(F.hex("first.address"), 16, "0"))
     least = least.select("digest", "least", F.col("first.fp").alias("short"), F.col("first.address").alias("address"), F.concat("first.fp", address).alias("fp"))
     least = materialize(least, "distinct-sets")
-    links = materialize(similar_links(least.select(F.col("short").alias("fp"), "address"), similarity, lanes, distance, folder), "links")
+    links = materialize(similar_links(least.select(F.col("short").alias("fp"), "address"), similarity, distance, folder), "links")
     drop_dir(docs.sparkSession, folder)  # all pairs are judged
     of_set = components_of(least, "digest", links)
     return rows.join(of_set, F.col("digest") == F.col("of")).select("doc_id", "component_id")
