@@ -49,12 +49,14 @@ def outcome(amounts: list, cap: int) -> tuple[np.ndarray, np.ndarray]:
 def admitted(requests: DataFrame, keys: list[str], order: list[str], amount: str, cap: int, spent: DataFrame | None = None) -> DataFrame:
     """Adds admitted: whether a request fits in what its key's earlier admitted ones have left of the cap; those that don't fit are passed over.
 
-    A key's requests lie in runs, each a chunk of its own: chunks are summarised at once as what they take of any amount that is left (outcome), the
-    summaries are gone through in order, which tells what is left for each chunk, then chunks are replayed at once. Amounts are whole numbers; null and
-    negative ones are refused, zero is admitted. spent(*keys, spent): what keys have spent before.
+    A key's requests lie in runs. Where they lie in several, each run's part of them is a chunk: chunks are summarised at once as what they take of any amount that
+    is left (outcome), and the summaries are gone through in order, which tells what is left for each chunk. Then all runs are replayed at once, each with all
+    the keys in it. Amounts are whole numbers; null and negative ones are refused, zero is admitted. spent(*keys, spent): what keys have spent before.
     """
     runs = in_runs(requests.withColumn("__x", F.coalesce(F.col(amount).cast("long"), F.lit(-1))), keys, [F.col(c).asc_nulls_first() for c in order])
     columns, of_key = requests.columns, ", ".join(f"`{k}` {runs.schema[k].dataType.simpleString()}" for k in keys)
+    before = F.lit(0).cast("long") if spent is None else F.coalesce(F.col("s.spent").cast("long"), F.lit(0))
+    known = lambda frame: frame if spent is None else frame.alias("r").join(spent.alias("s"), same(keys, "r", "s"), "left")
 
     def summarise(key: tuple, chunk: pa.Table) -> pa.Table:
         starts, taken = outcome(chunk.sort_by("__at")["__x"].to_pylist(), cap)
@@ -62,28 +64,31 @@ def admitted(requests: DataFrame, keys: list[str], order: list[str], amount: str
 
     def go_through(key: tuple, chunks: pa.Table) -> pa.Table:
         chunks = chunks.sort_by("__run")
-        left, before = cap - (chunks["spent"][0].as_py() or 0), []
+        left, lefts = cap - chunks["__before"][0].as_py(), []
         for starts, taken in zip(chunks["starts"].to_pylist(), chunks["taken"].to_pylist()):
-            before.append(left)
+            lefts.append(left)
             left -= taken[np.searchsorted(starts, left, side="right") - 1] if left >= 0 else 0
-        return chunks.select([*keys, "__run"]).append_column("__left", pa.array(before, pa.int64()))
-
-    def replay(chunk: pa.Table) -> pa.Table:
-        chunk = chunk.sort_by("__at")
-        left, fits = chunk["__left"][0].as_py(), []
-        for x in chunk["__x"].to_pylist():
+        return chunks.select([*keys, "__run"]).append_column("__left", pa.array(lefts, pa.int64()))
+
+    def replay(run: pa.Table) -> pa.Table:
+        run = run.sort_by("__at")
+        fits, last, left = [], None, 0
+        for x, first, whole in zip(run["__x"].to_pylist(), run["__first"].to_pylist(), run["__left"].to_pylist()):
+            if first != last:  # another key begins
+                last, left = first, whole
             fits.append(0 <= x <= left)
             left -= x if fits[-1] else 0
-        return chunk.select(columns).append_column("admitted", pa.array(fits))
-
-    chunks = runs.groupBy(*keys, "__run").applyInArrow(summarise, f"{of_key}, __run int, starts array<long>, taken array<long>")
-    if spent is None:
-        chunks = chunks.withColumn("spent", F.lit(0).cast("long"))
-    else:
-        chunks = chunks.alias("r").join(spent.select(*keys, F.col("spent").cast("long").alias("spent")).alias("s"), same(keys, "r", "s"), "left").select("r.*", "s.spent")
-    left = stored(chunks.groupBy(*keys).applyInArrow(go_through, f"{of_key}, __run int, __left long"), "left-of-caps")
-    rows = with_summaries(runs, keys, left, ["__left"])
-    return rows.groupBy(*keys, "__run").applyInArrow(replay, frame_schema(requests, "admitted boolean"))
+        return run.select(columns).append_column("admitted", pa.array(fits, pa.bool_()))
+
+    of_run = runs.groupBy(*keys, "__run").agg(F.min("__at").alias("__first"))
+    split = of_run.groupBy(*keys).agg(F.count("*").alias("__runs")).filter("__runs > 1").drop("__runs")  # no more than there are runs
+    chunks = runs.alias("r").join(split.alias("s"), same(keys, "r", "s"), "left_semi").groupBy(*keys, "__run").applyInArrow(summarise, f"{of_key}, __run int, starts array<long>, taken array<long>")
+    chunks = known(chunks).select(*[F.col(f"r.{c}" if spent is not None else c) for c in chunks.columns], before.alias("__before"))
+    lefts = stored(chunks.groupBy(*keys).applyInArrow(go_through, f"{of_key}, __run int, __left long"), "left-of-caps")
+    of_run = known(of_run).select(*[F.col(f"r.{c}" if spent is not None else c) for c in of_run.columns], (cap - before).alias("__whole"))
+    of_run = of_run.alias("r").join(lefts.alias("s"), same([*keys, "__run"], "r", "s"), "left").select("r.*", F.coalesce("s.__left", "r.__whole").alias("__left"))
+    rows = with_summaries(runs, keys, of_run, ["__first", "__left"])
+    return rows.groupBy("__run").applyInArrow(replay, frame_schema(requests, "admitted boolean"))
 
 
 def frame_schema(frame: DataFrame, more: str) -> str:
