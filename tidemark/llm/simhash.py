@@ -341,7 +341,7 @@ def common_shingles(sets: DataFrame, folder: str) -> np.ndarray:
 
 
 def similar_links(sets: DataFrame, similarity: float, distance: int, folder: str) -> DataFrame:
-    """Links a > b (binary, fp and address) between sets(fp, address) of a folder of shingle_sets that reach a similarity; they span the components of all such pairs.
+    """Links a > b (addresses as eight bytes) between sets(fp, address) of a folder of shingle_sets that reach a similarity; they span the components of all such pairs.
 
     Two sets that reach it share one of the first shingles of both, in any order that is the same for all: of s shingles those that may be
     missed, a fifth at 0.8, and one more. Common shingles come last in that order, so those that share a passage and little else hardly
@@ -401,7 +401,7 @@ def similar_links(sets: DataFrame, similarity: float, distance: int, folder: str
                         if similar:
                             label[label == max(a, b)] = min(a, b)
                             if anew:
-                                edges.append((words[[k]], words[[j]]))
+                                edges.append((words[[k], 1:], words[[j], 1:]))
 
             def near(k: int, others: np.ndarray) -> np.ndarray:
                 others = others[label[at[others]] != label[at[k]]]
@@ -437,10 +437,10 @@ def similar_links(sets: DataFrame, similarity: float, distance: int, folder: str
             links_of(bucket[:last], size[:last], words[:last])
             held = (bucket[last:], size[last:], words[last:])
             if len(edges) > HELD_LINKS:
-                yield from spanning(edges, 2)
+                yield from spanning(edges, 1)
         if held:
             links_of(*held)
-        yield from spanning(edges, 2)
+        yield from spanning(edges, 1)
 
     return dealt.repartition(n, shingle).sortWithinPartitions("key").mapInArrow(compare, "a binary, b binary")
 
@@ -492,9 +492,8 @@ def similar_components(docs: DataFrame, similarity: float, shingle: int = 5, dis
     folder = shared_dir(docs.sparkSession, "shingle-sets")
     rows = materialize(shingle_sets(docs, shingle, 1, folder, text, doc_id), "fingerprints")
     least = rows.groupBy("digest").agg(F.min("doc_id").alias("least"), F.min(F.struct("address", "fp")).alias("first"))
-    address = F.unhex(F.lpad(F.hex("first.address"), 16, "0"))
-    least = least.select("digest", "least", F.col("first.fp").alias("short"), F.col("first.address").alias("address"), F.concat("first.fp", address).alias("fp"))
-    least = materialize(least, "distinct-sets")
+    least = least.select("digest", "least", F.col("first.fp").alias("short"), F.col("first.address").alias("address"))
+    least = materialize(least.withColumn("fp", F.unhex(F.lpad(F.hex("address"), 16, "0"))), "distinct-sets")  # sets go by their address from here on
     links = materialize(similar_links(least.select(F.col("short").alias("fp"), "address"), similarity, distance, folder), "links")
     drop_dir(docs.sparkSession, folder)  # all pairs are judged
     of_set = components_of(least, "digest", links)
