@@ -316,10 +316,10 @@ def near_links(fps: DataFrame, lanes: int, distance: int, bands: list[list[int]]
     return dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "packed").mapInArrow(compare, "a binary, b binary")
 
 
-def common_shingles(sets: DataFrame, folder: str) -> np.ndarray:
-    """A level for each cell of hashed shingles, above 0 where one in COUNTED of sets(address) hold several times as many as on average.
+def common_shingles(sets: DataFrame, folder: str) -> tuple[np.ndarray, np.ndarray]:
+    """Cells of hashed shingles and their level from 1: those of which one in COUNTED of sets(address) hold several times as many as on average.
 
-    Counted over the distinct sets; only the cells above 0 leave the tasks. It tells which shingles are met last and nothing
+    Counted over the distinct sets; only such cells leave the tasks. It tells which shingles are met last and nothing
     else, so no pair depends on it.
     """
 
@@ -335,9 +335,7 @@ def common_shingles(sets: DataFrame, folder: str) -> np.ndarray:
     cells = materialize(cells.groupBy("cell").agg(F.sum("n").alias("n")), "shingle-cells")
     most = 8 + 4 * (cells.agg(F.sum("n")).first()[0] or 0) / CELLS
     hot = cells.filter(F.col("n") > most).toArrow()  # a quarter of CELLS at most
-    level = np.zeros(CELLS, dtype=np.uint8)
-    level[hot["cell"].to_numpy()] = 1 + np.log2(hot["n"].to_numpy() / most).astype(np.uint8)
-    return level
+    return hot["cell"].to_numpy().astype(np.int32), 1 + np.log2(hot["n"].to_numpy() / most).astype(np.uint8)
 
 
 def similar_links(sets: DataFrame, similarity: float, distance: int, folder: str) -> DataFrame:
@@ -349,10 +347,11 @@ def similar_links(sets: DataFrame, similarity: float, distance: int, folder: str
     at most `distance` bits, which leaves out none at a distance of five or six deviations, and verified; pairs connected already are passed over.
     A row is three numbers: its shingle with the set's size in the low bits, the fingerprint of one lane, and the address.
     """
-    level = common_shingles(sets, folder)
+    cells, levels = common_shingles(sets, folder)  # few as a rule
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = SetReader(folder, similarity)
+        reader, level = SetReader(folder, similarity), np.zeros(CELLS, dtype=np.uint8)
+        level[cells] = levels
         for batch in batches:
             parts, held = [], 0
             fps = np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=">i8").tolist()
