@@ -15,6 +15,8 @@ from tidemark.llm.toxicity import fit_toxicity, score_toxicity
 
 #: Least similarity of near-duplicates: five-word shingles that two texts share, of all different ones of both.
 SIMILARITY = 0.8
+#: Hashes of rows, of eight bytes each, that are broadcast at most.
+BROADCAST_ROWS = 2_000_000
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +43,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     members = groups.groupBy(F.col("doc_id").alias("__of"), "component_id").agg(F.count("*").alias("__rows"))
     members = members.filter("__of <> component_id OR __rows > 1").select("__of", (F.col("__of") == F.col("component_id")).alias("__repeated"))
     members = materialize(members, "repeated-or-dropped")
-    once = keyed.join(members, F.col("__key") == F.col("__of"), "left_anti").select(*docs.columns)  # members are few, as a rule few enough to be broadcast
+    if members.count() <= BROADCAST_ROWS:  # texts that no listed row can equal stay where they are; only the others are shuffled to be told by their whole keys
+        listed = F.broadcast(members.select(F.col("__of.row").alias("__listed")).distinct())
+        met = lambda how: keyed.join(listed, F.col("__key.row") == F.col("__listed"), how)
+        once = met("left_anti").unionByName(met("left_semi").join(members, F.col("__key") == F.col("__of"), "left_anti"))
+    else:
+        once = keyed.join(members, F.col("__key") == F.col("__of"), "left_anti")
+    once = once.select(*docs.columns)
     if not members.filter("__repeated").limit(1).count():
         return once
     equal = keyed.join(members.filter("__repeated"), F.col("__key") == F.col("__of"), "left_semi")
