@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from html.parser import HTMLParser
 
+from tests.oracle import connect, difference
+from tidemark.plans import registry, web
 from tidemark.sources.captures import capture_of, captures, tags
 
 AT = "https://site.org/a/page?x=1"
@@ -72,3 +74,14 @@ def test_links_are_bounded_and_told_apart(spark):
     assert [len(got[1].links), len(got[1].pdf_links), len(got[2].links)] == [80, 40, 0]
     assert got[1].links[0].asDict() == {"url": "https://site.org/p0", "title": "t0"} and got[1].pdf_links[1].title == "t1"
     assert captures(rows.limit(0), "id").count() == 0
+
+
+def test_references_without_a_semicolon(spark, tmp_path):
+    """Query and SQL decode them alike: a title that was cut inside of one ends so."""
+    pages = ["<title>a &amp b&amp</title><article><h1>x&amp</h1><p>Ly &lt 1&gt &quot;q&quot &amp;lt; &ampx; &#39;</p></article>", "<title>&ltb&gt;</title>&amp"]
+    rows = [(k, f"https://x.org/{k}", html) for k, html in enumerate(pages)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/p")
+    next((tmp_path / "p").glob("*.parquet")).rename(tmp_path / "pages.parquet")
+    expected = connect(str(tmp_path)).execute(registry.ORACLE_SQL["captured_pages"]).to_arrow_table()
+    assert not difference(web.captured_pages(spark, str(tmp_path)).toArrow(), expected)
+    assert sorted(expected["title"].to_pylist()) == ["<b>", "a & b&"]

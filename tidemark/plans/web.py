@@ -175,10 +175,10 @@ def state_stage_order(spark, sf_dir):
 
 @query("""WITH c AS (SELECT page_id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->|<script>.*?</script>|<style>.*?</style>', '', 'g'), '<title>[^<]*</title>', '') AS shown FROM pages),
     t AS (SELECT *, CASE WHEN contains(shown, '<article>') THEN regexp_extract(shown, '(?s)<article>(.*?)(?:</article>|$)', 1) ELSE shown END AS part, regexp_extract_all(shown, '<a href="([^"]*)"', 1) AS hrefs FROM c)
-    SELECT page_id, replace(replace(replace(replace(trim(title), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS title, len(list_distinct([lower(x) for x in hrefs]))::INTEGER AS links, url AS canonical,
-      len(trim(regexp_replace(regexp_replace(regexp_replace(part, '<[^>]*>', '', 'g'), '&[#a-z0-9]+;', '&', 'g'), '\\s+', ' ', 'g')))::INTEGER AS n_chars FROM t""")
+    SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(title), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g') AS title, len(list_distinct([lower(x) for x in hrefs]))::INTEGER AS links, url AS canonical,
+      len(trim(regexp_replace(regexp_replace(regexp_replace(part, '<[^>]*>', '', 'g'), '&(?:amp|lt|gt|quot);?|&[#a-z0-9]+;', '&', 'g'), '\\s+', ' ', 'g')))::INTEGER AS n_chars FROM t""")
 def captured_pages(spark, sf_dir):
-    """Title, links by address, canonical address and length of the text of all pages, from their tags."""
+    """Title, links by address, canonical address and length of the text of all pages, from their tags. &amp, &lt, &gt and &quot count without a semicolon too, as in HTML."""
     rows = captures(tables.table(spark, sf_dir, "pages", "page_id", "url", "html"), "page_id")
     return rows.select("page_id", "title", F.size("links").alias("links"), "canonical", F.length("text").alias("n_chars"))
 
