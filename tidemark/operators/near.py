@@ -146,33 +146,41 @@ def best_weighted(requests: DataFrame, awards: DataFrame, request: str, award: s
 
     A feature (a value of a part) adds at most its part's weight over the request's own number of values. Features of a request are looked up from the rarest
     among the awards; the rarest one's awards tell a score that the best reaches at least, and looking up stops where all features
-    that are left can't add up to it. So a host or word of very many awards is met only by requests that nothing else decides.
+    that are left can't add up to it. So a host or word of very many awards is met only by requests that nothing else decides. With others_only a feature that
+    no other row has counts for nothing. Pairs add up what the features looked up say, as numbers; whole sets are joined only to those that could
+    still be the best with all that is left.
     """
     features = lambda frame, id: frame.select(id, F.explode(F.array(*[F.struct(F.lit(p).alias("part"), F.array_distinct(F.coalesce(p, F.array())).alias("values")) for p in parts])).alias("f")).select(
         id, F.col("f.part").alias("part"), F.size("f.values").alias("own"), F.explode("f.values").alias("value")
     )
-    postings = stored(features(awards, award).select("part", "value", award), "postings")
-    often = postings.groupBy("part", "value").agg(F.count("*").alias("often"))
+    postings = stored(features(awards, award).select("part", "value", F.col("own").alias("size"), award), "postings")
+    often = postings.groupBy("part", "value").agg(F.count("*").alias("often"), F.min(award).alias("one"))
     weight = F.create_map(*[F.lit(x) for p, w in parts.items() for x in (p, float(w))])
     asked = features(requests, request).join(often, ["part", "value"]).withColumn("most", weight[F.col("part")] / F.col("own"))
-    ordered = asked.groupBy(request).agg(F.array_sort(F.collect_list(F.struct("often", "part", "value", "most"))).alias("f"))  # one request's features
+    asked = asked.filter((F.col("often") > 1) | (F.col("one") != F.col(request))) if others_only else asked
+    ordered = asked.groupBy(request).agg(F.array_sort(F.collect_list(F.struct("often", "part", "value", "most", "own"))).alias("f"))  # one request's features
     # what a feature and all after it can add
     tail = F.transform("f", lambda _, k: F.aggregate(F.slice("f", k + 1, F.size("f")), F.lit(0.0), lambda a, x: a + x["most"]))
-    ordered = stored(ordered.select(request, F.transform(F.arrays_zip(F.col("f"), tail.alias("tail")), lambda x: F.struct(x["f"]["part"].alias("part"), x["f"]["value"].alias("value"), x["tail"].alias("tail"))).alias("f")), "requests")
+    ordered = stored(ordered.select(request, F.transform(F.arrays_zip(F.col("f"), tail.alias("tail")), lambda x: F.struct(x["f"]["part"].alias("part"), x["f"]["value"].alias("value"), x["f"]["own"].alias("own"), x["tail"].alias("tail"))).alias("f")), "requests")
 
     def scored(probes: DataFrame) -> DataFrame:
-        pairs = probes.join(postings, ["part", "value"]).select(request, award)
-        pairs = (pairs.filter(F.col(request) != F.col(award)) if others_only else pairs).distinct()
+        """Scores of the pairs that meet on the probes and could reach needed, what the looked-up features must add up to."""
+        said = weight[F.col("part")] / F.greatest("own", "size")
+        pairs = probes.join(postings, ["part", "value"]).select(request, award, "needed", said.alias("said"))
+        pairs = pairs.filter(F.col(request) != F.col(award)) if others_only else pairs
+        pairs = pairs.groupBy(request, award).agg(F.sum("said").alias("said"), F.max("needed").alias("needed")).filter("said >= needed").select(request, award)
         both = pairs.join(requests.select(request, *[F.array_distinct(F.coalesce(p, F.array())).alias(f"__a_{p}") for p in parts]), request)
         both = both.join(awards.select(award, *[F.array_distinct(F.coalesce(p, F.array())).alias(f"__b_{p}") for p in parts]), award)
         larger = lambda p: F.greatest(F.size(f"__a_{p}"), F.size(f"__b_{p}"))
         total = sum((F.when(larger(p) > 0, w * F.size(F.array_intersect(f"__a_{p}", f"__b_{p}")) / larger(p)).otherwise(0.0) for p, w in parts.items()), F.lit(0.0))
         return both.select(request, award, F.round(total, 9).alias("score"))
 
-    first = scored(ordered.select(request, F.explode(F.slice("f", 1, 1)).alias("f")).select(request, "f.part", "f.value"))
+    first = scored(ordered.select(request, F.explode(F.slice("f", 1, 1)).alias("f")).select(request, "f.part", "f.value", "f.own", F.lit(0.0).alias("needed")))
     known = first.groupBy(request).agg(F.max("score").alias("known"))
     bounded = ordered.join(known, request, "left").withColumn("bound", F.greatest(F.lit(float(least)), F.coalesce("known", F.lit(0.0))) - 1e-8)
-    probes = bounded.select(request, F.explode(F.filter("f", lambda x: x["tail"] >= F.col("bound"))).alias("f")).select(request, "f.part", "f.value")
+    left = F.coalesce(F.array_max(F.transform(F.filter("f", lambda x: x["tail"] < F.col("bound")), lambda x: x["tail"])), F.lit(0.0))  # what features not looked up can add
+    probes = bounded.withColumn("needed", F.col("bound") - left - 1e-8)
+    probes = probes.select(request, "needed", F.explode(F.filter("f", lambda x: x["tail"] >= F.col("bound"))).alias("f")).select(request, "f.part", "f.value", "f.own", "needed")
     best = scored(probes).filter(F.col("score") >= least).groupBy(request).agg(F.max_by(F.struct(award, "score"), F.struct("score", -F.col(award))).alias("__best"))
     return best.select(request, F.col(f"__best.{award}").alias(award), F.col("__best.score").alias("score"))
 
