@@ -373,7 +373,7 @@ def similar_links(sets: DataFrame, similarity: float, distance: int, folder: str
     at most `distance` bits, which leaves out none at a distance of five or six deviations, and verified; pairs connected already are passed over.
     A row is three numbers: its shingle with the set's size in the low bits, the fingerprint of one lane, and the address.
     Pairs are written first and verified once each, in however many buckets and tasks they have met; only a large bucket's sets are
-    verified against one of them there, so that a group of near copies isn't written as all its pairs.
+    verified there, so that a group of near copies isn't written as all its pairs.
     """
     cells, levels = common_shingles(sets, folder)  # few as a rule
 
@@ -428,7 +428,7 @@ def similar_links(sets: DataFrame, similarity: float, distance: int, folder: str
                 yield pa.RecordBatch.from_arrays([*ends, pa.array(np.zeros(len(once), dtype=bool))], names=["a", "b", "known"])
 
         def links_of(bucket: np.ndarray, size: np.ndarray, words: np.ndarray) -> None:
-            """Adds the links to the leader of each large bucket, and the pairs that are still to be verified; rows are in the order of bucket and size."""
+            """Adds the links within each large bucket, and the pairs of small ones; rows are in the order of bucket and size."""
             fp, (address, at) = words[:, 0], np.unique(words[:, 1], return_inverse=True)
             label, address = np.arange(len(address)), address.tolist()
 
@@ -467,8 +467,7 @@ def similar_links(sets: DataFrame, similarity: float, distance: int, folder: str
                 leader = start + length // 2
                 verify(leader, near(leader, rows))  # a group of near copies is joined here; only what isn't goes on
                 for k in rows[label[at[rows]] != label[at[leader]]].tolist():
-                    others = near(k, rows)
-                    met_by(np.full(len(others), k), others)
+                    verify(k, near(k, rows))
 
         for batch in batches:
             if not batch.num_rows:
