@@ -46,6 +46,27 @@ def test_near_duplicates_of_little(spark):
     assert sorted((str(r.scope), r.t, r.key) for r in out) == [("None", 1, "x"), ("None", 2, "y"), ("a", 1, "x")]
 
 
+def test_near_duplicates_neither_broadcast_nor_round_by_scope(spark, monkeypatch):
+    """Frames that grow with the changes are joined by shuffles (groups meet one row a run), and rounds don't grow with the number of scopes."""
+    told: list = []
+    keep, settle = near.stored, near.first_independent
+
+    def noting(frame, name):
+        told.append((name, frame._jdf.queryExecution().executedPlan().toString()))
+        return keep(frame, name)
+
+    monkeypatch.setattr(near, "stored", noting)
+    monkeypatch.setattr(near, "first_independent", lambda links: settle(links, run=64))
+    words = [f"word{k:02d}" for k in range(16)]
+    rows = [(f"s{k}", t, f"{k} {t}", words[: 12 + t % 4], []) for t in range(16) for k in range(40)]
+    frame = spark.createDataFrame(rows, "scope string, t int, key string, words array<string>, concepts array<string>")
+    found = near.without_near_duplicates(frame, ["scope"], ["t"], "key", "words", "concepts")
+    assert sorted((r.scope, r.t) for r in found.collect()) == sorted((f"s{k}", 0) for k in range(40))
+    plans = [plan for name, plan in told if name != "groups"] + [found._jdf.queryExecution().executedPlan().toString()]
+    assert not [plan for plan in plans if "BroadcastHashJoin" in plan or "BroadcastNestedLoopJoin" in plan]
+    assert [name for name, _ in told].count("settled") <= 2
+
+
 def test_budget_admission(spark):
     out = flows.budget_admission(spark, DATA).collect()
     events = {r.event_id: r.ts for r in spark.read.parquet(f"{DATA}/events.parquet").collect()}

@@ -35,13 +35,18 @@ def alike(own: str, other: str, own_concepts: str, other_concepts: str) -> Colum
     return in_concept | (both >= ALIKE[0]) & (both >= ALIKE[1] * smaller) & (both >= ALIKE[2] * every)
 
 
+def unsent(frame: DataFrame) -> DataFrame:
+    """A frame that grows with the input and is joined by a shuffle, never broadcast: words that repeat much make its files far smaller than its rows, which the driver would gather."""
+    return frame.hint("merge")
+
+
 def rarest_first(sets: DataFrame, keys: list[str], id: str, words: str) -> DataFrame:
     """Sets with their words in an array ordered from the rarest of the key, ties by the word."""
     rows = sets.select(*keys, id, F.explode(words).alias("__word"))
     often = rows.groupBy(*keys, "__word").agg(F.count("*").alias("__often"))
-    joined = rows.alias("r").join(often.alias("s"), same([*keys, "__word"], "r", "s"))
+    joined = rows.alias("r").join(unsent(often).alias("s"), same([*keys, "__word"], "r", "s"))
     ordered = joined.groupBy(F.col(f"r.{id}").alias(id)).agg(F.array_sort(F.collect_list(F.struct("__often", "r.__word"))).alias("__words"))  # one set's words
-    return sets.drop(words).join(ordered.select(id, F.transform("__words", lambda w: w["__word"]).alias(words)), id)
+    return sets.drop(words).join(unsent(ordered.select(id, F.transform("__words", lambda w: w["__word"]).alias(words))), id)
 
 
 def earlier_alike(sets: DataFrame, scope: list[str], place: str, words: str, concepts: str) -> DataFrame:
@@ -57,7 +62,7 @@ def earlier_alike(sets: DataFrame, scope: list[str], place: str, words: str, con
     small = sets.select(*scope, F.col(place).alias("a"), F.col(words).alias("wa"), F.col(concepts).alias("ca"), first.alias("fa"), F.explode(first).alias("__word"))
     large = sets.select(*scope, F.col(place).alias("b"), F.col(words).alias("wb"), F.col(concepts).alias("cb"), F.explode(words).alias("__word"))
     on = same([*scope, "__word"], "s", "l") & ((F.size("wa") < F.size("wb")) | (F.size("wa") == F.size("wb")) & (F.col("a") < F.col("b")))
-    met = small.alias("s").join(large.alias("l"), on).filter(F.get(F.array_intersect("fa", "wb"), F.lit(0)) == F.col("s.__word"))
+    met = small.alias("s").join(unsent(large).alias("l"), on).filter(F.get(F.array_intersect("fa", "wb"), F.lit(0)) == F.col("s.__word"))
     return met.filter(alike("wa", "wb", "ca", "cb")).select(F.greatest("a", "b").alias("later"), F.least("a", "b").alias("earlier"))
 
 
@@ -65,29 +70,30 @@ def first_independent(links: DataFrame, run: int = 20_000, most_rounds: int = 1_
     """later and kept for every row that has links(later, earlier) to earlier ones: a row is kept unless an earlier kept one is linked to it.
 
     Rows with no earlier link are kept. Runs of places are gone through at once, each in a task and in order, as far as what they ask about is settled; the
-    next round knows what this one has settled. Every round settles the first run that is open, and all that hang on settled rows only.
+    next round knows what this one has settled. Every round settles the first run that is open, and all that hang on settled rows only, so
+    places that are linked should lie close together.
     """
 
     def settle(frame: pd.DataFrame) -> pd.DataFrame:
         known: dict[int, bool | None] = {}
-        for later, links in frame.sort_values(["later", "earlier"]).groupby("later", sort=True):
-            states = [known.get(e) if e in known else k for e, k in zip(links["earlier"], links["kept"])]
-            states = [None if k is None or pd.isna(k) else bool(k) for k in states]
-            known[later] = False if True in states else None if None in states else True
+        frame = frame.sort_values("later")  # so all links of an earlier one of this run have been gone through
+        for later, earlier, kept in zip(frame["later"].tolist(), frame["earlier"].tolist(), frame["kept"].astype("boolean").tolist()):
+            state, own = known.get(earlier, None if pd.isna(kept) else kept), known.get(later, True)
+            known[later] = False if state or own is False else None if state is None or own is None else True
         return pd.DataFrame({"later": list(known), "kept": pd.array(list(known.values()), dtype="boolean")})
 
     links = stored(links.distinct(), "links")
     followers = links.select(F.col("later").alias("l")).distinct()
-    first = links.join(followers, F.col("earlier") == F.col("l"), "left")  # those that hang on nothing are kept
+    first = links.join(unsent(followers), F.col("earlier") == F.col("l"), "left")  # those that hang on nothing are kept
     open_links = stored(first.select("later", "earlier", F.when(F.col("l").isNull(), F.lit(True)).alias("kept")), "open-links")
     done = None
     for _ in range(most_rounds):
         now = open_links.groupBy(F.floor(F.col("later") / run).alias("run")).applyInPandas(settle, "later long, kept boolean")
         now = stored(now.filter("kept IS NOT NULL"), "settled")
         done = now if done is None else done.unionByName(now)
-        rest = open_links.join(now.select(F.col("later").alias("l")), F.col("later") == F.col("l"), "left_anti")
+        rest = open_links.join(unsent(now.select(F.col("later").alias("l"))), F.col("later") == F.col("l"), "left_anti")
         told = now.select(F.col("later").alias("e"), F.col("kept").alias("k"))
-        rest = rest.join(told, F.col("earlier") == F.col("e"), "left").select("later", "earlier", F.coalesce("kept", "k").alias("kept"))
+        rest = rest.join(unsent(told), F.col("earlier") == F.col("e"), "left").select("later", "earlier", F.coalesce("kept", "k").alias("kept"))
         open_links = stored(rest, "open-links")
         if open_links.isEmpty():
             return done
@@ -98,7 +104,8 @@ def without_near_duplicates(changes: DataFrame, scope: list[str], order: list[st
     """Changes without those that an earlier kept one of their scope tells already: an equal key, or words alike.
 
     Equal keys go first, by an aggregate, and rows of equal words and concepts then stand or fall together: an earlier kept row that is alike one of them is alike all.
-    Of these groups, pairs that are alike are found through rare words, and settled in order in rounds; no scope is met in one task.
+    Of these groups, pairs that are alike are found through rare words, and settled in order in rounds; no scope is met in one task. A scope's groups have
+    places next to each other, so rounds are as many as the largest scope's runs and don't grow with the number of scopes.
     Null keys go, as do null scopes' partners: nulls are a scope. order holds no nulls and tells rows of a scope apart.
     """
     rest = [c for c in changes.columns if c not in (*scope, key)]
@@ -106,13 +113,13 @@ def without_near_duplicates(changes: DataFrame, scope: list[str], order: list[st
     once = stored(once.select(*scope, key, *[F.col(f"__row.{c}").alias(c) for c in rest]).withColumns({"__w": F.array_sort(F.array_distinct(words)), "__c": F.array_sort(F.array_distinct(concepts))}), "changes")
     telling = (F.size("__w") >= 8) | (F.size("__w") >= 4) & (F.size("__c") > 0)
     groups = once.filter(telling).groupBy(*scope, "__w", "__c").agg(F.min(F.struct(*order)).alias("__began"))
-    groups = stored(ranked(groups, [], [F.col("__began").asc(), *[F.col(c).asc_nulls_first() for c in scope], F.col("__w").asc(), F.col("__c").asc()], "__place"), "groups")
+    groups = stored(ranked(groups, [], [*[F.col(c).asc_nulls_first() for c in scope], F.col("__began").asc(), F.col("__w").asc(), F.col("__c").asc()], "__place"), "groups")
     links = earlier_alike(groups.select(*scope, "__place", "__w", "__c"), scope, "__place", "__w", "__c")
     dropped = first_independent(links).filter("NOT kept").select(F.col("later").alias("__place"))
-    dropped = groups.join(dropped, "__place").select(*scope, "__w", "__c", F.lit(True).alias("__dropped"))
+    dropped = groups.join(unsent(dropped), "__place").select(*scope, "__w", "__c", F.lit(True).alias("__dropped"))
     repeats = groups.filter(alike("__w", "__w", "__c", "__c")).select(*scope, "__w", "__c", "__began")  # only their first row tells something new
-    rows = once.alias("r").join(dropped.alias("s"), same([*scope, "__w", "__c"], "r", "s"), "left_anti").select("r.*")
-    rows = rows.alias("r").join(repeats.alias("s"), same([*scope, "__w", "__c"], "r", "s"), "left").select("r.*", "s.__began")
+    rows = once.alias("r").join(unsent(dropped).alias("s"), same([*scope, "__w", "__c"], "r", "s"), "left_anti").select("r.*")
+    rows = rows.alias("r").join(unsent(repeats).alias("s"), same([*scope, "__w", "__c"], "r", "s"), "left").select("r.*", "s.__began")
     return rows.filter(F.col("__began").isNull() | (F.col("__began") == F.struct(*order))).select(*scope, key, *rest)
 
 
