@@ -26,3 +26,9 @@ def test_agrees_with_sql(spark, duck, name):
 
 def test_all_others_are_tested_elsewhere():
     assert set(registry.QUERIES) - set(registry.ORACLE_SQL) == set(WITHOUT_SQL)
+
+
+def test_candidates_are_judged_once(spark):
+    """The verdict isn't pushed into a filter, which would repeat what it is made of for each row."""
+    plan = registry.QUERIES["page_audit_rollup"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.split("\n") if "Filter " in line and "regexp_replace" in line]

@@ -224,6 +224,10 @@ def may_give(field: Column, page_type: Column, relevance: Column, source_text: C
     return (identity >= 0.35) & ~source_text.rlike(P.GENERIC_SOURCE) & fits
 
 
+#: What candidate_verdict finds wrong with a candidate.
+CANDIDATE_FAULTS = ["empty_value", "sibling_program_identity_mismatch", "field_not_allowed_for_source_role", "missing_exact_evidence"]
+
+
 def candidate_verdict(value: Column, evidence: Column, field: Column, allowed: Column, identity: Column) -> Column:
     """struct(allowed, reason) of a candidate fact: empty, wrong source, no evidence or accepted."""
     reason = first_rule([

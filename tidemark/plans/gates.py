@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from tidemark.functions import patterns as P
 from tidemark.operators import gates as G
 from tidemark.operators import rollups
+from tidemark.operators.runs import same
 from tidemark.sources import tables
+from tidemark.sources.scratch import stored
 
 from .registry import query
 from .web import HOST as HOST_OF_URL
@@ -337,9 +339,12 @@ def candidates_sql() -> str:
 
 
 def candidates(spark, sf_dir):
+    """Candidate facts with identity and fits. Each different pair of a name and a source is judged once, and met by its candidates."""
     lines = tables.table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").selectExpr(*CANDIDATE_COLUMNS)
-    seen = F.coalesce("seen", F.lit(""))
-    scored = lines.withColumn("identity", G.identity_score(F.col("name"), seen, F.col("relevance"), F.col("home")))
+    about, seen = ["name", "seen", "relevance", "home"], F.coalesce("seen", F.lit(""))
+    judged = lines.select(*about).distinct().withColumn("identity", G.identity_score(F.col("name"), seen, F.col("relevance"), F.col("home")))
+    judged = stored(judged, "judged-sources")  # few as a rule: with their size known, the candidates needn't be shuffled to meet them
+    scored = lines.alias("l").join(judged.alias("j"), same(about, "l", "j")).select("l.*", "j.identity")
     return scored.withColumn("fits", G.may_give(F.col("field"), F.col("page_type"), F.col("relevance"), seen, F.col("identity")))
 
 
