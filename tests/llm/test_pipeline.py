@@ -87,6 +87,37 @@ def test_a_shared_passage_crowds_no_bucket(spark, monkeypatch):
     assert written["crowded-shingles"] == 0 and written["links"] == 0
 
 
+def test_pairs_are_passed_on_once(spark, monkeypatch):
+    """Texts that share half of their words meet in many tasks; what these pass on hardly grows with their number."""
+    written: dict = {}
+    keep = simhash.materialize
+
+    def noting(frame, name):
+        written[name] = keep(frame, name)
+        return written[name]
+
+    monkeypatch.setattr(simhash, "materialize", noting)
+    rng = np.random.default_rng(5)
+    rows = []
+    for _ in range(60):
+        base = [f"w{k}" for k in rng.integers(0, 10**6, 400)]
+        for _ in range(5):
+            cut = int(rng.integers(0, 270))
+            rows.append((len(rows), " ".join(base[:cut] + [f"v{k}" for k in rng.integers(0, 10**6, 130)] + base[cut + 130 :])))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    passed: dict = {}
+    for tasks in (2, 16):
+        spark.conf.set("spark.sql.shuffle.partitions", tasks)
+        try:
+            got = {r.doc_id: r.component_id for r in simhash.similar_components(frame, 0.8).collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 8)
+        assert set(got.values()) == first_of_groups(rows)
+        pairs = written["met-pairs"].filter("NOT known").select("a", "b")
+        passed[tasks] = pairs.count(), pairs.distinct().count()
+    assert passed[16][0] <= 3.5 * passed[16][1] and passed[16][1] > 200
+
+
 CLASH = "doc_id long, text string, source string, toxicity string, copies int, n_tokens string"
 
 
