@@ -118,6 +118,23 @@ def test_pairs_are_passed_on_once(spark, monkeypatch):
     assert passed[16][0] <= 3.5 * passed[16][1] and passed[16][1] > 200
 
 
+def test_pivots_discard_sets_before_they_are_intersected(spark, tmp_path, monkeypatch):
+    """Sets too far from each other by their distances to the pivots aren't intersected; no similar pair is discarded."""
+    rng = np.random.default_rng(8)
+    rows = edited(rng, 150, 300)
+    folder = f"file://{tmp_path}/sets"
+    sets = simhash.shingle_sets(spark.createDataFrame(rows, "doc_id long, text string"), 5, 1, folder).collect()
+    address, texts = {r.doc_id: r.address for r in sets}, dict(rows)
+    reader, met, intersect = simhash.SetReader(folder, 0.8), [], np.intersect1d
+    monkeypatch.setattr(simhash.np, "intersect1d", lambda *a, **b: met.append(1) or intersect(*a, **b))
+    ids = [k for k, t in rows if len((t or "").split()) > 30][:140]
+    pairs = [(a, b) for a in ids for b in ids if a < b]
+    own = {k: shingles(texts[k]) for k in ids}
+    near = [5 * len(own[a] & own[b]) >= 4 * len(own[a] | own[b]) for a, b in pairs]
+    assert [reader.similar(address[a], address[b])[0] for a, b in pairs] == near
+    assert 20 < sum(near) <= len(met) < 0.2 * len(pairs)
+
+
 CLASH = "doc_id long, text string, source string, toxicity string, copies int, n_tokens string"
 
 
