@@ -85,3 +85,16 @@ def test_references_without_a_semicolon(spark, tmp_path):
     expected = connect(str(tmp_path)).execute(registry.ORACLE_SQL["captured_pages"]).to_arrow_table()
     assert not difference(web.captured_pages(spark, str(tmp_path)).toArrow(), expected)
     assert sorted(expected["title"].to_pylist()) == ["<b>", "a & b&"]
+
+
+def test_every_link_counts(spark, tmp_path):
+    """Links beyond the short lists are counted too, PDF links among them, as SQL does; a page of very many takes no time that grows with their square."""
+    page = lambda n: "<title>t</title>" + "".join(f'<a href="/p{k % n}{".pdf" if k % n % 3 == 0 else ""}">t{k}</a>' for k in range(2 * n))
+    rows = spark.createDataFrame([(k, f"https://x.org/{k}", page(n)) for k, n in enumerate((1, 200, 30_000))], "page_id long, url string, html string")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/p")
+    next((tmp_path / "p").glob("*.parquet")).rename(tmp_path / "pages.parquet")
+    expected = connect(str(tmp_path)).execute(registry.ORACLE_SQL["captured_pages"]).to_arrow_table()
+    assert not difference(web.captured_pages(spark, str(tmp_path)).toArrow(), expected)
+    assert sorted(expected["links"].to_pylist()) == [1, 200, 30_000]
+    links = captures(rows.filter("page_id = 1"), "page_id").first().all_links
+    assert [(x.url, x.title, x.pdf) for x in links] == [(f"https://x.org/p{k}{'.pdf' if k % 3 == 0 else ''}", f"t{k}", k % 3 == 0) for k in range(200)]

@@ -178,9 +178,9 @@ def state_stage_order(spark, sf_dir):
     SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(title), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g') AS title, len(list_distinct([lower(x) for x in hrefs]))::INTEGER AS links, url AS canonical,
       len(trim(regexp_replace(regexp_replace(regexp_replace(part, '<[^>]*>', '', 'g'), '&(?:amp|lt|gt|quot);?|&[#a-z0-9]+;', '&', 'g'), '\\s+', ' ', 'g')))::INTEGER AS n_chars FROM t""")
 def captured_pages(spark, sf_dir):
-    """Title, links by address, canonical address and length of the text of all pages, from their tags. &amp, &lt, &gt and &quot count without a semicolon too, as in HTML."""
+    """Title, number of all links by address, canonical address and length of the text of all pages, from their tags. &amp, &lt, &gt and &quot count without a semicolon too, as in HTML."""
     rows = captures(tables.table(spark, sf_dir, "pages", "page_id", "url", "html"), "page_id")
-    return rows.select("page_id", "title", F.size("links").alias("links"), "canonical", F.length("text").alias("n_chars"))
+    return rows.select("page_id", "title", F.size("all_links").alias("links"), "canonical", F.length("text").alias("n_chars"))
 
 
 @query()
