@@ -268,3 +268,55 @@ def test_best_weighted_against_all_pairs(spark):
                     want[x[0]] = (-best[1], best[0])
             got = {r.r: (r.a, r.score) for r in near.best_weighted(*frames, "r", "a", parts, least, others_only=own).collect()}
             assert got == want and want
+
+
+def sets_in_languages(n, seed):
+    """Rows of words, host and path: most rows of a few hosts and languages, whose words, apart from the very frequent ones, are their own."""
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    rows = []
+    for k in range(n):
+        lang = int(min(rng.zipf(1.6), 4))
+        words = sorted({f"{lang}w{min(int(w), 5000)}" for w in rng.zipf(1.25, int(rng.integers(0, 9)))})
+        rows.append((k, None if k % 37 == 0 else words, [f"h{min(int(rng.zipf(1.4)), 60)}"], [f"l{lang}", f"n{rng.integers(0, n)}"] if k % 41 else None))
+    return rows
+
+
+def test_best_weighted_never_joins_pairs(spark, monkeypatch):
+    """Requests meet awards in blocks within tasks, several of them here, and no join or shuffle carries a pair: what is shuffled is one row a request."""
+    monkeypatch.setattr(near, "RUN", 500)
+    monkeypatch.setattr(near, "BLOCK", 4_000)
+    parts, rows = {"words": 0.8, "host": 0.05, "path": 0.35}, sets_in_languages(900, 11)
+    frame = spark.createDataFrame(rows, "r int, words array<string>, host array<string>, path array<string>")
+    found = near.best_weighted(frame, frame.withColumnRenamed("r", "a"), "r", "a", parts, 0.2, others_only=True, null_unlike=True)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    want: dict = {}
+    for x in rows:
+        for y in rows:
+            if x[0] == y[0] or any((p is None and q) or (q is None and p) for p, q in zip(x[1:], y[1:])):
+                continue
+            score = round(sum(w * len(set(p or []) & set(q or [])) / max(len(p or []), len(q or []), 1) for w, p, q in zip(parts.values(), x[1:], y[1:])), 9)
+            if score >= 0.2:
+                want[x[0]] = max(want.get(x[0], (0.0, 0)), (score, -y[0]))
+    assert {r.r: (r.score, -r.a) for r in found.collect()} == want and len(want) > 800
+    assert found.dtypes == [("r", "int"), ("a", "int"), ("score", "double")]
+    none = near.best_weighted(frame.limit(0), frame.limit(0).withColumnRenamed("r", "a"), "r", "a", {"words": 1.0}, 0.2)
+    assert none.count() == 0 and near.best_weighted(frame, frame.limit(0).withColumnRenamed("r", "a"), "r", "a", parts, 0.2).count() == 0
+
+
+def test_best_weighted_match_of_odd_pages(spark, tmp_path):
+    """Pages without an address or HTML, as SQL has them: what isn't known is unlike anything known."""
+    from tests.oracle import connect, difference
+    from tidemark.plans import registry
+
+    title = "<title>one two three</title>"
+    rows = [
+        (1, "https://a.org/en/1", title), (2, "https://a.org/en/2", "<title>one two four</title>"), (3, None, title), (4, "https://a.org/en/4", None), (5, "no address", "<title></title>"),
+        (6, "no address", "x"), (None, "https://a.org/en/1", title), (7, None, None), (8, "HTTPS://A.org/EN/1", "<title>ONE Two</title>"), (9, "https://b.org", "<title>é Ünï</title>"),
+        (10, "://", "<title>one</title>"), (11, "https://", "<title>one</title>"), (2, "https://b.org/en/2", "<title>one two four seven</title>"),
+    ]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/p")
+    next((tmp_path / "p").glob("*.parquet")).rename(tmp_path / "pages.parquet")
+    expected = connect(str(tmp_path)).execute(registry.ORACLE_SQL["best_weighted_match"]).to_arrow_table()
+    assert not difference(matches.best_weighted_match(spark, str(tmp_path)).toArrow(), expected) and expected.num_rows == 6

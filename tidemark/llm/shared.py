@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.sources.scratch import shared_dir
+from tidemark.sources.scratch import file_system, shared_dir  # noqa: F401  (file_system is used from here)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -25,8 +24,3 @@ def bounded_sample(frame: DataFrame, key: str, limit: int, n: int | None = None)
     if n > 2 * limit:
         frame = frame.filter(h <= -(2**63) + int(2**64 * 2 * limit / n))
     return frame.orderBy(h, key).limit(limit)
-
-
-def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
-    """A handle on the shared store that tasks can use for flat files (file, s3, hdfs, gs)."""
-    return pafs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1) if "://" in uri else "file://" + uri)

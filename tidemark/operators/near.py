@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.runs import ranked, same
-from tidemark.sources.scratch import stored
+from tidemark.operators.weighted import Best, Index, Sets
+from tidemark.sources.scratch import file_system, stored
 
 # How much two changes of one scope must share. At least so many words, and such parts of the smaller set and of both.
 ALIKE = (10, 0.72, 0.45)
 #: The same with a concept in common; the part of both doesn't matter then.
 ALIKE_IN_CONCEPT = (7, 0.55)
+# Features (values of sets) in a run of rows, and in a block that a task indexes.
+RUN, BLOCK = 2**16, 2**21
+# A value that so many rows' part shares is common, and how many of these, the most common, sort rows at most.
+COMMON_PART, MOST_COMMON = 256, 256
 # Words that say nothing of a change.
 COMMON_WORDS = [
     "about", "acceptance", "added", "after", "again", "award", "before", "changed", "changes", "check", "clarifies", "college", "complete", "congress", "current", "details", "during",
@@ -145,51 +155,62 @@ def best_by_tokens(requests: DataFrame, awards: DataFrame, request: str, award:
     return best.select(request, F.col(f"__best.{award}").alias(award), F.col("__best.score").alias("score"))
 
 
-def best_weighted(requests: DataFrame, awards: DataFrame, request: str, award: str, parts: dict[str, float], least: float, others_only: bool = False) -> DataFrame:
+def best_weighted(
+    requests: DataFrame, awards: DataFrame, request: str, award: str, parts: dict[str, float], least: float, others_only: bool = False, null_unlike: bool = False,
+) -> DataFrame:
     """request, award and score: for each request the award of the highest score, at least `least` (above 0), ties to the smaller award.
 
-    parts: names of columns of sets (words of a name, a host) to their weight; a part adds its weight times what both share of the larger set, nothing
-    if either is empty or null. others_only: an award doesn't match the request of its own id.
+    parts: names of columns of sets of strings (words of a name, a host) to their weight; a part adds its weight times what both share of the larger set, nothing
+    if either is empty or null. null_unlike: a null part is unlike any set that isn't empty, such pairs have no score. others_only: an award doesn't match the
+    request of its own id. Ids are integers; null ones match nothing.
 
-    A feature (a value of a part) adds at most its part's weight over the request's own number of values. Features of a request are looked up from the rarest
-    among the awards; the rarest one's awards tell a score that the best reaches at least, and looking up stops where all features
-    that are left can't add up to it. So a host or word of very many awards is met only by requests that nothing else decides. With others_only a feature that
-    no other row has counts for nothing. Pairs add up what the features looked up say, as numbers; whole sets are joined only to those that could
-    still be the best with all that is left.
+    Awards are sorted by what is common in all parts but the heaviest (a language, a host) and written in blocks of a fixed size. A task has a run of requests,
+    sorted likewise, and goes through the blocks, the nearest first; pairs never travel. Within a block a feature (a value of a part) of a request adds at
+    most its part's weight over the request's own number of values. Features are looked up from the rarest of the block; looking up stops where all that are left
+    can't add up to the best score that the request has found in this block and those before. So a word of very many awards is met only by requests that nothing
+    else decides, and most requests leave out blocks of other hosts and languages. The work of reading and indexing blocks grows with runs times blocks, in arrays.
     """
-    features = lambda frame, id: frame.select(id, F.explode(F.array(*[F.struct(F.lit(p).alias("part"), F.array_distinct(F.coalesce(p, F.array())).alias("values")) for p in parts])).alias("f")).select(
-        id, F.col("f.part").alias("part"), F.size("f.values").alias("own"), F.explode("f.values").alias("value")
-    )
-    postings = stored(features(awards, award).select("part", "value", F.col("own").alias("size"), award), "postings")
-    often = postings.groupBy("part", "value").agg(F.count("*").alias("often"), F.min(award).alias("one"))
-    weight = F.create_map(*[F.lit(x) for p, w in parts.items() for x in (p, float(w))])
-    asked = features(requests, request).join(often, ["part", "value"]).withColumn("most", weight[F.col("part")] / F.col("own"))
-    asked = asked.filter((F.col("often") > 1) | (F.col("one") != F.col(request))) if others_only else asked
-    ordered = asked.groupBy(request).agg(F.array_sort(F.collect_list(F.struct("often", "part", "value", "most", "own"))).alias("f"))  # one request's features
-    # what a feature and all after it can add
-    tail = F.transform("f", lambda _, k: F.aggregate(F.slice("f", k + 1, F.size("f")), F.lit(0.0), lambda a, x: a + x["most"]))
-    ordered = stored(ordered.select(request, F.transform(F.arrays_zip(F.col("f"), tail.alias("tail")), lambda x: F.struct(x["f"]["part"].alias("part"), x["f"]["value"].alias("value"), x["f"]["own"].alias("own"), x["tail"].alias("tail"))).alias("f")), "requests")
-
-    def scored(probes: DataFrame) -> DataFrame:
-        """Scores of the pairs that meet on the probes and could reach needed, what the looked-up features must add up to."""
-        said = weight[F.col("part")] / F.greatest("own", "size")
-        pairs = probes.join(postings, ["part", "value"]).select(request, award, "needed", said.alias("said"))
-        pairs = pairs.filter(F.col(request) != F.col(award)) if others_only else pairs
-        pairs = pairs.groupBy(request, award).agg(F.sum("said").alias("said"), F.max("needed").alias("needed")).filter("said >= needed").select(request, award)
-        both = pairs.join(requests.select(request, *[F.array_distinct(F.coalesce(p, F.array())).alias(f"__a_{p}") for p in parts]), request)
-        both = both.join(awards.select(award, *[F.array_distinct(F.coalesce(p, F.array())).alias(f"__b_{p}") for p in parts]), award)
-        larger = lambda p: F.greatest(F.size(f"__a_{p}"), F.size(f"__b_{p}"))
-        total = sum((F.when(larger(p) > 0, w * F.size(F.array_intersect(f"__a_{p}", f"__b_{p}")) / larger(p)).otherwise(0.0) for p, w in parts.items()), F.lit(0.0))
-        return both.select(request, award, F.round(total, 9).alias("score"))
-
-    first = scored(ordered.select(request, F.explode(F.slice("f", 1, 1)).alias("f")).select(request, "f.part", "f.value", "f.own", F.lit(0.0).alias("needed")))
-    known = first.groupBy(request).agg(F.max("score").alias("known"))
-    bounded = ordered.join(known, request, "left").withColumn("bound", F.greatest(F.lit(float(least)), F.coalesce("known", F.lit(0.0))) - 1e-8)
-    left = F.coalesce(F.array_max(F.transform(F.filter("f", lambda x: x["tail"] < F.col("bound")), lambda x: x["tail"])), F.lit(0.0))  # what features not looked up can add
-    probes = bounded.withColumn("needed", F.col("bound") - left - 1e-8)
-    probes = probes.select(request, "needed", F.explode(F.filter("f", lambda x: x["tail"] >= F.col("bound"))).alias("f")).select(request, "f.part", "f.value", "f.own", "needed")
-    best = scored(probes).filter(F.col("score") >= least).groupBy(request).agg(F.max_by(F.struct(award, "score"), F.struct("score", -F.col(award))).alias("__best"))
-    return best.select(request, F.col(f"__best.{award}").alias(award), F.col("__best.score").alias("score"))
+    names, weights = list(parts), [float(w) for w in parts.values()]
+    empty = F.array().cast("array<string>")
+    features = sum((F.size(F.coalesce(p, empty)) for p in names), F.lit(0))
+    sets = lambda frame, id: frame.filter(F.col(id).isNotNull()).select(F.col(id).cast("long").alias(id), *[F.array_distinct(F.array_compact(F.col(p).cast("array<string>"))).alias(p) for p in names]).filter(features > 0)
+    asked, known = sets(requests, request), sets(awards, award)
+    n, of_awards = known.agg(F.count("*"), F.coalesce(F.sum(features), F.lit(0))).first()
+    of_requests = asked.agg(F.coalesce(F.sum(features), F.lit(0))).first()[0]
+
+    lighter = sorted(names, key=lambda p: -parts[p])[1:]
+    of_part = [F.transform(F.coalesce(p, empty), lambda v, p=p: F.struct(F.lit(p).alias("part"), v.alias("value"))) for p in lighter]
+    often = known.select(F.explode(F.concat(*of_part)).alias("v")).groupBy("v").agg(F.count("*").alias("often")).filter(F.col("often") * COMMON_PART >= n) if lighter else None
+    common = [r.v for r in often.orderBy(F.desc("often"), "v").limit(MOST_COMMON).collect()] if lighter else []
+    context = [F.array_sort(F.array_intersect(F.coalesce(p, empty), F.array(*[F.lit(v.value) for v in common if v.part == p]).cast("array<string>"))) for p in lighter]
+
+    def placed(frame: DataFrame, id: str, runs: int) -> DataFrame:
+        by = [*context, F.col(id)]
+        return frame.repartitionByRange(runs, *by).sortWithinPartitions(*by)
+
+    files = sorted(stored(placed(known, award, of_awards // RUN + 1), "blocks-of-awards").inputFiles())
+    n_blocks = min(len(files), of_awards // BLOCK + 1)
+    blocks = [files[k * len(files) // n_blocks : (k + 1) * len(files) // n_blocks] for k in range(n_blocks)]
+    size = min(max(RUN, of_requests // (4 * requests.sparkSession.sparkContext.defaultParallelism)), BLOCK // 8)
+    n_runs = of_requests // size + 1
+
+    def read(block: list[str]) -> pa.Table:
+        return pa.concat_tables([pq.read_table(name, filesystem=fs) for fs, name in map(file_system, block)])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = list(batches)  # a run
+        if not sum(b.num_rows for b in rows):
+            return
+        run = Sets(pa.Table.from_batches(rows), request, names)
+        best, at = Best(run, weights, least, others_only, null_unlike), TaskContext.get().partitionId() / n_runs
+        for k in sorted(range(n_blocks), key=lambda k: abs(k / n_blocks - at)):
+            best.go_through(Index(read(blocks[k]), award, names))
+        yield pa.RecordBatch.from_arrays([pa.array(x[best.found]) for x in (run.ids, best.award, best.score)], names=[request, award, "score"])
+
+    found = placed(asked, request, n_runs).mapInArrow(search, f"`{request}` long, `{award}` long, score double")
+    best = found.groupBy(request).agg(F.max_by(F.struct(award, "score"), F.struct("score", -F.col(award))).alias("__best"))  # an id may have several rows
+    kind = lambda frame, id: frame.schema[id].dataType
+    return best.select(F.col(request).cast(kind(requests, request)), F.col(f"__best.{award}").cast(kind(awards, award)).alias(award), F.col("__best.score").alias("score"))
 
 
 def overlapping(boxes: DataFrame, crops: DataFrame, on: str, width: float) -> DataFrame:

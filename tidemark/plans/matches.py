@@ -9,6 +9,7 @@ from tidemark.functions import text as T
 from tidemark.functions import urls as U
 from tidemark.operators import keyed, near, search
 from tidemark.sources import tables
+from tidemark.sources.scratch import stored
 
 from .gates import cycle, matches
 from .registry import query
@@ -64,9 +65,9 @@ def best_weighted_match(spark, sf_dir):
     filled = lambda c: F.array_distinct(F.filter(c, lambda x: x != ""))
     host, path = F.lower(F.regexp_extract("url", "://([^/?#]*)", 1)), F.split(F.lower(F.regexp_extract("url", "://[^/?#]*([^?#]*)", 1)), "/")
     sets = [filled(F.split(title, " ")).alias("words"), F.when(F.contains("url", F.lit("://")), F.array(host)).otherwise(F.array()).alias("host"), filled(path).alias("path")]
-    pages = rows.select("page_id", *sets)
+    pages = stored(rows.select("page_id", *sets), "sets-of-pages")  # the HTML is read once
     requests, awards = pages.withColumnRenamed("page_id", "request"), pages.withColumnRenamed("page_id", "award")
-    found = near.best_weighted(requests, awards, "request", "award", {"words": 0.8, "host": 0.05, "path": 0.35}, 0.2, others_only=True)
+    found = near.best_weighted(requests, awards, "request", "award", {"words": 0.8, "host": 0.05, "path": 0.35}, 0.2, others_only=True, null_unlike=True)
     return found.withColumn("score", F.round("score", 6))
 
 
