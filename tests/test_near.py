@@ -287,6 +287,8 @@ def test_best_weighted_never_joins_pairs(spark, monkeypatch):
     """Requests meet awards in blocks within tasks, several of them here, and no join or shuffle carries a pair: what is shuffled is one row a request."""
     monkeypatch.setattr(near, "RUN", 500)
     monkeypatch.setattr(near, "BLOCK", 4_000)
+    blocks, keep = [], near.stored
+    monkeypatch.setattr(near, "stored", lambda frame, name: blocks.append(keep(frame, name)) or blocks[-1])
     parts, rows = {"words": 0.8, "host": 0.05, "path": 0.35}, sets_in_languages(900, 11)
     frame = spark.createDataFrame(rows, "r int, words array<string>, host array<string>, path array<string>")
     found = near.best_weighted(frame, frame.withColumnRenamed("r", "a"), "r", "a", parts, 0.2, others_only=True, null_unlike=True)
@@ -301,6 +303,8 @@ def test_best_weighted_never_joins_pairs(spark, monkeypatch):
                 want[x[0]] = max(want.get(x[0], (0.0, 0)), (score, -y[0]))
     assert {r.r: (r.score, -r.a) for r in found.collect()} == want and len(want) > 800
     assert found.dtypes == [("r", "int"), ("a", "int"), ("score", "double")]
+    files = [{v for r in spark.read.parquet(f).collect() for v in r.path or [] if v[0] == "l"} for f in blocks[0].inputFiles()]  # sorted by language
+    assert len(files) > 5 and sum(map(len, files)) <= len(files) + 4
     none = near.best_weighted(frame.limit(0), frame.limit(0).withColumnRenamed("r", "a"), "r", "a", {"words": 1.0}, 0.2)
     assert none.count() == 0 and near.best_weighted(frame, frame.limit(0).withColumnRenamed("r", "a"), "r", "a", parts, 0.2).count() == 0
 

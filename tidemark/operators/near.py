@@ -179,10 +179,10 @@ def best_weighted(
     of_requests = asked.agg(F.coalesce(F.sum(features), F.lit(0))).first()[0]
 
     lighter = sorted(names, key=lambda p: -parts[p])[1:]
-    of_part = [F.transform(F.coalesce(p, empty), lambda v, p=p: F.struct(F.lit(p).alias("part"), v.alias("value"))) for p in lighter]
+    of_part = [F.arrays_zip(F.array_repeat(F.lit(p), F.size(F.coalesce(p, empty))).alias("part"), F.coalesce(p, empty).alias("value")) for p in lighter]
     often = known.select(F.explode(F.concat(*of_part)).alias("v")).groupBy("v").agg(F.count("*").alias("often")).filter(F.col("often") * COMMON_PART >= n) if lighter else None
     common = [r.v for r in often.orderBy(F.desc("often"), "v").limit(MOST_COMMON).collect()] if lighter else []
-    context = [F.array_sort(F.array_intersect(F.coalesce(p, empty), F.array(*[F.lit(v.value) for v in common if v.part == p]).cast("array<string>"))) for p in lighter]
+    context = [F.array_join(F.array_sort(F.array_intersect(F.coalesce(p, empty), F.array(*[F.lit(v.value) for v in common if v.part == p]).cast("array<string>"))), " ") for p in lighter]
 
     def placed(frame: DataFrame, id: str, runs: int) -> DataFrame:
         by = [*context, F.col(id)]
